@@ -5,6 +5,8 @@ A value of the wrong length formats as ``??``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def _hex(b: Column, byte: int, count: int = 1) -> Column:
     return F.substring(F.hex(b), 2 * byte + 1, 2 * count)
 
 
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with the value bound to a lambda variable: inlined, it would be repeated at every use."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _number(hex_digits: Column) -> Column:
     return F.conv(hex_digits, 16, 10)
 
@@ -50,29 +57,32 @@ def _ipv6_text(b: Column, at: int = 0) -> Column:
               for i in range(8)]
     tail = _dotted(b, at + 12)
 
-    def compress(full: Column) -> Column:
-        out = F.when(full.rlike(r"^(?:0:){6}(?!0:)"), F.concat(F.lit("::"), tail))
-        out = out.when(full.rlike(r"^(?:0:){5}ffff:"), F.concat(F.lit("::ffff:"), tail))
-        for run in range(8, 1, -1):
-            # The leftmost run of `run` zero groups; longer runs were tried before.
-            pattern = rf"^((?:[0-9a-f]+:)*?)0(?::0){{{run - 1}}}((?::[0-9a-f]+)*)$"
-            before = F.rtrim(F.regexp_extract(full, pattern, 1), F.lit(":"))
-            after = F.ltrim(F.regexp_extract(full, pattern, 2), F.lit(":"))
-            out = out.when(full.rlike(pattern), F.concat(before, F.lit("::"), after))
-        return out.otherwise(full)
+    def compress(padded: Column) -> Column:
+        # padded is ":g0:...:g7:"; the leftmost run of n zero groups, longer runs first.
+        out = F.when(padded.startswith(":0" * 6 + ":") & ~padded.startswith(":0" * 7 + ":"),
+                     F.concat(F.lit("::"), tail))
+        out = out.when(padded.startswith(":0" * 5 + ":ffff:"), F.concat(F.lit("::ffff:"), tail))
+        for n in range(8, 1, -1):
+            run = ":0" * n + ":"
+            at = F.instr(padded, run)
+            before = F.substring(padded, F.lit(2), at - 2)
+            after = F.rtrim(F.substring(padded, at + len(run), F.length(padded)), F.lit(":"))
+            out = out.when(at > 0, F.concat(before, F.lit("::"), after))
+        return out.otherwise(F.trim(padded, F.lit(":")))
 
-    # The lambda binds the joined text once; inlined, it would be repeated in every branch.
-    return F.get(F.transform(F.array(F.concat_ws(":", *groups)), compress), F.lit(0))
+    return _once(F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":")), compress)
 
 
 def ipv6_str(col: str | Column) -> Column:
     """16 bytes, longest zero run compressed, embedded IPv4 dotted."""
-    b = as_column(col)
-    return _sized(b, 16, _ipv6_text(b))
+    return _once(as_column(col), lambda b: _sized(b, 16, _ipv6_text(b)))
 
 
 def _socket_address(col: str | Column, host_order: bool) -> Column:
-    b = as_column(col)
+    return _once(as_column(col), lambda b: _address_text(b, host_order))
+
+
+def _address_text(b: Column, host_order: bool) -> Column:
     family = _number(F.concat(_hex(b, 1), _hex(b, 0))).cast("int")
     port = _number(_hex(b, 2, 2))
     return (

@@ -1,6 +1,6 @@
 """Queries over the test tables; importing the package registers them."""
 
-from . import source_queries, expression_queries  # noqa: F401
+from . import expression_queries, pair_queries, relational_queries, source_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

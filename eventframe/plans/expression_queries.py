@@ -34,9 +34,9 @@ def flt_string(spark, sf):
 
 
 @query("flt_glob", """
-SELECT p_partkey, p_name, p_type FROM part WHERE p_type GLOB '*[A-M]?A*' OR p_name GLOB '*[0-4]'""")
+SELECT p_partkey, p_name, p_type FROM part WHERE p_type GLOB '*[A-M]?A*' OR p_name GLOB 'r?d*[!t]'""")
 def flt_glob(spark, sf):
-    return table(spark, sf, "part").where(text.glob("p_type", "*[A-M]?A*") | text.glob("p_name", "*[0-4]")).select(
+    return table(spark, sf, "part").where(text.glob("p_type", "*[A-M]?A*") | text.glob("p_name", "r?d*[!t]")).select(
         "p_partkey", "p_name", "p_type")
 
 

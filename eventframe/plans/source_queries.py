@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..shared import shared_dir
 from ..sources import events as src
-from .registry import DAY, E, EPOCH_2024, HOUR, events, query, table
+from .registry import DAY, E, EPOCH_2024, HOUR, META, events, query, table
 
 
 @query("src_event_table", E + " SELECT seq, _time, _cpu, _pid, _tid, num, k FROM e WHERE event = 'view'")
@@ -73,11 +73,6 @@ def stm_file_source(spark, sf):
         F.round(F.col("value") * 100).cast("bigint").alias("num"))
 
 
-META = E + """, m AS (SELECT event AS table_name, 'events' AS event_system, event AS event_name, 2 AS field_count,
-  count(*) AS sample_count, min(_time) AS first_sample_time, max(_time) AS last_sample_time,
-  'ksymbol,symbolic,syscall' AS function_list FROM e GROUP BY event)"""
-
-
 @query("meta_event_table", META + " SELECT * FROM m")
 def meta_event_table(spark, sf):
     return src.event_metadata(events(spark, sf))
