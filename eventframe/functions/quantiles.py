@@ -30,15 +30,16 @@ def _cell(value: Column) -> Column:
 
 def distribution(df: DataFrame, by: Sequence[str], value: str | Column,
                  quantiles: Mapping[str, str] = LATENCY_QUANTILES, than: int | None = None,
-                 exact: bool = True) -> DataFrame:
+                 exact: bool = True, wide: bool = False) -> DataFrame:
     """Per group: calls, total, min, the quantiles (discrete), max and, with ``than``, the number above it.
 
     ``exact=False`` uses Spark's mergeable quantile sketch instead: one shuffle, relative rank error 1e-4.
+    ``wide=True`` returns the total as DECIMAL(38,0), for sums beyond 2^63 (292 years in ns).
     """
     by = list(by)
     values = df.select(*by, as_column(value).cast("bigint").alias("__v")).where("__v IS NOT NULL")
     if not exact or not quantiles:
-        aggs = _basic(F.count("*"), F.sum("__v"), F.min("__v"), F.max("__v"))
+        aggs = _basic(F.count("*"), F.sum(widen("__v", wide)), F.min("__v"), F.max("__v"))
         for name, p in quantiles.items():
             aggs.insert(-1, F.percentile_approx("__v", float(p), 10_000).alias(name))
         if than is not None:
@@ -49,7 +50,7 @@ def distribution(df: DataFrame, by: Sequence[str], value: str | Column,
     celled = counts.withColumn("__cell", _cell(F.col("__v")))
     above = F.sum(F.when(F.col("__v") > than, F.col("__n")).otherwise(0)) if than is not None else F.lit(0)
     cells = celled.groupBy(*by, "__cell").agg(
-        F.sum("__n").alias("__cn"), F.sum(F.col("__v") * F.col("__n")).alias("__cs"),
+        F.sum("__n").alias("__cn"), F.sum(widen("__v", wide) * F.col("__n")).alias("__cs"),
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), above.cast("bigint").alias("__above"),
     )
     whole = Window.partitionBy(*(by or [F.lit(0)]))
@@ -75,6 +76,10 @@ def distribution(df: DataFrame, by: Sequence[str], value: str | Column,
     return ranked.groupBy(*by).agg(*aggs)
 
 
+def widen(value: str | Column, wide: bool) -> Column:
+    return as_column(value).cast("decimal(19,0)") if wide else as_column(value)
+
+
 def _basic(calls: Column, total: Column, low: Column, high: Column) -> list[Column]:
     return [calls.alias("calls"), total.alias("total"), low.alias("min"), high.alias("max")]
 

@@ -129,7 +129,7 @@ def corun(per_cpu: DataFrame, thread_siblings: DataFrame, cpu_siblings: DataFram
                            F.col("runtime").alias("_sib"))
     return own.join(other, ["sib_tid", "sib_cpu"], "left").groupBy("tid").agg(
         F.sum("runtime").alias("runtime"),
-        F.coalesce(F.sum(F.least("runtime", "_sib")), F.lit(0)).alias("co"),
+        F.coalesce(F.sum(F.when(F.col("_sib").isNotNull(), F.least("runtime", "_sib"))), F.lit(0)).alias("co"),
     ).withColumn("co_pct", int_div(F.col("co") * 100, "runtime"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import LATENCY_QUANTILES, distribution
+from ..functions.quantiles import LATENCY_QUANTILES, distribution, widen
 from ..functions.text import int_div
 from ..schema import as_column
 
@@ -17,14 +17,14 @@ def with_share(df: DataFrame) -> DataFrame:
 
 
 def delay_stats(pairs: DataFrame, by: Sequence[str] = (), than: int | None = None, only_than: bool = False,
-                sort: bool = False, exact: bool = True) -> DataFrame:
+                sort: bool = False, exact: bool = True, wide: bool = False) -> DataFrame:
     """calls, total, min, p50, p95, p99, max per (start, end, by...); with ``than`` also its count and integer %.
 
     ``only_than`` gives no rows at all unless some pair exceeds the threshold (checked by a first job).
     """
     if only_than and pairs.where(F.col("latency") > than).isEmpty():
         pairs = pairs.where(F.lit(False))
-    out = distribution(pairs, [*by, "start", "end"], "latency", LATENCY_QUANTILES, than, exact)
+    out = distribution(pairs, [*by, "start", "end"], "latency", LATENCY_QUANTILES, than, exact, wide)
     if than is not None:
         out = with_share(out)
     return out.orderBy(*by, F.desc("total"), "start", "end") if sort else out
@@ -38,10 +38,13 @@ def num_dist(df: DataFrame, num: str | Column, by: Sequence[str] = (), than: int
 
 
 def simple_stats(df: DataFrame, by: Sequence[str], value: str | Column, than: int | None = None,
-                 calls: str = "calls", **extra: Column) -> DataFrame:
-    """calls, total, min, avg (integer), max and optional threshold count: one map-side combined aggregation."""
+                 calls: str = "calls", wide: bool = False, **extra: Column) -> DataFrame:
+    """calls, total, min, avg (integer), max and optional threshold count: one map-side combined aggregation.
+
+    ``wide=True`` returns the total as DECIMAL, for sums beyond 2^63.
+    """
     v = as_column(value)
-    aggs = [F.count(v).alias(calls), F.sum(v).alias("total"), F.min(v).alias("min"), F.max(v).alias("max")]
+    aggs = [F.count(v).alias(calls), F.sum(widen(v, wide)).alias("total"), F.min(v).alias("min"), F.max(v).alias("max")]
     if than is not None:
         aggs.append(F.count_if(v > than).alias("than"))
     aggs += [c.alias(n) for n, c in extra.items()]

@@ -1,6 +1,7 @@
 """Queries over the test tables; importing the package registers them."""
 
-from . import expression_queries, pair_queries, relational_queries, source_queries  # noqa: F401
+from . import call_queries, expression_queries, leak_queries, pair_queries  # noqa: F401
+from . import relational_queries, source_queries, state_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
