@@ -110,7 +110,7 @@ def preset_counts(df: DataFrame, events: Sequence[str], by: str = "_cpu", halved
                   name: str = "event") -> DataFrame:
     """Counts of preset events per CPU plus a row for ALL; events that fire on entry and exit are halved."""
     counts = [F.count_if(F.col(name) == e).alias(e) for e in events]
-    out = df.rollup(F.col(by).alias("_by")).agg(*counts, F.grouping("_by").alias("_all"))
+    out = df.withColumn("_by", F.col(by)).rollup("_by").agg(*counts, F.grouping("_by").alias("_all"))
     cpu = F.when(F.col("_all") == 1, F.lit("ALL")).otherwise(F.col("_by").cast("string"))
     return out.select(cpu.alias("cpu"), *[F.expr(f"`{e}` div 2").alias(e) if e in halved else e for e in events])
 

@@ -1,7 +1,17 @@
 """Queries over the test tables; importing the package registers them."""
 
-from . import call_queries, expression_queries, leak_queries, pair_queries  # noqa: F401
-from . import relational_queries, source_queries, state_queries  # noqa: F401
+from . import (  # noqa: F401
+    call_queries,
+    count_queries,
+    expression_queries,
+    leak_queries,
+    pair_queries,
+    relational_queries,
+    source_queries,
+    stack_queries,
+    state_queries,
+    stream_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
