@@ -11,6 +11,7 @@ from ..schema import as_column
 from .timeline import last, timeline
 
 SIGN = -(1 << 63)
+MOST = (1 << 63) - 1
 
 
 def asof(df: DataFrame, table: DataFrame, by: Sequence[str], columns: Sequence[str], at: str = "_time",
@@ -51,12 +52,19 @@ def floor_lookup(df: DataFrame, addr: str, table: DataFrame, start: str = "start
         *df.columns, F.col("_known._start").alias("_start"), *[F.col(f"_known.{c}").alias(c) for c in columns])
 
 
+def _distance(addr: Column, start: Column) -> Column:
+    """Unsigned ``addr - start`` for start <= addr; NULL when it does not fit a BIGINT."""
+    low, most = addr.bitwiseAND(F.lit(MOST)), F.lit(MOST)
+    across = F.when(low < start, (most - start) + (low + 1))
+    return F.when((addr < 0) & (start >= 0), across).otherwise(addr - start)
+
+
 def symbolize(df: DataFrame, addr: str, symbols: DataFrame, length: str | None = None,
               unknown: str = "??", max_rows: int | None = None) -> DataFrame:
     """Add ``symbol`` and ``offset``; ``symbols``: start, name[, length]."""
     cols = ["name"] + ([length] if length else [])
     out = floor_lookup(df, addr, symbols, "start", cols, max_rows)
-    offset = F.col(addr) - F.col("_start")
+    offset = _distance(F.col(addr), F.col("_start"))
     known = F.col("_start").isNotNull()
     if length:
         known = known & (offset < F.col(length))

@@ -33,7 +33,7 @@ def symbolize_stack(df: DataFrame, symbols: DataFrame, stack: str = "stack", unk
     distinct = df.select(stack).distinct()
     single = distinct.select(F.col(stack), F.posexplode(stack).alias("_pos", "_addr"))
     named = symbolize(single, "_addr", symbols, unknown=unknown, max_rows=max_rows)
-    label = F.when(F.col("offset").isNull(), F.lit(unknown)).otherwise(
+    label = F.when(F.col("offset").isNull(), F.col("symbol")).otherwise(
         F.concat(F.col("symbol"), F.lit("+0x"), F.lower(F.hex("offset"))))
     whole = named.groupBy(stack).agg(F.transform(
         F.sort_array(F.collect_list(F.struct(F.col("_pos"), label.alias("label")))),   # bounded by stack depth

@@ -13,7 +13,7 @@ from ..schema import ORDER
 from .pairs import mark_lost
 from .rangejoin import overlap_join
 from .stats import simple_stats
-from .timeline import last, prev, timeline
+from .timeline import Timeline, last, prev, timeline
 
 # States a switch-out can leave a task in, and the one that ends it.
 SLEEPING = ("S", "D", "T", "t", "I")
@@ -35,16 +35,9 @@ def task_moves(switches: DataFrame, wakeups: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def task_states(moves: DataFrame, only: Sequence[str] | None = None, tasks: Column | None = None,
-                lost: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
-    """Time spent per state: task, state, from_time, to_time, from_id, to_id, duration.
-
-    R until a switch-out, RD until a switch-in, a sleeping state until a wakeup. A wakeup of a task that is already
-    runnable changes nothing; wakeup_new starts over. ``only=("S", "D")`` needs just the matching switch-outs and
-    plain wakeups. ``tasks`` filters by a predicate on ``task``.
-    """
-    if tasks is not None:
-        moves = moves.where(tasks)
+def effective_moves(moves: DataFrame, only: Sequence[str] | None = None, lost: DataFrame | None = None,
+                    max_rows: int | None = None) -> Timeline:
+    """Moves that change a task's state, each with the one ``_before`` it: wakeups of runnable tasks are dropped."""
     sleeping = F.col("kind").eqNullSafe("out") & F.coalesce(F.col("state").isin(*(only or SLEEPING)), F.lit(False))
     if only:
         moves = moves.where(sleeping | (F.col("kind") == "wake"))
@@ -54,14 +47,28 @@ def task_states(moves: DataFrame, only: Sequence[str] | None = None, tasks: Colu
     if lost is not None:
         moves = mark_lost(moves, lost)
         keys.append("_segment")
-    tl = timeline(moves, keys, max_rows=max_rows)
     seen = ("kind", "state", "_time", "seq", "_sleeps", "_dies")
-    tl = tl.scan(_before=prev(*seen))
+    tl = timeline(moves, keys, max_rows=max_rows).scan(_before=prev(*seen))
+    if only:
+        return tl
+    p = F.col("_before")
+    idle = F.coalesce((F.col("kind") == "wake") & ~p["_dies"] & ~p["_sleeps"], F.lit(False))
+    return tl.map(lambda f: f.where(~idle).drop("_before")).scan(_before=prev(*seen))
+
+
+def task_states(moves: DataFrame, only: Sequence[str] | None = None, tasks: Column | None = None,
+                lost: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
+    """Time spent per state: task, state, from_time, to_time, from_id, to_id, duration.
+
+    R until a switch-out, RD until a switch-in, a sleeping state until a wakeup. A wakeup of a task that is already
+    runnable changes nothing; wakeup_new starts over. ``only=("S", "D")`` needs just the matching switch-outs and
+    plain wakeups. ``tasks`` filters by a predicate on ``task``.
+    """
+    if tasks is not None:
+        moves = moves.where(tasks)
+    tl = effective_moves(moves, only, lost, max_rows)
     p = F.col("_before")
     known = p.isNotNull() & ~p["_dies"]
-    if not only:
-        idle_wakeup = (F.col("kind") == "wake") & known & ~p["_sleeps"]
-        tl = tl.map(lambda f: f.where(~F.coalesce(idle_wakeup, F.lit(False))).drop("_before")).scan(_before=prev(*seen))
     runnable = ~p["_sleeps"]
     state = (
         F.when(F.col("kind").isin("wake", "new"), F.when(p["_sleeps"], p["state"]))

@@ -21,6 +21,8 @@ from ..operators import states as sm
 from ..operators.timeline import prev, timeline
 from ..schema import ORDER, as_column
 
+MOVE_COLUMNS = ["task", "kind", "state", "_time", "seq"]
+
 Step = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
@@ -121,18 +123,9 @@ def stream_pairs(stream: DataFrame, levels: Sequence[Sequence[str]], root: str,
 def stream_task_states(stream: DataFrame, root: str, delay: int) -> Incremental:
     """Durations of :func:`task_states` over a stream of task moves (task, kind, state, _time, seq)."""
     def step(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        # A wakeup of a runnable task changes nothing, so the newest row that is not such a wakeup is the state.
-        effective = rows.where("kind <> 'wake'")
-        # A wakeup that took effect leaves the task runnable, as wakeup_new does; keep it under that kind.
-        woken = sm.task_states(rows).where(F.col("state").isin(*sm.SLEEPING)).select(
-            "task", F.lit("new").alias("kind"), F.lit(None).cast("string").alias("state"),
-            F.col("to_time").alias("_time"), F.col("to_id").alias("seq"))
-        first = rows.groupBy("task").agg(F.min_by(F.struct("kind", "_time", "seq"), F.struct(*ORDER)).alias("r"))
-        opening = first.where("r.kind = 'wake'").select(
-            "task", F.lit("new").alias("kind"), F.lit(None).cast("string").alias("state"), "r._time", "r.seq")
-        known = effective.select("task", "kind", "state", "_time", "seq").unionByName(woken).unionByName(opening)
-        alive = ~F.coalesce(F.col("state") == sm.DEAD, F.lit(False))
-        return sm.task_states(rows), _newest(known, ["task"], alive, ["task", "kind", "state", "_time", "seq"])
+        # The newest move that had an effect is the task's state; dead tasks leave nothing behind.
+        effective = sm.effective_moves(rows).rows()
+        return sm.task_states(rows), _newest(effective, ["task"], ~F.col("_dies"), MOVE_COLUMNS)
     return Incremental(stream, step, root, delay)
 
 
