@@ -1,7 +1,8 @@
 """Nested calls: matching entries with returns, callers, depth and open frames.
 
 Returns close the latest open entry of the same function on the same key; returns without one are ignored. Callers
-and depth are exact when calls nest properly (``nesting_errors`` lists returns where they do not).
+and depth come from running sums, which is exact when calls nest properly (``nesting_errors`` lists returns where they
+do not); ``callers_any_nesting`` is exact always.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import LATENCY_QUANTILES, distribution
 from ..schema import per_event
+from .rangejoin import range_join
 from .timeline import CHUNK, Timeline, last, prev, run_min, run_sum, timeline
 
 
@@ -68,6 +70,37 @@ def callers(calls: Timeline) -> DataFrame:
         F.when(F.col("level") > 1, F.col("_caller")).otherwise(F.lit("root")).alias("caller"))
 
 
+def callers_any_nesting(calls: Timeline) -> DataFrame:
+    """Every entry with its caller - the latest entry still open - when returns may cross each other.
+
+    Completed calls that enclose the entry are found by a range join, as many rows as the stacks are deep. Calls that
+    never return enclose everything after them, but only the latest of those can be the caller: a running value.
+    """
+    entries = calls.map(lambda f: f.where("d = 1").drop("_open", "level", "again"))
+    done = calls.rows().where("d = -1").select(
+        F.col("key").alias("_k"), F.col("fn").alias("_f"), F.col("_open._time").alias("_t0"),
+        F.col("_open.seq").alias("_s0"), F.col("_time").alias("_t1"), F.col("seq").alias("_s1"))
+    returned = done.select(F.col("_k").alias("key"), F.col("_s0").alias("seq"), F.lit(1).alias("_done"))
+    marked = entries.map(lambda f: f.join(returned, ["key", "seq"], "left").withColumns({
+        "_lasting": F.when(F.col("_done").isNull(), F.struct("_time", "seq", "fn")),
+        "_count": F.when(F.col("_done").isNull(), 1).otherwise(0)}))
+    # The scans include the row itself, so take them from the row before.
+    marked = marked.scan(_upto=last("_lasting"), _held=run_sum("_count")).scan(_was=prev("_upto", "_held")).rows()
+    base = marked.select("key", "fn", "seq", "_time", F.col("_was._upto").alias("_stay"),
+                         F.coalesce(F.col("_was._held"), F.lit(0)).alias("_stays"))
+    here, t0, t1 = F.struct("_time", "seq"), F.struct("_t0", "_s0"), F.struct("_t1", "_s1")
+    around = range_join(base.select("key", "fn", "seq", "_time"), done, "_time", "_t0", "_t1", [("key", "_k")],
+                        (t0 < here) & (here < t1))
+    inner = around.groupBy("key", "seq").agg(
+        F.max(F.struct(F.col("_t0").alias("_time"), F.col("_s0").alias("seq"), F.col("_f").alias("fn"))).alias("_in"),
+        F.count("*").alias("_deep"))
+    out = base.join(inner, ["key", "seq"], "left")
+    nearest = F.greatest("_in", "_stay")
+    return out.select("key", "fn", "seq", "_time",
+                      (F.coalesce(F.col("_deep"), F.lit(0)) + F.col("_stays") + 1).alias("level"),
+                      F.coalesce(nearest["fn"], F.lit("root")).alias("caller"))
+
+
 def call_edges(calls: Timeline) -> DataFrame:
     """caller, callee, calls, depth of the shallowest call (root calls are 0), whether any call was recursive."""
     return callers(calls).groupBy("caller", F.col("fn").alias("callee")).agg(

@@ -78,10 +78,9 @@ def mem_profile(df: DataFrame, alloc: Sequence[str], free: Sequence[str], ptr: s
     total = both.groupBy("side").agg(F.sum("bytes").alias("_tb"), F.sum("objects").alias("_to"))
     shown = both
     if top is not None:
-        # Top-k per side without ordering all stacks of a side in one task.
-        best = [both.where(F.col("side") == s).orderBy(F.desc("bytes"), "stack").limit(top) for s in ("alloc", "free")]
+        # Spark keeps only the first `top` rows per side in every map task before this window's shuffle.
         w = Window.partitionBy("side").orderBy(F.desc("bytes"), "stack")
-        shown = best[0].unionByName(best[1]).withColumn("rank", F.row_number().over(w))
+        shown = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return shown.join(total, "side").withColumns({
         "bytes_pct": F.round(F.try_divide(F.col("bytes") * 100.0, "_tb"), 1),
         "objects_pct": F.round(F.try_divide(F.col("objects") * 100.0, "_to"), 1)}).drop("_tb", "_to")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..schema import ORDER, as_column, per_event
 from .timeline import Timeline, last, position, prev, run_sum, timeline
 
+RECLAIMED = -9          # level of events that end a start without a pair; adjacent to none
 LITERAL_RANGES = 1000   # lost ranges up to this number travel inside the plan
 
 
@@ -28,19 +29,23 @@ def level_of(levels: Sequence[Sequence[str]], name: str = "event") -> Column:
 
 def roles(df: DataFrame, levels: Sequence[Sequence[str]], key: str | Column | Mapping = "_tid",
           role: str | Column | Mapping | None = None, cycle: bool = False, name: str = "event",
-          untraced: Sequence[str] = ()) -> DataFrame:
-    """Traced rows with ``key``, ``_level``, ``_ends`` and ``_starts``."""
+          untraced: Sequence[str] = (), reclaim: Sequence[str] = ()) -> DataFrame:
+    """Traced rows with ``key``, ``_level``, ``_ends`` and ``_starts``.
+
+    ``reclaim`` events (the owner's exit) take an open start without making a pair.
+    """
     traced = [[e for e in level if e not in untraced] for level in levels]
     if not all(traced):
         raise ValueError("every level needs at least one traced event")
     final = len(levels) - 1
     bits = F.lit(3) if role is None else F.coalesce(per_event(role, name, F.lit(3)), F.lit(3))
     bits = bits.cast("int")
-    rows = df.where(F.col(name).isin([e for level in traced for e in level])).withColumns(
-        {"key": per_event(key, name), "_level": level_of(traced, name)})
+    gone = F.col(name).isin(list(reclaim)) if reclaim else F.lit(False)
+    rows = df.where(F.col(name).isin([e for level in traced for e in level] + list(reclaim))).withColumns(
+        {"key": per_event(key, name), "_level": F.when(gone, F.lit(RECLAIMED)).otherwise(level_of(traced, name))})
     level = F.col("_level")
-    starts = (bits.bitwiseAND(1) != 0) & (F.lit(cycle) | (level != final))
-    ends = (bits.bitwiseAND(2) != 0) & (F.lit(cycle) | (level != 0))
+    starts = ~gone & (bits.bitwiseAND(1) != 0) & (F.lit(cycle) | (level != final))
+    ends = gone | ((bits.bitwiseAND(2) != 0) & (F.lit(cycle) | (level != 0)))
     return rows.withColumns({"_starts": starts, "_ends": ends}).where("_starts OR _ends")
 
 
@@ -79,9 +84,9 @@ def mark_lost(df: DataFrame, lost: DataFrame, instance: str | None = None) -> Da
 
 def pair_timeline(df: DataFrame, levels, key="_tid", role=None, cycle=False, name="event", untraced=(),
                   lost: DataFrame | None = None, lost_by: str | None = None, carry: Sequence[str] = (),
-                  max_rows: int | None = None) -> Timeline:
+                  max_rows: int | None = None, reclaim: Sequence[str] = ()) -> Timeline:
     """Rows with ``_prev``: the row before on the same key (and lost segment)."""
-    rows = roles(df, levels, key, role, cycle, name, untraced)
+    rows = roles(df, levels, key, role, cycle, name, untraced, reclaim)
     keys = ["key"]
     if lost is not None:
         rows = mark_lost(rows, lost, lost_by)
@@ -93,9 +98,10 @@ def pair_timeline(df: DataFrame, levels, key="_tid", role=None, cycle=False, nam
 def pair_events(df: DataFrame, levels: Sequence[Sequence[str]], key: str | Column | Mapping = "_tid",
                 role: str | Column | Mapping | None = None, cycle: bool = False, name: str = "event",
                 untraced: Sequence[str] = (), lost: DataFrame | None = None, lost_by: str | None = None,
-                carry: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
+                carry: Sequence[str] = (), max_rows: int | None = None,
+                reclaim: Sequence[str] = ()) -> DataFrame:
     """Pairs of adjacent levels; ``carry`` payload columns come back as ``start_<c>`` and ``end_<c>``."""
-    tl = pair_timeline(df, levels, key, role, cycle, name, untraced, lost, lost_by, carry, max_rows)
+    tl = pair_timeline(df, levels, key, role, cycle, name, untraced, lost, lost_by, carry, max_rows, reclaim)
     p = F.col("_prev")
     adjacent = p["_level"] + 1 == F.col("_level")
     if cycle:
@@ -114,13 +120,13 @@ def pair_events(df: DataFrame, levels: Sequence[Sequence[str]], key: str | Colum
 
 def unpaired(df: DataFrame, levels, key="_tid", role=None, cycle=False, name="event", untraced=(),
              lost: DataFrame | None = None, lost_by: str | None = None, report_orphans: bool = False,
-             max_rows: int | None = None) -> DataFrame:
+             max_rows: int | None = None, reclaim: Sequence[str] = ()) -> DataFrame:
     """Starts still open at the end of the data (or of a lost segment): at most one per key.
 
     ``report_orphans`` adds overwritten starts and ends without a start, with a ``reason`` column.
     """
     if not report_orphans:
-        rows = roles(df, levels, key, role, cycle, name, untraced)
+        rows = roles(df, levels, key, role, cycle, name, untraced, reclaim)
         keys = ["key"]
         if lost is not None:
             rows = mark_lost(rows, lost, lost_by)
@@ -128,19 +134,19 @@ def unpaired(df: DataFrame, levels, key="_tid", role=None, cycle=False, name="ev
         newest = F.max_by(F.struct(name, "seq", "_time", "_cpu", "_tid", "_starts"), F.struct(*ORDER))
         return (rows.groupBy(*keys).agg(newest.alias("r")).where("r._starts")
                 .select("key", f"r.{name}", "r.seq", "r._time", "r._cpu", "r._tid"))
-    tl = pair_timeline(df, levels, key, role, cycle, name, untraced, lost, lost_by, (), max_rows)
+    tl = pair_timeline(df, levels, key, role, cycle, name, untraced, lost, lost_by, (), max_rows, reclaim)
     # The row after a start decides its fate; attach it by scanning for each row's predecessor.
     p = F.col("_prev")
     hop = (p["_level"] + 1) % len(levels) if cycle else p["_level"] + 1
     paired = F.coalesce(F.col("_ends") & p["_starts"] & (p["_time"] < F.col("_time")) & (hop == F.col("_level")),
                         F.lit(False))
     rows = tl.rows().withColumn("_paired", paired)
-    orphan_end = rows.where(F.col("_ends") & ~F.col("_starts") & ~F.col("_paired")).select(
+    orphan_end = rows.where((F.col("_level") != RECLAIMED) & F.col("_ends") & ~F.col("_starts") & ~F.col("_paired")).select(
         "key", name, "seq", "_time", "_cpu", "_tid", F.lit("end").alias("reason"))
     lost_start = rows.where(p["_starts"] & ~F.col("_paired")).select(
         "key", p[name].alias(name), p["seq"].alias("seq"), p["_time"].alias("_time"), p["_cpu"].alias("_cpu"),
         p["_tid"].alias("_tid"), F.lit("overwritten").alias("reason"))
-    still_open = unpaired(df, levels, key, role, cycle, name, untraced, lost, lost_by).withColumn(
+    still_open = unpaired(df, levels, key, role, cycle, name, untraced, lost, lost_by, reclaim=reclaim).withColumn(
         "reason", F.lit("open"))
     return still_open.unionByName(orphan_end).unionByName(lost_start)
 

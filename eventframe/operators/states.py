@@ -172,20 +172,44 @@ def _io_steps(df: DataFrame, stages: Sequence[str], by: Sequence[str], stage: st
     return tl.rows().where(F.col("_was._rank") != len(stages)).withColumn("delay", F.col("_time") - F.col("_was._time"))
 
 
+def _io_merged_steps(df: DataFrame, stages: Sequence[str], by: Sequence[str], stage: str,
+                     max_rows: int | None) -> DataFrame:
+    """As :func:`_io_steps` for requests whose sector ranges change: they are the same while the ranges overlap.
+
+    Ranges are spread over the largest blocks that all starts and lengths are multiples of, so work grows with the
+    sectors, not with pairs of requests. A request passes on to the first later event on any of its blocks; of several
+    that meet in one event (a merge), the latest counts as the previous stage.
+    """
+    rank = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col(stage)).cast("int")
+    rows = df.withColumn("_rank", rank).where("_rank > 0 AND nr_sector > 0")
+    bits = rows.agg(F.bit_or(F.expr("sector | nr_sector"))).first()[0] or 1
+    block = bits & -bits
+    spread = rows.select(*by, stage, *ORDER, "_rank", F.explode(F.expr(
+        f"sequence(sector div {block}, (sector + nr_sector) div {block} - 1)")).alias("_block"))
+    tl = timeline(spread, [*by, "_block"], max_rows=max_rows).scan(_was=prev(*ORDER, "_rank"))
+    met = tl.rows().where("_was IS NOT NULL")
+    now = F.struct(*ORDER, F.col(stage).alias("stage"), F.col("_rank").alias("rank"))
+    nearest = met.groupBy(*by, "_was").agg(F.min(now).alias("_now")).where(F.col("_was._rank") != len(stages))
+    latest = nearest.groupBy(*by, "_now").agg(F.max("_was").alias("_was"))
+    return latest.select(F.col("_now.stage").alias(stage), F.col("_now.rank").alias("_rank"), "_was",
+                         (F.col("_now._time") - F.col("_was._time")).alias("delay"))
+
+
 def io_stages(df: DataFrame, stages: Sequence[str], by: Sequence[str] = ("dev", "sector"), stage: str = "event",
-              than: int | None = None, max_rows: int | None = None) -> DataFrame:
+              than: int | None = None, merged: bool = False, max_rows: int | None = None) -> DataFrame:
     """Per stage: reqs, total, min, avg, max of the time since the request's previous stage on the same sector.
 
+    ``merged=True`` follows requests by overlapping ranges (columns sector, nr_sector; ``by`` without the sector).
     Flush requests (sector -1) should be filtered out before.
     """
-    steps = _io_steps(df, stages, by, stage, max_rows)
+    steps = (_io_merged_steps if merged else _io_steps)(df, stages, by, stage, max_rows)
     return simple_stats(steps, [stage], "delay", than, "reqs").withColumnRenamed(stage, "stage")
 
 
 def io_flags(df: DataFrame, stages: Sequence[str], by: Sequence[str] = ("dev", "sector"), stage: str = "event",
-             max_rows: int | None = None) -> DataFrame:
+             merged: bool = False, max_rows: int | None = None) -> DataFrame:
     """Counts of irregular steps: EXIST (a new request over a live one), BYPASS_INSERT, LOST."""
-    steps = _io_steps(df, stages, by, stage, max_rows)
+    steps = (_io_merged_steps if merged else _io_steps)(df, stages, by, stage, max_rows)
     flag = (F.when(F.col("_rank") == 1, "EXIST")
             .when(F.col("_was._rank") != F.col("_rank") - 1,
                   F.when(F.col("_rank") == 3, "BYPASS_INSERT").otherwise("LOST")))

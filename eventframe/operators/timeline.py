@@ -11,6 +11,7 @@ only, never a result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
@@ -156,9 +157,10 @@ def timeline(df: DataFrame | Timeline, key: Sequence[str] | str, order: Sequence
     if keys:
         frame = join_same(df, table, keys, "left", broadcast=True)
     else:
-        only = table.first()["__cuts"]
-        literal = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(order, c)]) for c in only])
-        frame = df.withColumn("__cuts", literal)
+        # One global order: the cut points become a constant of the plan (integers only).
+        only = [dict(zip(order, c)) for c in table.first()["__cuts"]]
+        kind = table.schema["__cuts"].dataType.simpleString()
+        frame = df.withColumn("__cuts", F.from_json(F.lit(json.dumps(only)), kind))
     return Timeline(frame.withColumn(CHUNK, chunk).drop("__cuts"), keys, order, cut=True)
 
 

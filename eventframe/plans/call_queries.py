@@ -82,3 +82,18 @@ WHERE event = 'error'""")
 def stack_reconstruct(spark, sf):
     found = ca.open_frames(events(spark, sf), FUNCTIONS, ["error"])
     return found.withColumn("stack", F.array_join("stack", ";"))
+
+
+ANY = CALLS + """
+, ent AS (SELECT key, fn, seq, _time FROM c WHERE d = 1),
+sp AS (SELECT a.key, a.fn, a.seq AS s0, a._time AS t0, m.ret_time AS t1, m.ret_id AS s1 FROM ent a
+    LEFT JOIN matched m ON m.key = a.key AND m.entry_id = a.seq),
+en AS (SELECT e2.key, e2.fn, e2.seq, e2._time, sp.fn AS f, sp.t0, sp.s0 FROM ent e2 LEFT JOIN sp ON sp.key = e2.key
+    AND (sp.t0, sp.s0) < (e2._time, e2.seq) AND (sp.t1 IS NULL OR (e2._time, e2.seq) < (sp.t1, sp.s1)))"""
+
+
+@query("call_callers_any", ANY + """
+SELECT key, fn, seq, _time, count(f) + 1 AS level, coalesce(arg_max(f, (t0, s0)), 'root') AS caller
+FROM en GROUP BY key, fn, seq, _time""")
+def call_callers_any(spark, sf):
+    return ca.callers_any_nesting(rows(spark, sf))

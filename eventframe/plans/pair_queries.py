@@ -266,3 +266,11 @@ def lost_ranges(spark):
 @query("pair_lost_ranges", E + LOST + chain_sql(source="kept", part="key, segment", starts="free") + " SELECT * FROM p")
 def pair_lost_ranges(spark, sf):
     return pr.pair_events(events(spark, sf), CHAIN, lost=lost_ranges(spark))
+
+
+@query("pair_reclaim", E + chain_sql(source="(SELECT * FROM e WHERE event <> 'signup')", levels=2).replace(
+    "r0 AS (SELECT *,", "r0 AS (SELECT * EXCLUDE event, CASE event WHEN 'error' THEN 'purchase' ELSE event END AS event, "
+    "event = 'error' AS gone,").replace(ROLE, "CASE WHEN event = 'error' THEN 1 ELSE " + ROLE + " END").replace(
+    "WHERE ends AND pstarts", "WHERE NOT gone AND ends AND pstarts") + " SELECT * FROM p")
+def pair_reclaim(spark, sf):
+    return pr.pair_events(events(spark, sf), TWO, reclaim=["error"])

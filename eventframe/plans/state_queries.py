@@ -160,6 +160,32 @@ def io_flags(spark, sf):
     return sm.io_flags(io_requests(spark, sf), STAGES)
 
 
+# The same requests with ranges of two to eight sectors on a grid of two.
+MERGED = IO.split(",\nq1")[0].replace("l_partkey AS sector,", """l_partkey // 8 * 2 AS sector,
+    (1 + l_linenumber % 4) * 2 AS nr,""") + """,
+b AS (SELECT q.*, unnest(range(sector // 2, (sector + nr) // 2)) AS blk FROM q),
+l AS (SELECT dev, seq, _time, r, lag(seq) OVER w AS pseq, lag(_time) OVER w AS pt, lag(r) OVER w AS pr FROM b
+    WINDOW w AS (PARTITION BY dev, blk ORDER BY _time, seq)),
+m AS (SELECT DISTINCT dev, seq, _time, r, pseq, pt, pr FROM l WHERE pseq IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY dev, pt, pseq ORDER BY _time, seq) AS a FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY dev, _time, seq ORDER BY pt DESC, pseq DESC) AS z FROM n
+    WHERE a = 1 AND pr <> 4),
+q2 AS (SELECT ['getrq', 'insert', 'issue', 'complete'][r] AS stage, _time - pt AS delay FROM o WHERE z = 1)"""
+
+
+@query("io_stages_merged", MERGED + """
+SELECT stage, count(*) AS reqs, CAST(sum(delay) AS BIGINT) AS total, min(delay) AS min, max(delay) AS max,
+  CAST(sum(delay) AS BIGINT) // count(*) AS avg FROM q2 GROUP BY stage""")
+def io_stages_merged(spark, sf):
+    ranges = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("dev"), F.expr("l_partkey div 8 * 2").alias("sector"),
+        F.expr("(1 + l_linenumber % 4) * 2").alias("nr_sector"),
+        int_div(epoch_ns("l_shipdate"), F.lit(1_000_000)).alias("_time"),
+        F.expr("l_orderkey * 8 + l_linenumber").alias("seq"),
+        F.get(F.array(*[F.lit(s) for s in STAGES]), F.expr("l_linenumber % 4")).alias("event"))
+    return sm.io_stages(ranges, STAGES, by=["dev"], merged=True)
+
+
 EXITS = E + """
 , x0 AS (SELECT *, k % 2 AS isa, k % 6 AS reason, num AS guest_ip FROM e WHERE event IN ('view', 'click')),
 x1 AS (SELECT *, last_value(CASE WHEN event = 'view' THEN seq END IGNORE NULLS) OVER (PARTITION BY _cpu

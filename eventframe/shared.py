@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="eventframe-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder; a local temporary folder only where none is set."""
-    base = spark.conf.get(SETTING, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="eventframe-")
-        spark.conf.set(SETTING, base)
+    base = spark.conf.get(SETTING, None) or _local_dir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

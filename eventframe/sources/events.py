@@ -73,21 +73,18 @@ def since(df: DataFrame, start: int) -> DataFrame:
     return df.where(F.col("_time") >= start)
 
 
-def write_events(df: DataFrame, path: str, interval: int | None = None, key: str | None = None,
-                 files_per_event: int = 0) -> None:
+def write_events(df: DataFrame, path: str, interval: int | None = None, key: str | None = None) -> None:
     """Persist events partitioned by type (and interval number), sorted by key and time inside files.
 
-    ``files_per_event`` > 0 spreads every type over that many tasks, so that one frequent type is not one task.
+    The rebalance lets AQE size the files: a type with most of the rows is split over many tasks, rare ones share one.
     """
     parts = ["event"]
     if interval:
-        df = df.withColumn("interval", F.expr(f"_time div {interval}"))
+        df = df.withColumn("interval", F.expr(f"_time div {interval}L"))
         parts.append("interval")
-    if files_per_event:
-        df = df.withColumn("__s", F.pmod(F.xxhash64("seq"), F.lit(files_per_event)))
-        df = df.repartition(*parts, "__s").drop("__s")
     order = parts + [c for c in (key, *ORDER) if c]
-    df.sortWithinPartitions(*order).write.mode("errorifexists").partitionBy(*parts).parquet(path)
+    balanced = df.hint("rebalance", *[F.col(p) for p in parts]).sortWithinPartitions(*order)
+    balanced.write.mode("errorifexists").partitionBy(*parts).parquet(path)
 
 
 def stream_events(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -212,3 +209,17 @@ def run_handlers(df: DataFrame, handlers: Mapping[str, Callable], schema: str |
                     yield out
 
     return wanted.mapInPandas(apply, schema)
+
+
+def for_each_interval(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str):
+    """Call ``handler(events, number)`` on every report interval (micro-batch) of a stream; returns the query."""
+    return (stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def on_lost(lost: DataFrame, handler: Callable, schema: str | T.StructType) -> DataFrame:
+    """Call ``handler(pandas_frame) -> pandas_frame`` on Arrow batches of lost ranges (start_time, end_time, ...)."""
+    def apply(batches):
+        for batch in batches:
+            yield handler(batch)
+    return lost.mapInPandas(apply, schema)

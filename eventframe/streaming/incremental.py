@@ -115,7 +115,7 @@ def stream_pairs(stream: DataFrame, levels: Sequence[Sequence[str]], root: str,
     """Pairs of :func:`pair_events` over a stream. Starts stay open across batches."""
     def step(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         marked = pr.roles(rows, levels, key, options.get("role"), options.get("cycle", False),
-                          options.get("name", "event"), options.get("untraced", ()))
+                          options.get("name", "event"), options.get("untraced", ()), options.get("reclaim", ()))
         return pr.pair_events(rows, levels, key, **options), _newest(marked, ["key"], F.col("_starts"), rows.columns)
     return Incremental(stream, step, root, delay)
 

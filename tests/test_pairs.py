@@ -138,3 +138,10 @@ def test_rundelay_and_wakeups(spark):
                                   ).withColumns({"_cpu": F.lit(1), "_tid": F.lit(3).cast("bigint")})
     # 8: woken at 15, runs at 20; 7 left asleep (state 1) so its switch-in at 30 has no start; 1 was preempted at 10.
     assert rows_of(pr.rundelay(switches, wakes), "key", "start", "latency") == [(8, "sched_wakeup", 5)]
+
+
+def test_reclaim(make):
+    events = [("a", 1, 1), ("x", 2, 1), ("c", 3, 1), ("a", 4, 1), ("c", 5, 1), ("a", 6, 2), ("x", 7, 2)]
+    two = [["a"], ["c"]]
+    assert rows_of(pr.pair_events(make(events), two, reclaim=["x"]), "start_id", "end_id") == [(3, 4)]
+    assert rows_of(pr.unpaired(make(events), two, reclaim=["x"])) == []

@@ -199,3 +199,42 @@ def test_slots(make):
     assert rows == {("a", 0): [2, 0, 0], ("b", 0): [0, 0, 1], ("a", 1): [1, 0, 0]}
     idle = ct.slots_where(df, "a + b = 0", ["a", "b"], 10, fill=True)
     assert rows_of(idle, "slot") == [(1,)]
+
+
+@pytest.mark.parametrize("max_rows", [None, 40])
+def test_callers_with_crossing_returns(make, max_rows):
+    events = random_events(9, 300, "eErRe", 3)
+    functions = {"f": ("e", "r"), "g": ("E", "R")}
+    open_, want = {}, []
+    for i, (e, t, k, *_) in enumerate(events):
+        stack = open_.setdefault(k, [])
+        fn = "f" if e in "er" else "g"
+        if e in "eE":
+            want.append((i, len(stack) + 1, stack[-1][1] if stack else "root"))
+            stack.append((i, fn))
+        else:
+            mine = [x for x in stack if x[1] == fn]
+            if mine:
+                stack.remove(mine[-1])
+    calls = ca.call_rows(make(events), functions, max_rows=max_rows)
+    assert rows_of(ca.callers_any_nesting(calls), "seq", "level", "caller") == want
+
+
+@pytest.mark.parametrize("max_rows", [None, 30])
+def test_merged_io(spark, max_rows):
+    stages = ["get", "insert", "issue", "complete"]
+    rng = random.Random(10)
+    events = [(rng.choice(stages), t, rng.randrange(0, 40, 4), rng.choice([4, 8, 12])) for t in range(250)]
+    live, want = [], []
+    for e, t, s, n in events:
+        met = [x for x in live if x[2] < s + n and s < x[2] + x[3]]
+        if met:
+            want.append((e, t - max(x[1] for x in met)))
+        live = [x for x in live if x not in met]
+        if e != "complete":
+            live.append((e, t, s, n))
+    df = spark.createDataFrame([(e, t, i, 0, s, n) for i, (e, t, s, n) in enumerate(events)],
+                               "event string, _time bigint, seq bigint, dev int, sector bigint, nr_sector bigint")
+    got = {r["stage"]: (r["reqs"], r["total"]) for r in
+           sm.io_stages(df, stages, by=["dev"], merged=True, max_rows=max_rows).collect()}
+    assert got == {s: (len(v), sum(v)) for s in stages if (v := [d for e, d in want if e == s])}
