@@ -30,28 +30,34 @@ def _cell(value: Column) -> Column:
 
 def distribution(df: DataFrame, by: Sequence[str], value: str | Column,
                  quantiles: Mapping[str, str] = LATENCY_QUANTILES, than: int | None = None,
-                 exact: bool = True, wide: bool = False) -> DataFrame:
+                 exact: bool = True, wide: bool = False,
+                 sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Per group: calls, total, min, the quantiles (discrete), max and, with ``than``, the number above it.
 
     ``exact=False`` uses Spark's mergeable quantile sketch instead: one shuffle, relative rank error 1e-4.
-    ``wide=True`` returns the total as DECIMAL(38,0), for sums beyond 2^63 (292 years in ns).
+    ``sums``: further columns summed per group in the same pass. ``wide=True`` returns the total as DECIMAL(38,0), for sums beyond 2^63 (292 years in ns).
     """
     by = list(by)
-    values = df.select(*by, as_column(value).cast("bigint").alias("__v")).where("__v IS NOT NULL")
+    more = dict(sums or {})
+    values = df.select(*by, as_column(value).cast("bigint").alias("__v"),
+                       *[c.alias(n) for n, c in more.items()]).where("__v IS NOT NULL")
     if not exact or not quantiles:
         aggs = _basic(F.count("*"), F.sum(widen("__v", wide)), F.min("__v"), F.max("__v"))
         for name, p in quantiles.items():
             aggs.insert(-1, F.percentile_approx("__v", float(p), 10_000).alias(name))
         if than is not None:
             aggs.append(F.count_if(F.col("__v") > than).alias("than"))
+        aggs += [F.sum(n).alias(n) for n in more]
         return values.groupBy(*by).agg(*aggs)
 
-    counts = values.groupBy(*by, "__v").agg(F.count("*").alias("__n"))
+    counts = values.groupBy(*by, "__v").agg(
+        F.count("*").alias("__n"), *[F.sum(n).alias(n) for n in more])
     celled = counts.withColumn("__cell", _cell(F.col("__v")))
     above = F.sum(F.when(F.col("__v") > than, F.col("__n")).otherwise(0)) if than is not None else F.lit(0)
     cells = celled.groupBy(*by, "__cell").agg(
         F.sum("__n").alias("__cn"), F.sum(widen("__v", wide) * F.col("__n")).alias("__cs"),
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), above.cast("bigint").alias("__above"),
+        *[F.sum(n).alias(n) for n in more],
     )
     whole = Window.partitionBy(*(by or [F.lit(0)]))
     cum = F.sum("__cn").over(whole.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0))
@@ -59,13 +65,13 @@ def distribution(df: DataFrame, by: Sequence[str], value: str | Column,
         "__before": cum - F.col("__cn"),
         "__calls": F.sum("__cn").over(whole), "__total": F.sum("__cs").over(whole),
         "__min": F.min("__lo").over(whole), "__max": F.max("__hi").over(whole),
-        "__than": F.sum("__above").over(whole),
+        "__than": F.sum("__above").over(whole), **{f"__s_{n}": F.sum(n).over(whole) for n in more},
     })
     rank = {name: _rank(p, F.col("__calls")) for name, p in quantiles.items()}
     holds = any_of([(F.col("__before") < r) & (r <= F.col("__before") + F.col("__cn")) for r in rank.values()])
-    wanted = cells.where(holds).drop("__cn", "__cs", "__lo", "__hi", "__above")
+    wanted = cells.where(holds).drop("__cn", "__cs", "__lo", "__hi", "__above", *more)
     inside = Window.partitionBy(*by, "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = join_same(celled, wanted, [*by, "__cell"]).withColumn(
+    ranked = join_same(celled.drop(*more), wanted, [*by, "__cell"]).withColumn(
         "__at", F.col("__before") + F.sum("__n").over(inside))
     picks = [F.min(F.when((F.col("__at") >= r) & (F.col("__before") < r), F.col("__v"))).alias(name)
              for name, r in rank.items()]
@@ -73,6 +79,7 @@ def distribution(df: DataFrame, by: Sequence[str], value: str | Column,
     aggs[-1:-1] = picks
     if than is not None:
         aggs.append(F.first("__than").alias("than"))
+    aggs += [F.first(f"__s_{n}").alias(n) for n in more]
     return ranked.groupBy(*by).agg(*aggs)
 
 

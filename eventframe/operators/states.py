@@ -246,17 +246,15 @@ def exit_stats(spans: DataFrame, kernel_start: int, by: Sequence[str] = (), than
 
     ``than`` counts slow exits other than the halt reason of each isa.
     """
-    groups = ["isa", "reason", *by]
-    stats = distribution(spans, groups, "latency", {"p99": "0.99"})
     low = F.lit(-(1 << 63))
-    in_kernel = F.col("guest_ip").bitwiseXOR(low) >= F.lit(kernel_start).bitwiseXOR(low)
-    extra = [F.sum(F.when(in_kernel, F.col("latency")).otherwise(0)).alias("_gsys")]
+    in_kernel = F.col("guest_ip").bitwiseXOR(low) >= F.lit(kernel_start).bitwiseXOR(low)   # addresses are unsigned
+    sums = {"_gsys": F.when(in_kernel, F.col("latency")).otherwise(0)}
     if than is not None:
         slow = F.col("latency") > than
         for isa, reason in (hlt or {}).items():
             slow = slow & ~((F.col("isa") == isa) & (F.col("reason") == reason))
-        extra.append(F.count_if(slow).alias("than"))
-    out = stats.join(spans.groupBy(*groups).agg(*extra), groups)
+        sums["than"] = slow.cast("bigint")
+    out = distribution(spans, ["isa", "reason", *by], "latency", {"p99": "0.99"}, sums=sums)
     return out.withColumns({
         "avg": int_div("total", "calls"),
         "gsys_pct": F.round(F.col("_gsys") * 100.0 / F.col("total"), 2)}).drop("_gsys")

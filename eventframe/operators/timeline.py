@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import ORDER, as_column, join_same
+from ..shared import stored
 
 CHUNK = "_chunk"
 MAX_ROWS = 4_000_000    # rows of one key a single task may hold
@@ -74,6 +75,7 @@ class Timeline:
     order: tuple[str, ...]
     cut: bool
     bounded: bool = True    # carried rows are few enough to broadcast
+    scanned: bool = False   # the frame already holds a scan over chunks
 
     def map(self, fn: Callable[[DataFrame], DataFrame]) -> Timeline:
         """Filter rows or add columns; key, order and chunk columns must be kept."""
@@ -89,7 +91,13 @@ class Timeline:
         return Window.partitionBy(*(parts or [F.lit(0)])).orderBy(*self.order)
 
     def scan(self, **scans: Scan) -> Timeline:
-        """Add running columns."""
+        """Add running columns.
+
+        Chunks read the frame twice (rows and carried values). A second scan over chunks therefore starts from a
+        stored copy, so that the work adds up instead of doubling with every scan.
+        """
+        if self.cut and self.scanned:
+            return replace(self, frame=stored(self.frame, "timeline"), scanned=False).scan(**scans)
         w = self.window()
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = {}
@@ -109,7 +117,8 @@ class Timeline:
             carry, here = F.col(f"__c_{name}"), F.col(name)
             combine = _COMBINE.get(s.kind)
             merged[name] = combine(carry, here) if combine else F.coalesce(here, carry)
-        return replace(self, frame=carried.withColumns(merged).drop(*[f"__c_{n}" for n in scans]))
+        done = carried.withColumns(merged).drop(*[f"__c_{n}" for n in scans])
+        return replace(self, frame=done, scanned=True)
 
     def _carry(self, scans: dict[str, Scan]) -> DataFrame:
         """Per (hot key, chunk): what the earlier chunks leave behind; at most 2 * MAX_HOT rows unless rekeyed."""

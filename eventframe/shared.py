@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -20,3 +20,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder; a local temporary folder only where none is set."""
     base = spark.conf.get(SETTING, None) or _local_dir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder: later plans read it back instead of computing it again."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
