@@ -66,17 +66,19 @@ def task_states(moves: DataFrame, only: Sequence[str] | None = None, tasks: Colu
     """
     if tasks is not None:
         moves = moves.where(tasks)
-    tl = effective_moves(moves, only, lost, max_rows)
+    return spent(effective_moves(moves, only, lost, max_rows), sleep_only=bool(only))
+
+
+def spent(moves: Timeline, sleep_only: bool = False) -> DataFrame:
+    """The state that ends with each effective move, and for how long it lasted."""
     p = F.col("_before")
     known = p.isNotNull() & ~p["_dies"]
     runnable = ~p["_sleeps"]
-    state = (
-        F.when(F.col("kind").isin("wake", "new"), F.when(p["_sleeps"], p["state"]))
-        .when(F.lit(bool(only)), F.lit(None).cast("string"))
-        .when((F.col("kind") == "out") & runnable, F.lit("R"))
-        .when((F.col("kind") == "in") & runnable, F.lit("RD"))
-    )
-    out = tl.rows().where(known & (p["_time"] < F.col("_time"))).withColumn("_spent", state)
+    state = F.when(F.col("kind").isin("wake", "new"), F.when(p["_sleeps"], p["state"]))
+    if not sleep_only:
+        state = (state.when((F.col("kind") == "out") & runnable, F.lit("R"))
+                 .when((F.col("kind") == "in") & runnable, F.lit("RD")))
+    out = moves.rows().where(known & (p["_time"] < F.col("_time"))).withColumn("_spent", state)
     return out.where("_spent IS NOT NULL").select(
         "task", F.col("_spent").alias("state"), p["_time"].alias("from_time"), F.col("_time").alias("to_time"),
         p["seq"].alias("from_id"), F.col("seq").alias("to_id"), (F.col("_time") - p["_time"]).alias("duration"))

@@ -55,12 +55,12 @@ class Incremental:
         held = self._load("held", batch - 1, new)
         opened = self._load("open", batch - 1, new)
         new = new.persist()
-        newest = new.agg(F.max("_time")).first()[0]
+        late = F.lit(False) if passed is None else F.col("_time") <= passed
+        newest, too_late = new.agg(F.max("_time"), F.count_if(late)).first()
         horizon = passed
         if newest is not None:
             horizon = newest - self.delay if passed is None else max(passed, newest - self.delay)
-        late = F.lit(False) if passed is None else F.col("_time") <= passed
-        rows = new.where(~late)
+        rows = new.where(~late) if too_late else new
         if held is not None:
             rows = rows.unionByName(held)
         ready = F.lit(True) if flush else F.col("_time") <= (horizon if horizon is not None else 0)
@@ -71,8 +71,9 @@ class Incremental:
         output.write.mode("overwrite").parquet(self._path("out", batch))
         still_open.select(*new.columns).write.mode("overwrite").parquet(self._path("open", batch))
         rows.where(~ready).write.mode("overwrite").parquet(self._path("held", batch))
-        # Rows behind the horizon can no longer be put in order; they are kept aside, not dropped.
-        new.where(late).write.mode("overwrite").parquet(self._path("late", batch))
+        if too_late or self.final < 0:
+            # Rows behind the horizon can no longer be put in order; they are kept aside, not dropped.
+            new.where(late).write.mode("overwrite").parquet(self._path("late", batch))
         spark.range(1).select(F.lit(horizon).cast("bigint").alias("horizon")).write.mode("overwrite").parquet(
             self._path("horizon", batch))
         new.unpersist()
@@ -124,8 +125,8 @@ def stream_task_states(stream: DataFrame, root: str, delay: int) -> Incremental:
     """Durations of :func:`task_states` over a stream of task moves (task, kind, state, _time, seq)."""
     def step(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         # The newest move that had an effect is the task's state; dead tasks leave nothing behind.
-        effective = sm.effective_moves(rows).rows()
-        return sm.task_states(rows), _newest(effective, ["task"], ~F.col("_dies"), MOVE_COLUMNS)
+        effective = sm.effective_moves(rows)
+        return sm.spent(effective), _newest(effective.rows(), ["task"], ~F.col("_dies"), MOVE_COLUMNS)
     return Incremental(stream, step, root, delay)
 
 
