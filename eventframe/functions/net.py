@@ -40,16 +40,21 @@ def _dotted(b: Column, at: int = 0, reverse: bool = False) -> Column:
     return F.concat_ws(".", *[_number(_hex(b, at + i)) for i in order])
 
 
+def _ipv4_text(b: Column, shifts: tuple[int, ...]) -> Column:
+    # One hex conversion per value: outside of a CASE branch, codegen shares it between the four octets.
+    n = F.conv(F.hex(F.when(F.octet_length(b) == 4, b)), 16, 10).cast("bigint")
+    text = F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in shifts])
+    return F.coalesce(F.nullif(text, F.lit("")), F.when(b.isNotNull(), F.lit(UNKNOWN)))
+
+
 def ipv4_str(col: str | Column) -> Column:
     """4 bytes in network order."""
-    b = as_column(col)
-    return _sized(b, 4, _dotted(b))
+    return _ipv4_text(as_column(col), (24, 16, 8, 0))
 
 
 def ipv4_hstr(col: str | Column) -> Column:
     """4 bytes in (little-endian) host order."""
-    b = as_column(col)
-    return _sized(b, 4, _dotted(b, reverse=True))
+    return _ipv4_text(as_column(col), (0, 8, 16, 24))
 
 
 def _ipv6_text(b: Column, at: int = 0) -> Column:

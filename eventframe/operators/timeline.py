@@ -1,6 +1,6 @@
 """Ordered scans per key that stay balanced when one key holds much of the data.
 
-A plain window puts all rows of a key into one task. Here one counting job (key column only) looks for keys
+A plain window puts all rows of a key into one task. Here one job over a sample of the key columns looks for keys
 with more rows than a task should hold. When there are none - the usual case - scans are plain windows. Otherwise
 only the hot keys are cut into consecutive chunks of their own timeline, windows run per (key, chunk), and what a
 chunk needs from the rows before it (last row, running sum/min/max) comes from one small row per chunk.
@@ -26,6 +26,7 @@ CHUNK = "_chunk"
 MAX_ROWS = 4_000_000    # rows of one key a single task may hold
 MAX_HOT = 10_000        # upper bound on hot keys, and on chunks beyond one per hot key
 MARKS_PER_CHUNK = 64    # sampled positions per chunk from which cut points are chosen
+SHOWS = 4_096           # sampled rows by which a key of MAX_ROWS rows is recognised
 
 
 @dataclass(frozen=True)
@@ -151,7 +152,7 @@ def timeline(df: DataFrame | Timeline, key: Sequence[str] | str, order: Sequence
              max_rows: int | None = None) -> Timeline:
     """Order the rows of each key, cutting keys that exceed ``max_rows`` rows.
 
-    Runs one counting job over the key columns, and two small ones when hot keys exist. An empty key means one
+    Runs one job over a sample of the key columns, and two small ones when hot keys exist. An empty key means one
     global order.
     """
     if isinstance(df, Timeline):
@@ -186,26 +187,34 @@ def position(sorted_array: str | Column, x: Column, longest: int) -> Column:
 
 def _find_cuts(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...],
                max_rows: int) -> tuple[DataFrame, int] | None:
-    sizes = df.groupBy(*key).agg(F.count("*").alias("__n"))
+    """Cut points of the hot keys: (table of key and ``__cuts``, longest list), or None.
+
+    Sizes are estimated from a row sample in which a full task's worth of a key shows some SHOWS rows, so the job
+    reads the key columns and shuffles next to nothing. Only the placement of rows depends on it.
+    """
+    step = max(1, max_rows // SHOWS)
+    seen = df.select(*key)
+    sizes = (seen if step == 1 else seen.sample(1 / step, seed=1)).groupBy(*key).agg(F.count("*").alias("__n"))
     total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
-    if not largest or largest <= max_rows:
+    # More than total / MAX_HOT sampled rows each, so fewer than MAX_HOT keys qualify.
+    limit = max(max_rows // step, -(-(total or 0) // MAX_HOT))
+    if not largest or largest <= limit:
         return None
-    # More than total / MAX_HOT rows each, so fewer than MAX_HOT keys qualify.
-    limit = max(max_rows, -(-total // MAX_HOT))
-    step = max(1, limit // MARKS_PER_CHUNK)
+    mark_step = max(1, limit * step // MARKS_PER_CHUNK)
     marks = df
     if key:
-        hot = sizes.where(F.col("__n") > limit).drop("__n")
+        hot = sizes.where(F.col("__n") > limit).select(*key)
         marks = join_same(df, hot, key, "left_semi", broadcast=True)
-    marks = marks.select(*key, *order).where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0)
+    marks = marks.select(*key, *order)
+    marks = marks if mark_step == 1 else marks.sample(1 / mark_step, seed=2)
     w = Window.partitionBy(*(key or [F.lit(0)])).orderBy(*order)
     chosen = (
         marks.withColumn("__i", F.row_number().over(w))
-        .where(F.col("__i") % max(1, limit // step) == 0)
+        .where(F.col("__i") % max(1, limit * step // mark_step) == 0)
         .groupBy(*key)
         .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("__cuts"))
     )
-    found = chosen.collect()   # at most MAX_HOT rows with MAX_HOT cut points in all
+    found = chosen.collect()   # fewer than MAX_HOT rows, with about MAX_HOT cut points in all
     if not found:
         return None
     schema = T.StructType(chosen.schema.fields)
