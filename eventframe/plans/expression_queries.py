@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net, text
 from ..functions.filters import comm_filter, context_filter, derive
+from ..functions.sql import register_functions, register_symbols
 from ..operators.enrich import in_symbol, lookup_join
 from .registry import E, events, query, table
 
@@ -237,3 +238,20 @@ FROM (SELECT s_suppkey, c_custkey, lpad(printf('%x', c_custkey * 16777213 + s_su
 def fn_mac(spark, sf):
     pairs = table(spark, sf, "customer").join(table(spark, sf, "supplier"), F.expr("s_nationkey = c_nationkey"))
     return pairs.select("s_suppkey", "c_custkey", net.mac_str(_bytes("c_custkey * 16777213 + s_suppkey", 6)).alias("mac"))
+
+
+@query("sql_functions", """
+SELECT o_orderkey, concat_ws('.', (o_custkey >> 24) & 255, (o_custkey >> 16) & 255, (o_custkey >> 8) & 255, o_custkey & 255)
+  AS ip, concat_ws(':', h[1:2], h[3:4], h[5:6], h[7:8], h[9:10], h[11:12]) AS mac,
+  ((o_custkey & 255) << 8) | ((o_custkey >> 8) & 255) AS short,
+  CASE WHEN left(o_orderpriority, 3) < '3-M' THEN -1 WHEN left(o_orderpriority, 3) > '3-M' THEN 1 ELSE 0 END AS cmp,
+  CASE o_custkey % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'open' ELSE '??' END AS call
+FROM (SELECT *, lpad(printf('%x', o_orderkey * 16777213), 12, '0') AS h FROM orders)""")
+def sql_functions(spark, sf):
+    register_functions(spark)
+    register_symbols(spark, "syscall", CALLS, "??")
+    return spark.sql("""
+        SELECT o_orderkey, ipv4_str(unhex(lpad(hex(o_custkey), 8, '0'))) AS ip,
+          mac_str(unhex(lpad(hex(o_orderkey * 16777213), 12, '0'))) AS mac, ntohs(o_custkey) AS short,
+          strncmp(o_orderpriority, '3-MEDIUM', 3) AS cmp, syscall(o_custkey % 4) AS call
+        FROM {o}""", o=table(spark, sf, "orders"))

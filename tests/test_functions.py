@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eventframe.functions import net, text
 from eventframe.functions.quantiles import distribution
+from eventframe.functions.sql import register_functions, register_symbols
 from eventframe.schema import ns, parse_ranges
 
 
@@ -105,3 +106,20 @@ def test_distribution_is_exact(spark):
         assert (r["calls"], r["total"], r["min"], r["max"]) == (n, sum(mine), mine[0], mine[-1])
         assert (r["p1"], r["p50"], r["p999"]) == tuple(mine[-(-n * k // 1000) - 1] for k in (10, 500, 999))
         assert r["than"] == sum(v > 100 for v in mine)
+
+
+def test_sql_functions_agree_with_columns(spark):
+    names = register_functions(spark)
+    assert {"ipv4_str", "ipv6_str", "ipsa_hstr", "guid_str", "ntohl"} <= set(names)
+    rng = random.Random(4)
+    v4 = bytes([2, 0, 0x1F, 0x90, 10, 0, 0, 1]) + bytes(8)
+    v6 = bytes([10, 0, 0x01, 0xBB]) + bytes(4) + ipaddress.IPv6Address("fe80::1").packed + bytes(4)
+    values = [rng.randbytes(4), rng.randbytes(6), rng.randbytes(16), v4, v6, b"", b"abc", None, bytes(16),
+              bytes(10) + b"\xff\xff\1\2\3\4", bytes(12) + b"\1\2\3\4", *[random_v6(rng) for _ in range(60)]]
+    df = spark.createDataFrame([(b,) for b in values], "b binary")
+    for name in ("ipv4_str", "ipv4_hstr", "ipv6_str", "ipsa_str", "ipsa_hstr", "uuid_str", "guid_str", "mac_str"):
+        for r in df.select("b", F.expr(f"{name}(b)").alias("s"), getattr(net, name)("b").alias("c")).collect():
+            assert r["s"] == r["c"], (name, r)
+    register_symbols(spark, "state_name", {1: "it's", 2: "two"})
+    assert tuple(spark.sql("SELECT state_name(1), state_name(2), state_name(9), ntohl(16909060)").first()) == (
+        "it's", "two", "UNKNOWN", 67305985)
