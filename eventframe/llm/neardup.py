@@ -25,7 +25,7 @@ from .runs import by_key, runs
 BANDS, ROWS = 32, 4     # at a similarity of 0.8 all bands differ in 5 of 10^8 cases
 HASHES = BANDS * ROWS
 SLICE = 4096            # shingles hashed together
-BLOCK = 64              # members of a bucket in one block
+BLOCK = 512             # members of a bucket in one block, in expectation
 SLACK = 4.5             # standard deviations below the threshold down to which signatures may agree
 
 
@@ -117,59 +117,67 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, node, rep, component, rep_component); nodes without a link are their own component."""
+    """(key, band, node, rep, component, rep_component); nodes without a link are their own component."""
     by = known.select(F.col("node").alias("rep"), F.col("component").alias("rc"))
     return (members.join(known, "node", "left").join(by, "rep", "left")
-            .select("key", "node", "rep", F.coalesce("component", "node").alias("component"), F.coalesce("rc", "rep").alias("rep_component")))
+            .select("key", "band", "node", "rep", F.coalesce("component", "node").alias("component"), F.coalesce("rc", "rep").alias("rep_component")))
 
 
-def open_pairs(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, agree): members of one bucket in different components, neither its smallest, whose signatures agree enough.
+def open_links(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): similar members of one bucket in different components, neither its smallest; enough to join the components.
 
     In a bucket, those outside the component of its smallest member are compared with all others; both sides are cut
-    into blocks of about BLOCK members, and a pair of blocks is one unit of work.
+    into blocks of about BLOCK members, and a pair of blocks is one unit of work. Pairs with the smallest member have been
+    compared before, and a pair that shares several buckets is compared in that of the first band.
     """
-    placed = _placed(members, known)
+    placed = _placed(members, known).where("node <> rep")
     outside = F.col("component") != F.col("rep_component")
-    size = placed.where("node <> rep").groupBy("key").agg(F.count(F.when(outside, 1)).alias("out"), F.count(F.when(~outside, 1)).alias("in"))
+    size = placed.groupBy("key").agg(F.count(F.when(outside, 1)).alias("out"), F.count(F.when(~outside, 1)).alias("in"))
     size = size.where("out > 1 or (out > 0 and in > 0)").select("key", F.ceil(F.col("out") / BLOCK).cast("int").alias("nout"), F.ceil(F.col("in") / BLOCK).cast("int").alias("nin"))
-    open_ = placed.where("node <> rep").join(size, "key").withColumn("outside", outside)
+    open_ = placed.join(size, "key").withColumn("outside", outside)
     block = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("nout")).otherwise(F.greatest("nin", F.lit(1)))).cast("int")
     open_ = open_.withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("nout") - 1)).alias("o")
-    among = open_.where("outside").select("key", "node", "component", "block", other).select(
-        "key", "node", "component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.lit(0).alias("side"))
-    left = open_.where("outside and nin > 0").select("key", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("nin") - 1)).alias("o")).select(
-        "key", "node", "component", F.col("block").alias("i"), (-1 - F.col("o")).alias("j"), F.lit(0).alias("side"))
-    right = open_.where("not outside").select("key", "node", "component", "block", other).select(
-        "key", "node", "component", F.col("o").alias("i"), (-1 - F.col("block")).alias("j"), F.lit(1).alias("side"))
-    cells = among.unionByName(left).unionByName(right)
-    cells = by_key(cells.join(sets.select("node", "n", "signature"), "node"), ["key", "i", "j"])
+    # Cells: blocks i <= j of those outside, or block i of those outside with block -1 - j of the others.
+    with_out = F.transform(F.sequence(F.lit(0), F.col("nout") - 1), lambda o: F.when(
+        F.col("outside"), F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))).otherwise(
+        F.struct(o.alias("i"), (-1 - F.col("block")).alias("j"))))
+    with_in = F.when(F.col("outside") & (F.col("nin") > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.col("nin") - 1, F.lit(0))), lambda o: F.struct(
+        F.col("block").alias("i"), (-1 - o).alias("j")))).otherwise(F.expr("cast(array() as array<struct<i:int,j:int>>)"))
+    cells = open_.select("key", "band", "node", "component", "outside", F.explode(F.concat(with_out, with_in)).alias("c"))
+    cells = cells.select("key", "band", "node", "component", F.col("outside").cast("int").alias("outside"), "c.i", "c.j")
+    cells = by_key(cells.join(sets, "node"), ["key", "i", "j"])
     least = least_agreement(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, ["key", "i", "j"]):
-            node, comp, n, side, j = (table.column(c).to_numpy() for c in ("node", "component", "n", "side", "j"))
+            node, comp, n, out, j, band = (table.column(c).to_numpy() for c in ("node", "component", "n", "outside", "j", "band"))
             signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-            us, vs, agree = [], [], []
+            shingles = table.column("shingles")
+            us, vs = [], []
             for s, e in bounds:
+                comp_now = comp[s:e].copy()
                 for x in range(s, e):
-                    if j[s] < 0:        # two kinds of blocks: those outside with the others
-                        if side[x]:
-                            continue
-                        near = s + np.flatnonzero(side[s:e] == 1)
+                    if j[s] < 0:
+                        near = s + np.flatnonzero(out[s:e] == 0) if out[x] else ()
                     else:
                         near = np.arange(x + 1, e)
-                    near = near[(comp[near] != comp[x]) & (np.minimum(n[near], n[x]) * 100 >= np.maximum(n[near], n[x]) * percent)]
-                    if len(near):
-                        same = (signature[near] == signature[x]).mean(1)
-                        good = same >= least
-                        us += np.minimum(node[near[good]], node[x]).tolist()
-                        vs += np.maximum(node[near[good]], node[x]).tolist()
-                        agree += same[good].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(agree, pa.float64())], ["u", "v", "agree"])
+                    if not len(near):
+                        continue
+                    near = near[(comp_now[near - s] != comp_now[x - s]) & (np.minimum(n[near], n[x]) * 100 >= np.maximum(n[near], n[x]) * percent)]
+                    equal = signature[near] == signature[x]
+                    first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1)
+                    for y in near[(equal.mean(1) >= least) & (first == band[s])].tolist():
+                        if comp_now[x - s] == comp_now[y - s]:
+                            continue
+                        a, b = (np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in (x, y))
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if 100 * both >= percent * (len(a) + len(b) - both):
+                            us.append(int(node[x]))
+                            vs.append(int(node[y]))
+                            comp_now[comp_now == comp_now[y - s]] = comp_now[x - s]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return cells.mapInArrow(run, "u long, v long, agree double").groupBy("u", "v").agg(F.max("agree").alias("agree"))
+    return cells.mapInArrow(run, "u long, v long")
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -182,9 +190,9 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def link_components(documents: DataFrame, signed: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of all classes that are linked with another one."""
-    bands = signed.where("n > 0").select("node", F.explode("bands").alias("key"))
+    bands = signed.where("n > 0").select("node", F.posexplode("bands").alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep <> last").select("key", "rep")
-    members = stored(bands.join(buckets, "key").select("key", "node", "rep").distinct(), "buckets")
+    members = stored(bands.join(buckets, "key").select("key", "band", "node", "rep").distinct(), "buckets")
     first = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(shingle_sets(documents, first.join(members.select("node").distinct(), "node"), k), "sets")
 
@@ -196,21 +204,8 @@ def link_components(documents: DataFrame, signed: DataFrame, k: int, percent: in
     links = links.unionByName(stored(verify(rest, sets, percent), "links"))
     known = stored(components(links), "components")
 
-    open_ = open_pairs(members, known, sets, percent).join(stars.distinct(), ["u", "v"], "left_anti")
-    open_ = stored(open_, "pairs")
-    if open_.isEmpty():
-        return known
-    # The pair of each class that agrees best comes first; what it joins need not be compared further.
-    ends = open_.unionByName(open_.select(F.col("v").alias("u"), F.col("u").alias("v"), "agree"))
-    best = ends.groupBy("u").agg(F.max(F.struct("agree", "v")).alias("b")).select(
-        F.least("u", "b.v").alias("u"), F.greatest(F.col("u"), F.col("b.v")).alias("v")).distinct()
-    best = stored(best, "pairs")
-    links = links.unionByName(stored(verify(best, sets, percent), "links"))
-    known = stored(components(links), "components")
-    rest = stored(_apart(open_.select("u", "v"), known).join(best, ["u", "v"], "left_anti"), "pairs")
-    if rest.isEmpty():
-        return known
-    return components(links.unionByName(stored(verify(rest, sets, percent), "links")))
+    more = stored(open_links(members, known, sets, percent), "links")
+    return known if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4_000_000     # bytes of text handled together; a longer text is handled alone
+CHUNK_BYTES = 1_000_000     # bytes of text handled together; a longer text is handled alone
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint64)
