@@ -12,15 +12,18 @@ from .enrich import asof
 from .timeline import prev, run_max, timeline
 
 
-def top(df: DataFrame, key: str | Column = "_tid", by: Mapping[str, str | Column] | None = None,
+def top(df: DataFrame, key: str | Column | None = None, by: Mapping[str, str | Column] | None = None,
         add: Mapping[str, str | Column] | None = None, name: str | Column | None = None, only_name: bool = False,
         n: int | None = None, sort: bool = True) -> DataFrame:
     """Sum (or count, with ``"1"``) columns per key, ordered by the ``by`` columns, the others, then the key.
 
-    Rows with key -1 (exited threads) are dropped. ``only_name`` groups by name instead of key.
+    Without ``key`` rows are counted by thread, leaving out -1 (exited threads); a key of the user's keeps all its
+    values, -1 and NULL too. ``only_name`` groups by name instead of key.
     """
     by, add = dict(by or {}), dict(add or {})
-    rows = df.withColumn("key", as_column(key)).where("key <> -1")
+    rows = df.withColumn("key", as_column("_tid" if key is None else key))
+    if key is None:
+        rows = rows.where("key <> -1")
     group = ["key"]
     if name is not None:
         rows = rows.withColumn("name", F.coalesce(as_column(name), F.lit("NULL")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import as_column
+from .rangejoin import range_join
 from .timeline import last, timeline
 
 SIGN = -(1 << 63)
@@ -75,15 +76,10 @@ def symbolize(df: DataFrame, addr: str, symbols: DataFrame, length: str | None =
 
 
 def in_symbol(df: DataFrame, addr: str | Column, symbols: DataFrame, name: str) -> DataFrame:
-    """Rows whose address lies in the named function: ``start <= addr < end``; the few ranges become predicates."""
-    ranges = [(r[0], r[1]) for r in symbols.where(F.col("name") == name).select("start", "end").limit(1000).collect()]
-    if len(ranges) == 1000:
-        raise ValueError(f"{name!r} names too many functions")
-    a = as_column(addr)
-    cond = F.lit(False)
-    for lo, hi in ranges:
-        cond = cond | a.between(lo, hi - 1)
-    return df.where(cond)
+    """Rows whose address lies in a function of this name: ``start <= addr < end``, for any number of ranges."""
+    ranges = symbols.where(F.col("name") == name).select(F.col("start").alias("__lo"), (F.col("end") - 1).alias("__hi"))
+    rows = df.withColumn("__addr", as_column(addr))
+    return range_join(rows, ranges, "__addr", "__lo", "__hi", how="left_semi").select(*df.columns)
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on: Sequence[str], column: str, default: str = "??") -> DataFrame:

@@ -62,7 +62,7 @@ def mark_lost(df: DataFrame, lost: DataFrame, instance: str | None = None) -> Da
         ends = F.array(*[F.lit(r[1]).cast("bigint") for r in few])
         at = position(starts, F.col("_time"), len(few)) if few else F.lit(0)
         marked = df.withColumns({
-            "_n": at, "_from": F.get(starts, at - 1), "_to": F.get(ends, at - 1)})
+            "_n": at.cast("bigint"), "_from": F.get(starts, at - 1), "_to": F.get(ends, at - 1)})
     else:
         by = [instance] if instance else []
         w = lost.select(*by, F.col("start_time").alias("_time"), F.lit(-1).cast("bigint").alias("seq"),

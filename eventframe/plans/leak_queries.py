@@ -74,7 +74,7 @@ SELECT ptr, _time, seq, size, segment FROM (SELECT _tid AS ptr, _time, seq, num
 def leak_segments(spark, sf):
     e = events(spark, sf).withColumns({"ptr": F.col("_tid"), "size": F.col("num")})
     out = lk.leaks(e.where("event = 'purchase'"), e.where("event = 'signup'"), carry=("size",), lost=lost_ranges(spark))
-    return out.withColumn("segment", F.col("segment").cast("bigint"))
+    return out
 
 
 @query("mem_profile", E + ALLOC + """
@@ -105,14 +105,13 @@ def live_snapshot(spark, sf):
 
 
 @query("range_coalesce", """
-WITH r AS (SELECT l_suppkey AS dev, l_partkey * 4 AS first, l_partkey * 4 + l_linenumber AS last FROM lineitem
-    WHERE l_returnflag = 'R'),
+WITH r AS (SELECT l_suppkey AS dev, l_partkey * 4 AS first, l_partkey * 4 + l_linenumber AS last FROM lineitem),
 a AS (SELECT *, max(last) OVER (PARTITION BY dev ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING
     AND 1 PRECEDING) AS reach FROM r),
 b AS (SELECT *, sum(CASE WHEN first <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY dev ORDER BY first, last
     ROWS UNBOUNDED PRECEDING) AS island FROM a)
 SELECT dev, min(first) AS first, max(last) AS last, count(*) AS merged FROM b GROUP BY dev, island""")
 def range_coalesce(spark, sf):
-    ranges = table(spark, sf, "lineitem").where("l_returnflag = 'R'").selectExpr(
+    ranges = table(spark, sf, "lineitem").selectExpr(
         "l_suppkey AS dev", "l_partkey * 4 AS first", "l_partkey * 4 + l_linenumber AS last")
     return lk.coalesce_ranges(ranges, "first", "last", by=["dev"])

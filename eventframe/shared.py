@@ -17,8 +17,15 @@ def _local_dir() -> str:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder; a local temporary folder only where none is set."""
-    base = spark.conf.get(SETTING, None) or _local_dir()
+    """A fresh path under the cluster's shared checkpoint folder.
+
+    Only a session whose master is this machine may go without that setting; it gets a temporary folder.
+    """
+    base = spark.conf.get(SETTING, None)
+    if base is None:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

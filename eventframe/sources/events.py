@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from functools import reduce
 
@@ -173,10 +174,22 @@ def compare_results(a: DataFrame, b: DataFrame) -> DataFrame:
                        F.abs("__d").alias("copies"))
 
 
+def split_statements(text: str) -> list[str]:
+    """The statements between semicolons that stand outside of literals, quoted names and comments."""
+    quoted = r"'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\"|`[^`]*+`|--[^\n]*+|/\*.*?\*/"
+    parts, last = [], 0
+    for m in re.finditer(quoted + "|;", text, re.S):
+        if m.group() == ";":
+            parts.append(text[last:m.start()])
+            last = m.end()
+    parts.append(text[last:])
+    return [p for p in parts if re.sub(r"--[^\n]*|/\*.*?\*/", "", p, flags=re.S).strip()]
+
+
 def run_batch(spark: SparkSession, statements: str | list[str]) -> list[DataFrame]:
     """Several SQL statements over the same registered event tables."""
     if isinstance(statements, str):
-        statements = [s for s in statements.split(";") if s.strip()]
+        statements = split_statements(statements)
     return [spark.sql(s) for s in statements]
 
 

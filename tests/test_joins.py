@@ -109,3 +109,10 @@ def test_hide(spark):
         got = rows_of(cx.hide_close(rows, 5, max_rows=max_rows), "seq", "hidden")
         # 0 (1 hidden) 2 | 20 | 30 31 | 50, then two hidden to the end.
         assert got == [(None, 2), (0, 0), (2, 1), (3, 0), (4, 0), (5, 0), (6, 0)]
+
+
+def test_in_symbol_many_ranges(spark):
+    table = spark.range(1500).selectExpr("id * 10 AS start", "id * 10 + 4 AS end", "'f' AS name")
+    df = spark.range(0, 15000, 7).withColumnRenamed("id", "addr")
+    got = {r[0] for r in in_symbol(df, "addr", table, "f").collect()}
+    assert got == {a for a in range(0, 15000, 7) if a % 10 < 4}

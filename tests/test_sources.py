@@ -79,3 +79,26 @@ def test_tables_and_batches(spark, make):
     src.register_tables(make([("a", 1, 1), ("b", 2, 1), ("b", 3, 1)]))
     got = src.run_batch(spark, "SELECT count(*) FROM a; SELECT count(*) FROM b;")
     assert [g.first()[0] for g in got] == [1, 2]
+
+
+def test_statements_with_semicolons_inside(spark):
+    from eventframe.sources.events import run_batch
+    a, b = run_batch(spark, "SELECT 'a;b' AS x -- one; two\n; /* c;d */ SELECT 'it\\';s' AS `y;z`; -- end;\n")
+    assert a.first()[0] == "a;b" and b.first()[0] == "it';s" and b.columns == ["y;z"]
+
+
+def test_shared_folder_needs_setting_off_one_machine():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from eventframe.shared import shared_dir
+    conf = {"spark.master": "spark://host:7077"}
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf), "x")
+
+
+def test_top_keeps_user_keys(spark):
+    from eventframe.operators.counting import top
+    df = spark.createDataFrame([(-1, 1), (-1, 2), (5, 3), (None, 4)], "ret int, _tid int")
+    assert {r["key"]: r["n"] for r in top(df, key="ret", add={"n": "1"}).collect()} == {-1: 2, 5: 1, None: 1}
