@@ -55,7 +55,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sign(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), node (hash of the set, null if empty), bands of every row."""
+    """doc_id, th (hash of the text), n (set size), node (hash of the set, null if empty), bands of every row."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,10 +63,10 @@ def sign(documents: DataFrame, k: int) -> DataFrame:
             sets = [np.unique(s) for s in words.shingles(batch.column("text"), k)]
             keys = band_keys(signatures(sets)) if sets else np.zeros((0, BANDS), np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.ravel()))], ["doc_id", "n", "node", "bands"])
+                batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.ravel()))], ["doc_id", "th", "n", "node", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, bands array<long>")
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, n long, node long, bands array<long>")
 
 
 def shingle_sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -208,27 +208,36 @@ def link_components(documents: DataFrame, signed: DataFrame, k: int, percent: in
     return known if more.isEmpty() else components(links.unionByName(more))
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
-
-    Rows whose shingle sets have a Jaccard similarity of at least ``percent`` / 100 are linked; component_id is the smallest
-    doc_id that links lead to, the row's own included, and kept says whether it is the row's own. Null texts and texts
-    without words link with nothing. Rows that repeat a doc_id count as copies of one document if their sets are equal,
-    and as documents of their own otherwise. Ids that are null are no component's smallest unless it has no other.
-    """
+def decisions(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id, kept for every row; see :func:`near_duplicates`."""
     signed = stored(sign(documents, k), "signed")
     known = link_components(documents, signed, k, percent)
     first = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     placed = first.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     of = placed.join(least, "component").select("node", "component_id")
-    rows = signed.select("doc_id", "n", "node").join(of, "node", "left")
+    rows = signed.select("doc_id", "th", "n", "node").join(of, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    Rows whose shingle sets have a Jaccard similarity of at least ``percent`` / 100 are linked; component_id is the smallest
+    doc_id that links lead to, the row's own included, and kept says whether it is the row's own. Null texts and texts
+    without words link with nothing. Rows that repeat a doc_id are compared like any others. Ids that are null are no
+    component's smallest unless it has no other.
+    """
+    return decisions(documents, k, percent).drop("th")
 
 
 def distinct_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are kept, one of each group, with all their columns; of rows repeated in full one stays."""
-    kept = near_duplicates(documents, k, percent).where("kept").select(F.col("doc_id").alias("_llm_id")).distinct()
-    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_semi")
-    return rows.withColumn("_llm_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_llm_text"]).drop("_llm_text")
+    """The documents that are kept, one of each group, with all their columns; of rows repeated in full one stays.
+
+    In a component without any id, only exact copies are told from each other, so all its different texts stay.
+    """
+    kept = decisions(documents, k, percent).where("kept").select(F.col("doc_id").alias("_llm_id"), F.col("th").alias("_llm_th")).distinct()
+    rows = documents.withColumn("_llm_text", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_llm_id"]) & (rows["_llm_text"] == kept["_llm_th"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_llm_text"]).drop("_llm_text")
