@@ -23,7 +23,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get(SETTING, None)
     if base is None:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        master = spark.conf.get("spark.master", None)
+        if master and master != "local" and not master.startswith("local["):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         base = _local_dir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
