@@ -8,40 +8,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import per_event
+from .pairs import outliers
 from .rangejoin import range_join
 from .timeline import prev, run_sum, timeline
 
 
-def context(pairs: DataFrame, df: DataFrame, before: int = 0, after: int = 0, same: str | None = None,
-            side: Sequence[int] = (1, 2), key: str | Column | Mapping | None = None,
-            name: str = "event") -> DataFrame:
+def _criteria(same: str | Sequence[str] | None) -> list[str]:
+    names = [] if same is None else [same] if isinstance(same, str) else list(dict.fromkeys(same))
+    unknown = set(names) - {"key", "cpu", "pid", "tid"}
+    if unknown:
+        raise ValueError(f"same={same!r}")
+    return names
+
+
+def _values(pairs: DataFrame, criterion: str, side: Sequence[int]) -> Column:
+    """The different values a pair gives for a criterion."""
+    if criterion == "key":
+        return F.array("key")
+    field = "_pid" if criterion == "pid" else criterion
+    names = [f"{'start' if s == 1 else 'end'}_{field}" for s in side]
+    if not set(names) <= set(pairs.columns):
+        raise ValueError(f"same={criterion!r} needs the columns {', '.join(names)}: make the pairs with carry=('{field}',)")
+    return F.array_distinct(F.array(*names))
+
+
+def context(pairs: DataFrame, df: DataFrame, before: int = 0, after: int = 0, same: str | Sequence[str] | None = None,
+            side: Sequence[int] = (1, 2), key: str | Column | Mapping | None = None, name: str = "event",
+            than: int | None = None, lower: int | None = None) -> DataFrame:
     """Events in [start - before, end + after] of each pair, optionally on the same key, cpu, pid or tid.
 
-    ``side``: which end of the pair gives the cpu / tid to compare with (1, 2 or both). Untraced event types take
-    part like any other. Output: pair_id (the end's id), start_id, part, offset from the start, event columns.
+    ``same``: one criterion or several; an event that meets any of them is taken, once. "pid" needs pairs made with
+    ``carry=("_pid",)``. ``side``: which end of the pair gives the cpu, pid or tid to compare with (1, 2 or both).
+    ``than`` / ``lower``: only pairs slower / faster than these, as in :func:`outliers`. Untraced event types take part
+    like any other. Output: pair_id (the end's id), start_id, part, offset from the start, event columns.
     """
+    if than is not None or lower is not None:
+        pairs = outliers(pairs, than, lower)
+    keep = df.columns
     spans = pairs.select(
         F.col("end_id").alias("pair_id"), "start_id", F.col("start_time").alias("_t1"), F.col("end_time").alias("_t2"),
         (F.col("start_time") - before).alias("_from"), (F.col("end_time") + after).alias("_to"),
-        F.col("key").alias("_k"), *[c for c in ("start_cpu", "end_cpu", "start_tid", "end_tid")])
-    by = []
-    if same == "key":
+        *[_values(pairs, c, side).alias(f"_v_{c}") for c in _criteria(same)])
+    if "key" in _criteria(same):
         df = df.withColumn("_ekey", per_event(key, name))
-        by = [("_ekey", "_k")]
-    elif same in ("cpu", "tid", "pid"):
-        field = "cpu" if same == "cpu" else "tid"
-        ends = [F.col(f"{'start' if s == 1 else 'end'}_{field}") for s in side]
-        spans = spans.withColumn("_v", F.explode(F.array_distinct(F.array(*ends))))
-        by = [(f"_{same}", "_v")]
-    elif same is not None:
-        raise ValueError(f"same={same!r}")
-    out = range_join(df, spans, "_time", "_from", "_to", by)
+    if not _criteria(same):
+        out = range_join(df, spans, "_time", "_from", "_to")
+    else:
+        # One equi-join per criterion; each leaves out the events that an earlier one has taken.
+        out, taken = None, None
+        for c in _criteria(same):
+            column = "_ekey" if c == "key" else f"_{c}"
+            rows = spans.withColumn("_v", F.explode(f"_v_{c}"))
+            found = range_join(df, rows, "_time", "_from", "_to", [(column, "_v")], taken).drop("_v")
+            out = found if out is None else out.unionByName(found)
+            other = ~F.coalesce(F.array_contains(F.col(f"_v_{c}"), F.col(column)), F.lit(False))
+            taken = other if taken is None else taken & other
     t, s = F.col("_time"), F.col("seq")
     part = (F.when((t < F.col("_t1")) | ((t == F.col("_t1")) & (s < F.col("start_id"))), "before")
             .when(s == F.col("start_id"), "start").when(s == F.col("pair_id"), "end")
             .when((t > F.col("_t2")) | ((t == F.col("_t2")) & (s > F.col("pair_id"))), "after")
             .otherwise("between"))
-    keep = [c for c in df.columns if c != "_ekey"]
     return out.select("pair_id", "start_id", part.alias("part"), (t - F.col("_t1")).alias("offset"), *keep)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ORDER, as_column
-from .pairs import mark_lost, pair_events
+from .pairs import mark_lost, pair_events, unpaired
 from .timeline import prev, run_max, run_sum, timeline
 
 
@@ -64,26 +64,37 @@ def leak_totals(allocs: DataFrame, frees: DataFrame, ptr: str = "ptr", size: str
 def mem_profile(df: DataFrame, alloc: Sequence[str], free: Sequence[str], ptr: str | Column = "ptr",
                 size: str | Column = "size", stack: str = "stack", top: int | None = 10, name: str = "event",
                 max_rows: int | None = None) -> DataFrame:
-    """Bytes and objects by stack for allocations that were freed later, by alloc stack and by free stack.
+    """Bytes and objects by stack and pair of event types: freed allocations by alloc and by free stack, unfreed ones by alloc stack.
 
-    side (alloc / free), stack, bytes, bytes_pct, objects, objects_pct, rank; the ``top`` stacks by bytes per side.
+    side (alloc / free / unfreed), alloc and free (event types; free is null where nothing was freed), stack, bytes,
+    bytes_pct, objects, objects_pct, rank, skipped; the ``top`` stacks by bytes per side and pair of event types, and
+    how many more stacks there are.
     """
     rows = df.withColumn("_size", as_column(size))
-    p = pair_events(rows, [list(alloc), list(free)], ptr, name=name, carry=("_size", stack), max_rows=max_rows)
+    levels = [list(alloc), list(free)]
+    p = pair_events(rows, levels, ptr, name=name, carry=("_size", stack), max_rows=max_rows)
     # Both stacks of a pair carry the allocation's bytes; explode keeps this one pass over the pairs.
     sides = F.array(F.struct(F.lit("alloc").alias("side"), F.col(f"start_{stack}").alias("stack")),
                     F.struct(F.lit("free").alias("side"), F.col(f"end_{stack}").alias("stack")))
-    both = p.select(F.explode(sides).alias("s"), F.col("start__size").alias("_b")).groupBy("s.side", "s.stack").agg(
+    freed = p.select(F.explode(sides).alias("s"), F.col("start").alias("alloc"), F.col("end").alias("free"), F.col("start__size").alias("_b"))
+    open_ = unpaired(rows, levels, ptr, name=name, max_rows=max_rows, carry=("_size", stack)).select(
+        F.lit("unfreed").alias("side"), F.col(stack).alias("stack"), F.col(name).alias("alloc"), F.lit(None).cast("string").alias("free"), F.col("_size").alias("_b"))
+    section = ["side", "alloc", "free"]
+    both = freed.select("s.side", "s.stack", "alloc", "free", "_b").unionByName(open_).groupBy(*section, "stack").agg(
         F.sum("_b").alias("bytes"), F.count("*").alias("objects"))
-    total = both.groupBy("side").agg(F.sum("bytes").alias("_tb"), F.sum("objects").alias("_to"))
-    shown = both
+    total = both.groupBy(*section).agg(F.sum("bytes").alias("_tb"), F.sum("objects").alias("_to"), F.count("*").alias("_ts"))
+    total = total.withColumnsRenamed({c: f"_t_{c}" for c in section})
+    shown, skipped = both, F.lit(0).cast("bigint")
     if top is not None:
-        # Spark keeps only the first `top` rows per side in every map task before this window's shuffle.
-        w = Window.partitionBy("side").orderBy(F.desc("bytes"), "stack")
+        # Spark keeps only the first `top` rows per section in every map task before this window's shuffle.
+        w = Window.partitionBy(*section).orderBy(F.desc("bytes"), "stack")
         shown = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return shown.join(total, "side").withColumns({
+        skipped = F.greatest(F.col("_ts") - top, F.lit(0))
+    same = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in section]
+    return shown.join(total, same).withColumns({
         "bytes_pct": F.round(F.try_divide(F.col("bytes") * 100.0, "_tb"), 1),
-        "objects_pct": F.round(F.try_divide(F.col("objects") * 100.0, "_to"), 1)}).drop("_tb", "_to")
+        "objects_pct": F.round(F.try_divide(F.col("objects") * 100.0, "_to"), 1),
+        "skipped": skipped}).drop("_tb", "_to", "_ts", *[f"_t_{c}" for c in section])
 
 
 def live_snapshot(df: DataFrame, key: str | Sequence[str], create: Column, delete: Column, flags: str | None = None,

@@ -120,10 +120,10 @@ def pair_events(df: DataFrame, levels: Sequence[Sequence[str]], key: str | Colum
 
 def unpaired(df: DataFrame, levels, key="_tid", role=None, cycle=False, name="event", untraced=(),
              lost: DataFrame | None = None, lost_by: str | None = None, report_orphans: bool = False,
-             max_rows: int | None = None, reclaim: Sequence[str] = ()) -> DataFrame:
+             max_rows: int | None = None, reclaim: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Starts still open at the end of the data (or of a lost segment): at most one per key.
 
-    ``report_orphans`` adds overwritten starts and ends without a start, with a ``reason`` column.
+    ``carry``: payload columns to return (not with orphans). ``report_orphans`` adds overwritten starts and ends without a start, with a ``reason`` column.
     """
     if not report_orphans:
         rows = roles(df, levels, key, role, cycle, name, untraced, reclaim)
@@ -131,9 +131,9 @@ def unpaired(df: DataFrame, levels, key="_tid", role=None, cycle=False, name="ev
         if lost is not None:
             rows = mark_lost(rows, lost, lost_by)
             keys.append("_segment")
-        newest = F.max_by(F.struct(name, "seq", "_time", "_cpu", "_tid", "_starts"), F.struct(*ORDER))
+        newest = F.max_by(F.struct(name, "seq", "_time", "_cpu", "_tid", "_starts", *carry), F.struct(*ORDER))
         return (rows.groupBy(*keys).agg(newest.alias("r")).where("r._starts")
-                .select("key", f"r.{name}", "r.seq", "r._time", "r._cpu", "r._tid"))
+                .select("key", f"r.{name}", "r.seq", "r._time", "r._cpu", "r._tid", *[f"r.{c}" for c in carry]))
     tl = pair_timeline(df, levels, key, role, cycle, name, untraced, lost, lost_by, (), max_rows, reclaim)
     # The row after a start decides its fate; attach it by scanning for each row's predecessor.
     p = F.col("_prev")

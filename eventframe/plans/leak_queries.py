@@ -77,16 +77,18 @@ def leak_segments(spark, sf):
     return out
 
 
-@query("mem_profile", E + ALLOC + """
+@query("mem_profile", LEAKS + """
 , p AS (SELECT lag(size) OVER w AS b, lag(stack) OVER w AS a_stack, stack AS f_stack, lag(alloc) OVER w AS pa, alloc,
     lag(_time) OVER w AS pt, _time FROM af WINDOW w AS (PARTITION BY ptr ORDER BY _time, seq)),
 f AS (SELECT * FROM p WHERE NOT alloc AND pa AND pt < _time),
 g AS (SELECT 'alloc' AS side, a_stack AS stack, CAST(sum(b) AS BIGINT) AS bytes, count(*) AS objects FROM f GROUP BY ALL
-    UNION ALL SELECT 'free', f_stack, CAST(sum(b) AS BIGINT), count(*) FROM f GROUP BY ALL),
+    UNION ALL SELECT 'free', f_stack, CAST(sum(b) AS BIGINT), count(*) FROM f GROUP BY ALL
+    UNION ALL SELECT 'unfreed', stack, CAST(sum(size) AS BIGINT), count(*) FROM l GROUP BY ALL),
 h AS (SELECT *, CAST(row_number() OVER (PARTITION BY side ORDER BY bytes DESC, stack) AS INT) AS rank,
+    greatest(count(*) OVER (PARTITION BY side) - 10, 0) AS skipped,
     round(bytes * 100.0::DOUBLE / sum(bytes) OVER (PARTITION BY side), 1) AS bytes_pct,
     round(objects * 100.0::DOUBLE / sum(objects) OVER (PARTITION BY side), 1) AS objects_pct FROM g)
-SELECT * FROM h WHERE rank <= 10""")
+SELECT *, 'purchase' AS alloc, CASE WHEN side <> 'unfreed' THEN 'signup' END AS free FROM h WHERE rank <= 10""")
 def mem_profile(spark, sf):
     return lk.mem_profile(with_stack(spark, sf), ["purchase"], ["signup"])
 

@@ -101,26 +101,42 @@ def delay_sorted(spark, sf):
     return st.delay_stats(two(spark, sf), by=["end_cpu"], sort=True)
 
 
-DETAIL = PAIRS + f""", d AS (
+# The detail view runs on a fleet whose cpus and processes grow with its users: four users share one of each.
+FLEET = E + """, f AS (SELECT event, _time, seq, CAST((_tid + 2) // 4 AS INT) AS _cpu, _tid // 4 AS _pid, _tid, k FROM e)"""
+
+
+def detail_sql(match: str) -> str:
+    return FLEET + chain_sql(levels=2, source="f") + f""", d AS (
 SELECT end_id AS pair_id, start_id, CASE
-    WHEN e._time < start_time OR (e._time = start_time AND seq < start_id) THEN 'before'
+    WHEN f._time < start_time OR (f._time = start_time AND seq < start_id) THEN 'before'
     WHEN seq = start_id THEN 'start' WHEN seq = end_id THEN 'end'
-    WHEN e._time > end_time OR (e._time = end_time AND seq > end_id) THEN 'after' ELSE 'between' END AS part,
-  e._time - start_time AS "offset", event, _time, seq, _cpu, k
-FROM p JOIN e ON e._cpu = end_cpu AND e._time BETWEEN start_time - {HOUR} AND end_time + {HOUR})"""
+    WHEN f._time > end_time OR (f._time = end_time AND seq > end_id) THEN 'after' ELSE 'between' END AS part,
+  f._time - start_time AS "offset", event, _time, seq, _cpu, _pid, k
+FROM p JOIN f ON ({match}) AND f._time BETWEEN start_time - {HOUR} AND end_time + {HOUR} WHERE latency > {DAY})"""
 
 
-def detail(spark, sf):
-    e = events(spark, sf)
-    return ctx.context(pr.pair_events(e, TWO), e.select("event", "_time", "seq", "_cpu", "k"), HOUR, HOUR, same="cpu")
+def detail(spark, sf, same):
+    e = events(spark, sf).withColumns({"_cpu": F.expr("int((_tid + 2) div 4)"), "_pid": F.expr("_tid div 4")})
+    pairs = pr.pair_events(e, TWO, carry=("_pid",))
+    return ctx.context(pairs, e.select("event", "_time", "seq", "_cpu", "_pid", "k"), HOUR, HOUR, same=same, than=DAY)
 
 
-@query("detail_context", DETAIL + " SELECT * FROM d")
+@query("detail_context", detail_sql("f._cpu = end_cpu") + " SELECT * FROM d")
 def detail_context(spark, sf):
-    return detail(spark, sf)
+    return detail(spark, sf, "cpu")
+
+
+@query("detail_samepid", detail_sql("f._pid = end_tid // 4") + " SELECT * FROM d")
+def detail_samepid(spark, sf):
+    return detail(spark, sf, "pid")
+
+
+@query("detail_multi", detail_sql("f._cpu = end_cpu OR f._pid = end_tid // 4") + " SELECT * FROM d")
+def detail_multi(spark, sf):
+    return detail(spark, sf, ("cpu", "pid"))
 
 
-@query("detail_hide", DETAIL + f"""
+@query("detail_hide", detail_sql("f._cpu = end_cpu") + f"""
 , g AS (SELECT *, CASE WHEN _time - lag(_time) OVER w < {HOUR // 2} THEN 1 ELSE 0 END AS close
   FROM d WHERE part = 'between' WINDOW w AS (PARTITION BY pair_id ORDER BY _time, seq)),
 h AS (SELECT *, sum(1 - close) OVER (PARTITION BY pair_id ORDER BY _time, seq) AS run FROM g),
@@ -131,7 +147,7 @@ SELECT pair_id, event, seq, _time, "offset", 0::BIGINT AS hidden FROM i WHERE up
 UNION ALL SELECT pair_id, event, seq, _time, "offset", n - 1 FROM i WHERE down = 1 AND n > 0 AND NOT is_last
 UNION ALL SELECT pair_id, NULL, NULL, NULL, NULL, n FROM i WHERE down = 1 AND n > 0 AND is_last""")
 def detail_hide(spark, sf):
-    return ctx.hide_close(detail(spark, sf), HOUR // 2)
+    return ctx.hide_close(detail(spark, sf, "cpu"), HOUR // 2)
 
 
 @query("epoch_by_trigger", E + """

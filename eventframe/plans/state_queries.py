@@ -241,15 +241,14 @@ def span_breakdown(spark, sf):
 
 
 @query("join_overlap", """
-WITH a AS (SELECT l_suppkey AS dev, l_orderkey AS a_id, l_linenumber AS a_no, l_partkey AS a0,
-    l_partkey + 2 + l_linenumber AS a1 FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
-b AS (SELECT s_suppkey AS b_dev, p_partkey AS b_id, p_partkey - p_size AS b0, p_partkey AS b1
-    FROM part JOIN supplier ON s_suppkey % 25 = p_size % 25)
+WITH a AS (SELECT l_linenumber AS dev, l_orderkey AS a_id, l_linenumber AS a_no, l_partkey AS a0,
+    l_partkey + 2 + l_linenumber AS a1 FROM lineitem),
+b AS (SELECT p_size % 7 + 1 AS b_dev, p_partkey AS b_id, p_partkey - p_size % 8 AS b0, p_partkey AS b1 FROM part)
 SELECT a_id, a_no, b_id FROM a JOIN b ON dev = b_dev AND a0 < b1 AND b0 < a1""")
 def join_overlap(spark, sf):
-    a = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F'").selectExpr(
-        "l_suppkey AS dev", "l_orderkey AS a_id", "l_linenumber AS a_no", "l_partkey AS a0",
+    a = table(spark, sf, "lineitem").selectExpr(
+        "l_linenumber AS dev", "l_orderkey AS a_id", "l_linenumber AS a_no", "l_partkey AS a0",
         "l_partkey + 2 + l_linenumber AS a1")
-    b = table(spark, sf, "part").join(table(spark, sf, "supplier"), F.expr("s_suppkey % 25 = p_size % 25")).selectExpr(
-        "s_suppkey AS b_dev", "p_partkey AS b_id", "p_partkey - p_size AS b0", "p_partkey AS b1")
+    b = table(spark, sf, "part").selectExpr(
+        "p_size % 7 + 1 AS b_dev", "p_partkey AS b_id", "p_partkey - p_size % 8 AS b0", "p_partkey AS b1")
     return overlap_join(a, b, ("a0", "a1"), ("b0", "b1"), [("dev", "b_dev")]).select("a_id", "a_no", "b_id")

@@ -97,6 +97,14 @@ def test_context(make):
             if p["start_time"] - 3 <= t <= p["end_time"] + 2 and cpu in (p["start_cpu"], p["end_cpu"]):
                 want.append((p["end_id"], i))
     assert rows_of(got, "pair_id", "seq") == sorted(want)
+    moved = df.withColumn("_pid", F.expr("_tid % 2 + 100"))
+    pairs = pr.pair_events(moved, [["a"], ["c"]], carry=("_pid",))
+    got = cx.context(pairs, moved, before=3, after=2, same=("pid", "cpu"), side=(2,), than=4, lower=2)
+    want = [(p["end_id"], i) for p in pairs.collect() if p["latency"] > 4 or p["latency"] < 2 for i, (e, t, k, cpu) in enumerate(events)
+            if p["start_time"] - 3 <= t <= p["end_time"] + 2 and (cpu == p["end_cpu"] or k % 2 + 100 == p["end__pid"])]
+    assert rows_of(got, "pair_id", "seq") == sorted(want)
+    with pytest.raises(ValueError, match="carry"):
+        cx.context(pairs.drop("end__pid"), moved, same="pid")
     one = cx.context(pairs, df, same="key", key="_tid")
     assert {r["part"] for r in one.collect()} >= {"start", "end"}
 
