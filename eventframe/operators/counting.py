@@ -11,6 +11,8 @@ from ..schema import as_column
 from .enrich import asof
 from .timeline import prev, run_max, timeline
 
+PIECE = 4096    # slots of a range that are listed together
+
 
 def top(df: DataFrame, key: str | Column | None = None, by: Mapping[str, str | Column] | None = None,
         add: Mapping[str, str | Column] | None = None, name: str | Column | None = None, only_name: bool = False,
@@ -124,21 +126,27 @@ def ip_histogram(df: DataFrame, mode: str = "cpumode", ip: str = "ip", sort: boo
 
 
 def slots_where(df: DataFrame, condition: str | Column, events: Sequence[str], period: int, by: str = "_cpu",
-                name: str = "event", fill: bool = False, max_rows: int | None = None) -> DataFrame:
+                name: str = "event", fill: bool | str = False, max_rows: int | None = None) -> DataFrame:
     """Slots of each instance in which the condition over the event counts holds.
 
-    ``fill`` also judges slots without any event between an instance's first and last one.
+    ``fill`` also judges slots without any event between an instance's first and last one: True gives a row for each,
+    "ranges" one row for all slots between two events, with the column ``last`` for the last slot of a row.
     """
     counts = df.groupBy(F.col(by).alias("inst"), F.expr(f"_time div {period}L").alias("slot")).agg(
         *[F.count_if(F.col(name) == e).alias(e) for e in events])
-    if fill:
-        tl = timeline(counts, "inst", order=("slot",), max_rows=max_rows).scan(_p=prev("slot"))
-        first = F.coalesce(F.col("_p.slot") + 1, F.col("slot"))
-        wide = tl.rows().withColumn("_s", F.explode(F.sequence(first, F.col("slot"))))
-        own = F.col("_s") == F.col("slot")
-        counts = wide.select("inst", F.col("_s").alias("slot"),
-                             *[F.when(own, F.col(e)).otherwise(0).alias(e) for e in events])
-    return counts.where(as_column(condition))
+    if not fill:
+        return counts.where(as_column(condition))
+    tl = timeline(counts, "inst", order=("slot",), max_rows=max_rows).scan(_p=prev("slot"))
+    own = F.struct("slot", F.col("slot").alias("last"), *events)
+    empty = F.struct((F.col("_p.slot") + 1).alias("slot"), (F.col("slot") - 1).alias("last"),
+                     *[F.lit(0).cast("bigint").alias(e) for e in events])
+    items = F.when(F.col("_p.slot") < F.col("slot") - 1, F.array(empty, own)).otherwise(F.array(own))
+    found = tl.rows().select("inst", F.explode(items).alias("r")).select("inst", "r.*").where(as_column(condition))
+    if fill == "ranges":
+        return found
+    # Single slots in two steps, so that no array has all slots of a long range.
+    pieces = found.withColumn("_from", F.explode(F.expr(f"sequence(slot, last, {PIECE}L)")))
+    return pieces.select("inst", F.explode(F.sequence("_from", F.least(F.col("_from") + PIECE - 1, "last"))).alias("slot"), *events)
 
 
 def gaps(df: DataFrame, by: str = "_cpu", than: int = 0, max_rows: int | None = None) -> DataFrame:

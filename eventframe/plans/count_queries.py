@@ -156,6 +156,16 @@ def slot_condition_idle(spark, sf):
     return ct.slots_where(events(spark, sf), "view + click = 0", ["view", "click"], HOUR, fill=True)
 
 
+@query("slot_condition_wide", E + """
+, c AS (SELECT _cpu AS inst, _time // 1000 AS slot, count(*) FILTER (event = 'view') AS view,
+    count(*) FILTER (event = 'click') AS click FROM e GROUP BY ALL),
+g AS (SELECT inst, lag(slot) OVER (PARTITION BY inst ORDER BY slot) + 1 AS lo, slot - 1 AS hi FROM c)
+SELECT inst, slot, slot AS last, view, click FROM c WHERE view + click = 0
+UNION ALL SELECT inst, lo, hi, 0, 0 FROM g WHERE lo <= hi""")
+def slot_condition_wide(spark, sf):
+    return ct.slots_where(events(spark, sf), "view + click = 0", ["view", "click"], 1000, fill="ranges")
+
+
 @query("gap_detect", E + f"""
 SELECT * FROM (SELECT _cpu AS inst, lag(seq) OVER w AS from_id, seq AS to_id, lag(_time) OVER w AS from_time,
   _time AS to_time, _time - lag(_time) OVER w AS gap FROM e WINDOW w AS (PARTITION BY _cpu ORDER BY _time, seq))

@@ -197,6 +197,10 @@ def test_slots(make):
     df = make([("a", 0, 1), ("a", 1, 1), ("b", 25, 1), ("a", 31, 1)])
     rows = {(r["event"], r["interval"]): r["slots"] for r in ct.count_slots(df, 10, 30).collect()}
     assert rows == {("a", 0): [2, 0, 0], ("b", 0): [0, 0, 1], ("a", 1): [1, 0, 0]}
+    far = make([("a", 0, 1), ("b", 99_999, 1)])
+    wide = ct.slots_where(far, "a + b = 0", ["a", "b"], 1, by="_tid", fill=True)
+    assert rows_of(wide.agg(F.count("*"), F.countDistinct("slot"), F.min("slot"), F.max("slot"))) == [(99_998, 99_998, 1, 99_998)]
+    assert rows_of(ct.slots_where(far, "a + b = 0", ["a", "b"], 1, by="_tid", fill="ranges")) == [(1, 1, 99_998, 0, 0)]
     idle = ct.slots_where(df, "a + b = 0", ["a", "b"], 10, fill=True)
     assert rows_of(idle, "slot") == [(1,)]
 
