@@ -3,9 +3,12 @@
 A document is its sequence of non-blank lines. The fingerprint at a line is the hash of the run of lines from there to the
 first with which the run has GRAM words. Of the fingerprints that start within RUN - GRAM words from a line the smallest is
 selected (the last one on ties), so that two places with the same run of at least RUN words always select the same
-fingerprint inside it. A selected fingerprint is joined with the first place in the corpus that has it, and with the place
-before it in its own document. Each match lies on a diagonal of two documents; along it equal lines are followed both ways,
-and every run of at least RUN words is deleted from the later place. The order of places is (doc_id, hash of the text, line).
+fingerprint inside it. Only places whose selected fingerprint occurs again go on. A fingerprint alone does not tell which
+places agree: its first place may go on differently while two later ones have more in common. So a place is joined by the
+hash of the shortest run of RUN words that begins at the line which selected the fingerprint, or that ends at a later line;
+places with an equal run are all equal to the first of them, in the corpus or in the own document. Each match lies on a
+diagonal of two documents; along it equal lines are followed both ways, and every run of at least RUN words is deleted from
+the later place. The order of places is (doc_id, hash of the text, line).
 """
 
 from __future__ import annotations
@@ -35,28 +38,43 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, run: int, gram: int) -> DataFrame:
-    """id, th, i (place among the non-blank lines), g for the selected fingerprints of every document."""
+    """id, th, i, g, at: the selected fingerprints of every document, their first lines, and the runs that selected them.
+
+    ``at`` holds (s, r): the first line, among the non-blank ones, and the hash of a run of at least ``run`` words that is
+    the shortest from its first line on or the shortest up to its last line.
+    """
     one = lines.select(*DOC, F.posexplode(F.arrays_zip("h", "w")).alias("i", "l")).select(*DOC, "i", "l.h", "l.w").dropDuplicates([*DOC, "i"])
     ordered = Window.partitionBy(*DOC)
-    before = F.sum("w").over(ordered.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    placed = one.withColumn("b", F.coalesce(before, F.lit(0)).cast("long"))
+    end = F.sum("w").over(ordered.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    placed = one.withColumn("e", end).withColumn("b", F.col("e") - F.col("w"))
     own = ordered.orderBy("b").rangeBetween(0, gram - 1)
-    grams = placed.select(*DOC, "i", "b", F.when(F.sum("w").over(own) >= gram, F.xxhash64(F.collect_list("h").over(own))).alias("g"))
-    window = ordered.orderBy("b").rangeBetween(0, run - gram)
-    least = F.min(F.when(F.col("g").isNotNull(), F.struct(F.col("g").alias("g"), (-F.col("i")).alias("i")))).over(window)
-    picked = grams.select(*DOC, least.alias("m")).where(F.col("m").isNotNull())
-    return picked.select(*DOC, (-F.col("m.i")).alias("i"), F.col("m.g").alias("g")).distinct()
+    grams = placed.withColumn("g", F.when(F.sum("w").over(own) >= gram, F.xxhash64(F.collect_list("h").over(own))))
+    near = ordered.orderBy("b").rangeBetween(0, run - gram)
+    least = F.min(F.when(F.col("g").isNotNull(), F.struct(F.col("g").alias("g"), (-F.col("i")).alias("i")))).over(near)
+    ahead = ordered.orderBy("b").rangeBetween(0, run - 1)
+    behind = ordered.orderBy("e").rangeBetween(1 - run, 0)
+
+    def window(over: Window, first: Column, picked: Column) -> Column:
+        return F.when(F.sum("w").over(over) >= run, F.struct(
+            picked["g"].alias("g"), (-picked["i"]).alias("i"), first.alias("s"), F.xxhash64(F.collect_list("h").over(over)).alias("r")))
+
+    picked = grams.withColumn("m", least).withColumn("from", window(ahead, F.col("i"), F.col("m")))
+    picked = picked.withColumn("to", window(behind, F.min("i").over(behind), F.first("m").over(behind)))
+    found = picked.select(*DOC, F.explode(F.array("from", "to")).alias("x")).where(F.col("x").isNotNull())
+    return found.groupBy(*DOC, F.col("x.i").alias("i"), F.col("x.g").alias("g")).agg(F.collect_set(F.struct("x.s", "x.r")).alias("at"))
 
 
 def diagonals(prints: DataFrame) -> DataFrame:
     """id, th, id0, th0, shift: line i of the document is compared with line i - shift of the earlier place."""
-    before = F.lag("i").over(Window.partitionBy(*DOC, "g").orderBy("i"))
-    prints = prints.withColumn("before", before)
-    inside = prints.where("before is not null").select(*DOC, F.col("id").alias("id0"), F.col("th").alias("th0"), (F.col("i") - F.col("before")).alias("shift"))
-    heads = prints.where("before is null")
-    first = heads.groupBy("g").agg(F.min(F.struct(*DOC, "i")).alias("f"), F.count("*").alias("places")).where("places > 1").select("g", "f")
-    across = heads.join(first, "g").where(~F.struct(*DOC, "i").eqNullSafe(F.col("f"))).select(
-        *DOC, F.col("f.id").alias("id0"), F.col("f.th").alias("th0"), (F.col("i") - F.col("f.i")).alias("shift"))
+    again = prints.groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g")
+    places = prints.join(again, "g", "left_semi").select(*DOC, F.explode("at").alias("a")).select(*DOC, "a.s", "a.r")
+    before = F.lag("s").over(Window.partitionBy(*DOC, "r").orderBy("s"))
+    places = stored(places.withColumn("before", before), "places")
+    inside = places.where("before is not null").select(*DOC, F.col("id").alias("id0"), F.col("th").alias("th0"), (F.col("s") - F.col("before")).alias("shift"))
+    heads = places.where("before is null")
+    first = heads.groupBy("r").agg(F.min(F.struct(*DOC, "s")).alias("f"), F.count("*").alias("places")).where("places > 1").select("r", "f")
+    across = heads.join(first, "r").where(~F.struct(*DOC, "s").eqNullSafe(F.col("f"))).select(
+        *DOC, F.col("f.id").alias("id0"), F.col("f.th").alias("th0"), (F.col("s") - F.col("f.s")).alias("shift"))
     return inside.unionByName(across).distinct()
 
 
@@ -85,7 +103,7 @@ def _equal_runs(run: int) -> Column:
 def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """id, th, runs: for documents that repeat something, the line numbers [first, last] of every run to delete."""
     lines = stored(_lines(documents), "lines")
-    found = stored(diagonals(fingerprints(lines, run, gram)), "diagonals")
+    found = stored(diagonals(stored(fingerprints(lines, run, gram), "fingerprints")), "diagonals")
     unique = lines.dropDuplicates(DOC)
     first = unique.select(F.col("id").alias("ida"), F.col("th").alias("tha"), F.col("h").alias("h0"))
     pairs = found.join(first, _same_key(found, first, ["id0", "th0"], ["ida", "tha"])).select(*DOC, "shift", "h0")

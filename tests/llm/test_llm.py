@@ -241,6 +241,20 @@ def test_line_dedup_against_brute_force(spark):
     assert got == repeated(texts, linededup.RUN)
 
 
+def test_line_dedup_of_runs_that_share_parts(spark):
+    """Runs of which parts occurred before in other company: the first place of a fingerprint is often not the place to compare."""
+    rng = random.Random(8)
+    pool = [" ".join(f"l{i}w{k}" for k in range(rng.randrange(4, 34))) for i in range(40)]
+    texts = {i: "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 4))) for i in range(150)}
+    for i in range(150, 400):
+        at = rng.randrange(34)
+        cut = pool[at:at + rng.randrange(2, 7)]
+        texts[i] = "\n".join([rng.choice(pool), *cut, rng.choice(pool)] if rng.random() < 0.6 else [f"own {i}", *cut])
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["_llm_deleted"] for r in linededup.without_repeated_lines(df).collect()}
+    assert got == repeated(texts, linededup.RUN)
+
+
 def test_line_dedup_awkward(spark, awkward):
     out = linededup.without_repeated_lines(awkward)
     assert out.columns == [*awkward.columns, "_llm_lines", "_llm_deleted"]
