@@ -20,6 +20,7 @@ from .common import stored
 
 RUN = 50        # words of the shortest run that is deleted
 GRAM = 25       # words of a fingerprint
+SALTS = 1024    # parts of a run that very many documents have; a rare run only has the parts its documents fall in
 DOC = ["id", "th"]
 
 
@@ -71,9 +72,11 @@ def diagonals(prints: DataFrame) -> DataFrame:
     before = F.lag("s").over(Window.partitionBy(*DOC, "r").orderBy("s"))
     places = stored(places.withColumn("before", before), "places")
     inside = places.where("before is not null").select(*DOC, F.col("id").alias("id0"), F.col("th").alias("th0"), (F.col("s") - F.col("before")).alias("shift"))
-    heads = places.where("before is null")
-    first = heads.groupBy("r").agg(F.min(F.struct(*DOC, "s")).alias("f"), F.count("*").alias("places")).where("places > 1").select("r", "f")
-    across = heads.join(first, "r").where(~F.struct(*DOC, "s").eqNullSafe(F.col("f"))).select(
+    heads = places.where("before is null").withColumn("salt", F.pmod(F.xxhash64(*DOC), F.lit(SALTS)))
+    salted = heads.groupBy("r", "salt").agg(F.min(F.struct(*DOC, "s")).alias("f"), F.count("*").alias("places"))
+    first = salted.groupBy("r").agg(F.min("f").alias("f"), F.sum("places").alias("places")).where("places > 1").select("r", "f")
+    first = salted.select("r", "salt").join(first, "r")
+    across = heads.join(first, ["r", "salt"]).where(~F.struct(*DOC, "s").eqNullSafe(F.col("f"))).select(
         *DOC, F.col("f.id").alias("id0"), F.col("f.th").alias("th0"), (F.col("s") - F.col("f.s")).alias("shift"))
     return inside.unionByName(across).distinct()
 
