@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 NONE = 1 << 30          # above any rank << 8 | position
 BATCHED_BYTES = 256     # longer pieces are encoded one by one
-MEMO = 150_000          # encodings a worker remembers, and as many older ones
+MEMO = 75_000          # encodings a worker remembers, and as many older ones
 MEMO_CHARS = 48         # longer strings are not remembered
 
 

@@ -20,7 +20,7 @@ from .common import held_out
 PROFILE = 300
 UNKNOWN = "und"
 CHUNK_CHARS = 1_000_000     # characters whose n-grams are sorted together
-FLUSH = 1_000_000           # distinct n-grams a training task holds before it hands them on
+FLUSH = 250_000           # distinct n-grams a training task holds before it hands them on
 SHARPNESS = 25.0            # how fast the score falls with a language's distance
 
 
