@@ -2,13 +2,18 @@
 
 Equal vectors of a label are one node. Neighbour lists start from random hyperplane buckets, cut into blocks of bounded
 size, and are refined by joining neighbours of neighbours: all that list a node or are listed by it are compared with each
-other. A list that is saturated - its last neighbour is still a link - doubles, up to a bound. Links make components, and
-inside a component the links are counted exactly, block against block, so a saturated list loses none. An audit compares
-a bounded sample of nodes with all nodes and starts another round with new buckets while recall is too low.
+other. A list that is saturated - its last neighbour is still a link - doubles, up to a bound; what a block finds linked is
+also tied to one node of the block, so a full list loses no connection. Where a bucket or the neighbours of a hub fill several
+blocks, the blocks are compared with each other too, as far as their nodes are still in different components. Links make
+components, and inside a component the links are counted exactly, block against block. An audit compares a bounded sample of
+nodes with all nodes, averages over nodes with links, apart for nodes of small and of large components, and starts another
+round with new buckets while recall is too low. With too few linked nodes to judge by, rounds go on until a link at the
+threshold would have shared a bucket in all but one of fifty cases. If recall stays low, it is an error.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +31,13 @@ LONGEST = 48        # neighbours a saturated list may grow to; the rest is count
 TABLES = 4          # hyperplane tables of one round
 BUCKET = 64         # nodes a bucket aims at
 BLOCK = 128         # nodes compared with each other at most, in expectation
-ROUNDS = 6
-AUDIT = 512         # nodes of the audit
-RECALL = 0.98       # of the audited links, below which another round follows
+OPEN_BLOCK = 512    # nodes of different components in one block, where blocks are compared with each other
+ROUNDS = 12         # rounds after which too low a recall is an error
+AUDIT = 512         # nodes of the audit at first, of small and of large components each
+AUDIT_MOST = 8192   # nodes of the audit, while too few of them have links
+ENOUGH = 64         # audited nodes with links
+SMALL = 32          # nodes of a small component at most
+RECALL = 0.98       # mean share of a node's links that is found, below which another round follows
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -88,15 +97,30 @@ def bucketed(points: DataFrame, seed: int) -> DataFrame:
 
     keyed = rows.mapInArrow(run, "node long, part long, v binary, key long")
     blocks = keyed.groupBy("part", "key").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    return keyed.join(blocks, ["part", "key"]).select("node", "part", "key", F.pmod(F.xxhash64("node"), F.col("n")).alias("sub"), "v")
+    sub = F.pmod(F.xxhash64("node", "part", "key", F.lit(seed)), F.col("n"))
+    return keyed.join(blocks, ["part", "key"]).select("node", "part", "key", sub.alias("sub"), "n", "v")
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row of its component."""
+    root = np.arange(len(linked))
+    while True:
+        least = np.minimum(root, np.where(linked, root[None, :], len(linked)).min(1, initial=len(linked)))
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
 
 
 def _nearest(df: DataFrame, keys: list[str], keep: int) -> DataFrame:
-    """(u, v, sim): for every row of a group its nearest others in it, ``keep`` of them and all links up to LONGEST."""
+    """(u, v, sim, tie): for every row of a group its nearest others in it, ``keep`` of them and all links up to LONGEST.
+
+    Rows with a tie and no sim lead from each node to one node of what links connect it with inside the group.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in runs(batches, keys):
             ids, raw = table.column("node").to_numpy(), table.column("v").to_pylist()
-            us, vs, sims = [], [], []
+            us, vs, sims, ties = [], [], [], []
             for s, e in bounds:
                 if e - s < 2:
                     continue
@@ -116,63 +140,157 @@ def _nearest(df: DataFrame, keys: list[str], keep: int) -> DataFrame:
                 us.append(ids[s:e][row[good]])
                 vs.append(ids[s:e][col[good]])
                 sims.append(value[good])
+                ties.append(np.zeros(good.sum(), bool))
+                linked = sim >= LINK
+                if linked.any():
+                    root = _roots(linked)
+                    moved = np.flatnonzero(root != np.arange(e - s))
+                    us.append(ids[s:e][moved])
+                    vs.append(ids[s:e][root[moved]])
+                    sims.append(np.zeros(len(moved)))
+                    ties.append(np.ones(len(moved), bool))
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(sims))], ["u", "v", "sim"])
+                tie = np.concatenate(ties)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(sims), mask=tie), pa.array(tie)], ["u", "v", "sim", "tie"])
 
-    return by_key(df, keys).mapInArrow(run, "u long, v long, sim double")
+    return by_key(df, keys).mapInArrow(run, "u long, v long, sim double, tie boolean")
 
 
 def _lists(edges: DataFrame) -> DataFrame:
-    """u, near: the best neighbours, LIST of them, or twice as many as long as the last one is a link."""
-    pairs = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    near = F.slice(F.sort_array(F.collect_list(F.struct("sim", "v")), asc=False), 1, LONGEST)
-    lists = pairs.groupBy("u").agg(near.alias("near"))
+    """u, near, tied: the best neighbours, LIST of them, or twice as many as long as the last one is a link; and all ties."""
+    pairs = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
+    near = F.slice(F.sort_array(F.collect_list(F.when(F.col("sim").isNotNull(), F.struct("sim", "v"))), asc=False), 1, LONGEST)
+    lists = pairs.groupBy("u").agg(near.alias("near"), F.collect_list(F.when(F.col("tie"), F.col("v"))).alias("tied"))
     length = F.lit(LONGEST)
     size = LONGEST // 2
     while size >= LIST:
         length = F.when(F.coalesce(F.get("near", F.lit(size - 1))["sim"], F.lit(-1.0)) >= LINK, length).otherwise(F.lit(size))
         size //= 2
-    return lists.select("u", F.slice("near", 1, length).alias("near"))
+    return lists.select("u", F.slice("near", 1, length).alias("near"), "tied")
 
 
-def refine(lists: DataFrame, points: DataFrame) -> DataFrame:
-    """Neighbour lists after one join of neighbours of neighbours."""
-    one = lists.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.sim").alias("sim"))
+def _edges(lists: DataFrame) -> DataFrame:
+    return lists.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.sim").alias("sim"), F.lit(False).alias("tie"))
+
+
+def _hubs(lists: DataFrame) -> DataFrame:
+    """hub, node, n: those that list the hub or are listed by it, and the number of blocks they fill."""
+    one = _edges(lists)
     both = one.select(F.col("u").alias("hub"), F.col("v").alias("node")).unionByName(one.select(F.col("v").alias("hub"), F.col("u").alias("node"))).distinct()
-    hubs = both.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    met = both.join(hubs, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("n")).alias("sub"), "node").join(points.select("node", "v"), "node")
-    return _lists(one.unionByName(_nearest(met, ["hub", "sub"], LIST // 2)))
+    return both.join(both.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("n")), "hub")
+
+
+def refine(lists: DataFrame, points: DataFrame, seed: int = 0) -> DataFrame:
+    """Neighbour lists after one join of neighbours of neighbours."""
+    sub = F.pmod(F.xxhash64("node", "hub", F.lit(seed)), F.col("n"))
+    met = _hubs(lists).select("hub", sub.alias("sub"), "node").join(points.select("node", "v"), "node")
+    return _lists(_edges(lists).unionByName(_nearest(met, ["hub", "sub"], LIST // 2)))
 
 
 def _links(lists: DataFrame) -> DataFrame:
-    return lists.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= LINK).select("u", F.col("e.v").alias("v"))
+    near = _edges(lists).where(F.col("sim") >= LINK).select("u", "v")
+    return near.unionByName(lists.select("u", F.explode("tied").alias("v")))
 
 
-def recall(points: DataFrame, known: DataFrame, sample: int = AUDIT) -> float:
-    """The share of the links of a bounded sample of nodes, found by brute force, whose ends are in one component."""
-    queries = points.orderBy(F.xxhash64(F.col("node"), F.lit(7)), "node").limit(sample).select("node", "part", "v").collect()
-    by: dict[int, tuple[list[int], np.ndarray]] = {}
-    for part in {q["part"] for q in queries}:
-        own = [q for q in queries if q["part"] == part]
-        by[part] = [q["node"] for q in own], _unit([bytes(q["v"]) for q in own])
+def open_links(groups: DataFrame, points: DataFrame, known: DataFrame) -> DataFrame:
+    """(u, v): pairs that connect members of one group (g, node) which are still in different components.
+
+    The members outside the component that has most of the group are compared with all others. Both sides are cut into
+    blocks, and a pair of blocks is one unit of work.
+    """
+    placed = groups.join(known, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
+    counts = placed.groupBy("g", "component").agg(F.count("*").alias("n"))
+    size = counts.groupBy("g").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).where(F.col("all") > F.col("m.n"))
+    size = size.select("g", F.col("m.component").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / OPEN_BLOCK).cast("int").alias("nout"), F.ceil(F.col("m.n") / OPEN_BLOCK).cast("int").alias("nin"))
+    open_ = placed.join(size, "g").withColumn("outside", F.col("component") != F.col("main"))
+    open_ = open_.withColumn("b", F.pmod(F.xxhash64("node", "g"), F.when(F.col("outside"), F.col("nout")).otherwise(F.col("nin"))).cast("int"))
+    # Cells: blocks i <= j of those outside, or block i of those outside with block -1 - j of the others.
+    with_out = F.transform(F.sequence(F.lit(0), F.col("nout") - 1), lambda o: F.when(
+        F.col("outside"), F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"))).otherwise(F.struct(o.alias("i"), (-1 - F.col("b")).alias("j"))))
+    with_in = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("nin") - 1), lambda o: F.struct(F.col("b").alias("i"), (-1 - o).alias("j"))))
+    with_in = with_in.otherwise(F.expr("cast(array() as array<struct<i:int,j:int>>)"))
+    cells = open_.select("g", "node", "component", F.explode(F.concat(with_out, with_in)).alias("c")).select("g", "node", "component", "c.i", "c.j")
+    keys = ["g", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, part, raw = batch.column("node").to_numpy(), batch.column("part").to_numpy(), batch.column("v").to_pylist()
+        for table, bounds in runs(batches, keys):
+            node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
+            raw = table.column("v").to_pylist()
             us, vs = [], []
-            for p, (ids, q) in by.items():
-                own = np.flatnonzero(part == p)
-                if len(own):
-                    i, j = np.nonzero(_unit([raw[k] for k in own]) @ q.T >= LINK)
-                    us += node[own[i]].tolist()
-                    vs += [ids[k] for k in j]
+            for s, e in bounds:
+                x = _unit(raw[s:e])
+                linked = (x @ x.T >= LINK) & (comp[s:e, None] != comp[None, s:e])
+                if linked.any():
+                    root = _roots(linked)
+                    moved = np.flatnonzero(root != np.arange(e - s))
+                    us += node[s:e][moved].tolist()
+                    vs += node[s:e][root[moved]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    pairs = points.select("node", "part", "v").mapInArrow(run, "u long, v long").where("u <> v")
-    u = known.select(F.col("node").alias("u"), F.col("component").alias("uc"))
-    v = known.select(F.col("node").alias("v"), F.col("component").alias("vc"))
-    row = pairs.join(u, "u", "left").join(v, "v", "left").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("uc") == F.col("vc"), F.lit(False))).alias("found")).first()
-    return row["found"] / row["n"] if row["n"] else 1.0
+    return by_key(cells.join(points.select("node", "v"), "node"), keys).mapInArrow(run, "u long, v long")
+
+
+def _audit(placed: DataFrame, chosen: DataFrame, sample: int) -> tuple[int, int, float]:
+    """Of ``sample`` of the chosen nodes: how many there are, how many have links, and the mean share of these links inside one component."""
+    queries = chosen.orderBy(F.xxhash64(F.col("node"), F.lit(7)), "node").limit(sample).select("node", "part", "component", "v").collect()
+    by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+    for part in {q["part"] for q in queries}:
+        at = [i for i, q in enumerate(queries) if q["part"] == part]
+        own = [queries[i] for i in at]
+        by[part] = np.array(at), np.array([q["node"] for q in own]), np.array([q["component"] for q in own]), _unit([bytes(q["v"]) for q in own])
+    total = len(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, found = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        for batch in batches:
+            node, part, comp = (batch.column(c).to_numpy() for c in ("node", "part", "component"))
+            raw = batch.column("v").to_pylist()
+            for p, (at, ids, comps, q) in by.items():
+                every = np.flatnonzero(part == p)
+                for own in (every[k:k + BLOCK] for k in range(0, len(every), BLOCK)):
+                    linked = (_unit([raw[k] for k in own]) @ q.T >= LINK) & (node[own, None] != ids[None, :])
+                    n[at] += linked.sum(0)
+                    found[at] += (linked & (comp[own, None] == comps[None, :])).sum(0)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(found[some])], ["q", "n", "found"])
+
+    counted = placed.mapInArrow(run, "q long, n long, found long").groupBy("q").agg(F.sum("n").alias("n"), F.sum("found").alias("found"))
+    row = counted.agg(F.count("*").alias("linked"), F.avg(F.col("found") / F.col("n")).alias("share")).first()
+    return total, row["linked"], 1.0 if row["share"] is None else row["share"]
+
+
+def audit(points: DataFrame, known: DataFrame, sample: int = AUDIT) -> tuple[float, bool]:
+    """Recall against brute force over bounded samples of nodes, and whether enough of these have links to judge by.
+
+    Recall is the mean, over sampled nodes with links, of the share of the links whose ends are in one component, for
+    nodes of small components (or none) and of large ones apart; the lower one counts. Samples grow while few have links.
+    """
+    sizes = known.groupBy("component").agg(F.count("*").alias("size"))
+    of = known.join(sizes, "component").select("node", "component", "size")
+    placed = points.select("node", "part", "v").join(of, "node", "left").select("node", "part", "v", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    shares, enough = [], True
+    for chosen in (placed.where(F.col("size") <= SMALL), placed.where(F.col("size") > SMALL)):
+        n = sample
+        while True:
+            total, linked, share = _audit(placed, chosen, n)
+            if linked >= ENOUGH or total < n or n >= AUDIT_MOST:
+                break
+            n = min(4 * n, AUDIT_MOST)
+        shares.append(share)
+        enough = enough and (linked >= ENOUGH or total < n)
+    return min(shares), enough
+
+
+def recall(points: DataFrame, known: DataFrame, sample: int = AUDIT) -> float:
+    return audit(points, known, sample)[0]
+
+
+def _rounds_needed(points: DataFrame) -> int:
+    """Rounds after which a link at the threshold has shared a bucket in all but 1 - RECALL of the cases."""
+    size = points.groupBy("part").count().agg(F.max("count")).first()[0] or 1
+    bits = min(max(math.ceil(math.log2(size / BUCKET)), 0), 30)
+    together = (1 - math.acos(LINK) / math.pi) ** bits
+    return 1 if together == 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - together) / TABLES)
 
 
 def link_counts(points: DataFrame, known: DataFrame) -> DataFrame:
@@ -211,18 +329,27 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     valid = stored(nodes(embeddings), "vectors")
     points = stored(valid.groupBy("node").agg(F.first("v").alias("v"), F.first("dims").alias("dims"), F.xxhash64(F.first("label"), F.first("dims")).alias("part"),
                                               F.count("*").alias("copies"), F.min("vec_id").alias("first")), "nodes")
-    lists, known, before = None, None, -1.0
+    needed = _rounds_needed(points)
+    lists, known = None, None
     for r in range(ROUNDS):
-        if lists is None:
-            lists = stored(_lists(_nearest(bucketed(points, 0), ["part", "key", "sub"], LIST)), "lists")
-        elif before >= 0:
-            old = lists.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.sim")
-            lists = stored(_lists(old.unionByName(_nearest(bucketed(points, r), ["part", "key", "sub"], LIST))), "lists")
-        lists = stored(refine(lists, points), "lists")
-        known = stored(components(_links(lists)), "components")
-        before = recall(points, known)
-        if before >= RECALL:
+        buckets = bucketed(points, r)
+        new = _nearest(buckets, ["part", "key", "sub"], LIST)
+        first = stored(_lists(new if lists is None else _edges(lists).unionByName(new)), "lists")
+        lists = stored(refine(first, points, r), "lists")
+        links = _links(first).unionByName(_links(lists))
+        if known is not None:
+            links = links.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        known = stored(components(links), "components")
+        hot = buckets.where("n > 1").select(F.xxhash64("part", "key").alias("g"), "node")
+        hot = hot.unionByName(_hubs(first).where("n > 1").select(F.xxhash64("hub", F.lit("hub")).alias("g"), "node"))
+        more = stored(open_links(hot, points, known), "links")
+        if not more.isEmpty():
+            known = stored(components(more.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+        share, enough = audit(points, known)
+        if share >= RECALL and (enough or r + 1 >= needed):
             break
+    else:
+        raise RuntimeError(f"near-duplicate embeddings: after {ROUNDS} rounds the audited recall is {share:.4f}, under {RECALL}")
     counts = link_counts(points, known)
     placed = points.select("node", "copies", "first").join(known, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -130,6 +130,45 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904, 906))
 
 
+def test_embedding_audit_sees_missed_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(32)
+    big = [(i, base + rng.standard_normal(32) * 0.02) for i in range(300)]
+    pairs = [(1000 + 2 * i + k, c + rng.standard_normal(32) * 0.01 * k) for i, c in enumerate(rng.standard_normal((60, 32))) for k in (0, 1)]
+    points = spark.createDataFrame([(i, 0, (v + 0.0).tobytes()) for i, v in big + pairs], "node long, part long, v binary")
+    known = spark.createDataFrame([(i, 0) for i, _ in big], "node long, component long")
+    assert embeddings.recall(points, known) < embeddings.RECALL
+    every = known.unionByName(spark.createDataFrame([(i, i - i % 2) for i, _ in pairs], "node long, component long"))
+    assert embeddings.recall(points, every) == 1
+
+
+def test_embedding_components_joined_by_a_bridge_between_full_lists(spark):
+    """Two tight groups, larger than the longest list, that one link at the threshold joins."""
+    rng = np.random.default_rng(4)
+    axis = np.eye(24)
+    turn = lambda degrees: np.cos(np.radians(degrees)) * axis[0] + np.sin(np.radians(degrees)) * axis[1]
+    rows = [turn(0), turn(11.3)]
+    for i in range(140):
+        rows.append(turn(-4 if i % 2 else 15.3) + np.r_[0, 0, rng.standard_normal(22)] * 0.008)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    x = np.stack([v / np.linalg.norm(v) for v in rows])
+    assert ((x @ x.T >= 0.98)[0].sum(), (x @ x.T >= 0.98)[1].sum()) == (72, 72)
+    assert {r["component_id"] for r in embeddings.near_duplicates(df).collect()} == {0}
+
+
+def test_embedding_open_links_between_blocks(spark):
+    """Pairs of one group that fall in different blocks are found, whichever component has most of the group."""
+    rng = np.random.default_rng(6)
+    c = rng.standard_normal((900, 16))
+    rows = [(2 * i + k, (v + rng.standard_normal(16) * 0.01 * k).tobytes()) for i, v in enumerate(c) for k in (0, 1)]
+    points = spark.createDataFrame(rows, "node long, v binary")
+    groups = points.select(embeddings.F.lit(5).cast("long").alias("g"), "node")
+    known = spark.createDataFrame([(i, 0) for i in range(0, 1200, 2)], "node long, component long")
+    got = embeddings.components(embeddings.open_links(groups, points, known).unionByName(known.selectExpr("node u", "component v")))
+    of = {r["node"]: r["component"] for r in got.collect()}
+    assert all(of[2 * i] == of[2 * i + 1] for i in range(900)) and len({of[2 * i] for i in range(600, 900)}) == 300
+
+
 # -- language
 
 @needs_data
