@@ -301,6 +301,21 @@ def test_line_dedup_awkward(spark, awkward):
     assert linededup.digest(awkward.limit(0)).count() == 0
 
 
+def test_line_dedup_of_passages_inside_lines(spark):
+    """Passages of 100 words that begin and end in mid-line, cut into lines elsewhere than in their first place."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdehinorsty") for _ in range(rng.randrange(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(100) for _ in range(20)]
+    texts = {i: f"{text(9)} {p} {text(8)}\n{text(20)}" for i, p in enumerate(passages)}
+    own = {i: [text(7), text(6)] for i in range(100, 120)}
+    texts |= {i: f"{a} {passages[i - 100]}\t{b}" for i, (a, b) in own.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(df).collect()}
+    assert all(got[i] == texts[i] for i in range(20))
+    assert all(got[i] == f"{a} {b}" for i, (a, b) in own.items())
+
+
 # -- decontamination
 
 def test_decontamination_against_brute_force(spark):
