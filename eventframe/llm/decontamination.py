@@ -4,8 +4,9 @@ A whole document is so much larger than an item that their Jaccard similarity sa
 size, and for each partition a document is seen as overlapping windows hardly larger than the items of that partition: an
 item of 2^s to 2^(s+1) shingles that occurs in the document lies in a window of 3 * 2^s shingles, and one that is contained
 to 80 % has a Jaccard similarity of at least 0.25 with that window. Window and item then share one of 48 hash minima but for
-one case in a million. Items under 8 shingles meet windows of a single shingle, which misses nothing. A candidate
-is verified on the shingles of the whole document: the share of the item's distinct shingles that occur anywhere in it.
+one case in a million. Items under 8 shingles meet windows of a single shingle, which misses none of their shingles. Items
+and documents of fewer words than a shingle count as one sequence, so an item of 1 to 4 words is only found in a document that
+consists of exactly these words, never inside a longer one. A candidate is verified on the shingles of the whole document: the share of the item's distinct shingles that occur anywhere in it.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = SHINGLE, c
 
     n_item is the number of the item's distinct shingles, n_shared how many of them the document has. What goes to each
     task is one block of items, bounded by BLOCK_SHINGLES; a larger benchmark takes more passes over the documents.
-    Repeated rows or items give repeated pairs; null and empty texts give none; an empty benchmark gives no rows.
+    An item of fewer than ``k`` words is contained only in a document of exactly these words. Repeated rows or items give repeated pairs; null and empty texts give none; an empty benchmark gives no rows.
     """
     kinds = {c: f.dataType.simpleString() for c, f in (("doc_id", documents.schema["doc_id"]), ("item_id", benchmark.schema["item_id"]))}
     spark: SparkSession = documents.sparkSession
