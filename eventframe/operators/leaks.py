@@ -114,10 +114,14 @@ def live_snapshot(df: DataFrame, key: str | Sequence[str], create: Column, delet
 
 def coalesce_ranges(df: DataFrame, start: str, end: str, by: Sequence[str] = (), gap: int = 1,
                     max_rows: int | None = None) -> DataFrame:
-    """Merge ranges that overlap or follow each other within ``gap`` (1 for closed integer ranges)."""
-    tl = timeline(df.select(*by, start, end), by, order=(start, end), max_rows=max_rows)
+    """Merge ranges that overlap or follow each other within ``gap`` (1 for closed integer ranges).
+
+    Equal ranges are counted first: what remains has one order, so that the three scans see the same one.
+    """
+    ranges = df.groupBy(*by, start, end).agg(F.count("*").alias("_equal"))
+    tl = timeline(ranges, by, order=(start, end), max_rows=max_rows)
     tl = tl.scan(_reach=run_max(end)).scan(_before=prev("_reach"))
     fresh = F.when(F.col(start) <= F.col("_before._reach") + gap, 0).otherwise(1)
     tl = tl.map(lambda f: f.withColumn("_fresh", fresh)).scan(_island=run_sum("_fresh"))
     return tl.rows().groupBy(*by, "_island").agg(
-        F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")).drop("_island")
+        F.min(start).alias(start), F.max(end).alias(end), F.sum("_equal").alias("merged")).drop("_island")

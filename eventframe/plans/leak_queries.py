@@ -107,12 +107,13 @@ def live_snapshot(spark, sf):
 
 
 @query("range_coalesce", """
-WITH r AS (SELECT l_suppkey AS dev, l_partkey * 4 AS first, l_partkey * 4 + l_linenumber AS last FROM lineitem),
+WITH r AS (SELECT l_suppkey AS dev, l_partkey * 4 AS first, l_partkey * 4 + l_linenumber AS last, count(*) AS equal
+    FROM lineitem GROUP BY ALL),
 a AS (SELECT *, max(last) OVER (PARTITION BY dev ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING
     AND 1 PRECEDING) AS reach FROM r),
 b AS (SELECT *, sum(CASE WHEN first <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY dev ORDER BY first, last
     ROWS UNBOUNDED PRECEDING) AS island FROM a)
-SELECT dev, min(first) AS first, max(last) AS last, count(*) AS merged FROM b GROUP BY dev, island""")
+SELECT dev, min(first) AS first, max(last) AS last, CAST(sum(equal) AS BIGINT) AS merged FROM b GROUP BY dev, island""")
 def range_coalesce(spark, sf):
     ranges = table(spark, sf, "lineitem").selectExpr(
         "l_suppkey AS dev", "l_partkey * 4 AS first", "l_partkey * 4 + l_linenumber AS last")
