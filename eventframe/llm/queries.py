@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, embeddings, language, linededup, neardup, pii, quality, toxicity
+from . import bpe, chat, decontamination, embeddings, language, linededup, neardup, packing, pii, quality, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,9 @@ ORACLES: dict[str, str] = {}
 #: The vocabulary that op4 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+#: The tokenizer that op13 packs with.
+PACKING_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -70,3 +73,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.packed(table(spark, sf_dir, "documents"), PACKING_VOCABULARY))
