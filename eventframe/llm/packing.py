@@ -23,6 +23,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ from .common import stored
 LENGTH = 1024
 SEPARATOR = 0
 BATCH_CHARS = 2_000_000     # characters encoded together; a longer text is encoded alone
-KNOWN_PARTS = 300_000       # parts of texts whose ids a task remembers
+KNOWN_PARTS = 500_000       # parts of texts whose ids a worker remembers
+LONG_PART = 64              # characters beyond which a part is not remembered
 STARTS = 500_000            # rows of queue starts (some 50 bytes each) up to which they are broadcast, else joined
 SMALL = "small"             # name of the queue of the sources with less than a token a window
 
@@ -136,32 +138,47 @@ def cuts(served: list[tuple[int, int, Phase, int]], at: int, n: int, length: int
             w, before = w + 1, upto
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of texts by the tokenizer file, as little-endian unsigned 32-bit numbers.
 
     Pre-tokens never hold a space behind a character that is not white space, so a text may be cut before such spaces and
     its parts encoded one by one. Parts that come again are looked up; the memory of parts is emptied when it is full.
     """
 
-    CUT = re.compile("(?<![\\s\x1c-\x1f\x85\u180e\u200b\ufeff]) ")
+    SPACES = "\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200c))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+    RUNS = tuple(c + " " for c in SPACES)
+    CUT = re.compile(f"(?<![{SPACES}]) ")
 
     def __init__(self, tokenizer: str):
+        super().__init__()
         # Spark's tasks are the parallelism.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(tokenizer)
-        self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def parts(self, text: str) -> list[str]:
+        return self.CUT.split(text) if any(c in text for c in self.RUNS) else text.split(" ")
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.CUT.split(t) for t in texts]
-        known = self.known = self.known if len(self.known) <= KNOWN_PARTS else {}
-        new = list({p for parts in cut for p in parts[1:]} - known.keys())
-        known.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-        firsts = self._encode([parts[0] for parts in cut])
-        get = known.__getitem__
-        return [first + b"".join(map(get, parts[1:])) for first, parts in zip(firsts, cut, strict=True)]
+        cut = [self.parts(t) for t in texts]
+        firsts = self.encoded([parts.pop(0) for parts in cut])
+        if len(self) > KNOWN_PARTS:
+            self.clear()
+        new = list(dict.fromkeys([p for parts in cut for p in parts if p not in self]))
+        self.update(zip(new, self.encoded([" " + p for p in new]), strict=True))
+        out = [first + b"".join(map(self.__getitem__, parts)) for first, parts in zip(firsts, cut, strict=True)]
+        for p in new:
+            if len(p) > LONG_PART:
+                del self[p]
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer: str) -> Encoder:
+    """One for all tasks that a worker process runs."""
+    return Encoder(tokenizer)
 
 
 def tokenized(documents: DataFrame, tokenizer: str, source: str = "source", separator: int = SEPARATOR) -> DataFrame:
@@ -173,7 +190,7 @@ def tokenized(documents: DataFrame, tokenizer: str, source: str = "source", sepa
     end = np.array([separator], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoded = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         seen: dict[str, int] = {}
         for batch in batches:
@@ -183,7 +200,7 @@ def tokenized(documents: DataFrame, tokenizer: str, source: str = "source", sepa
                 j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + BATCH_CHARS, side="right")))
                 rows = batch.slice(i, j - i)
                 i = j
-                ids = [x + end for x in encoder(rows.column("text").to_pylist())]
+                ids = [x + end for x in encoded(rows.column("text").to_pylist())]
                 n = [len(x) // 4 for x in ids]
                 at = []
                 for q, k in zip(rows.column("queue").to_pylist(), n, strict=True):

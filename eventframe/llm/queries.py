@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, embeddings, language, linededup, neardup, packing, pii, quality, toxicity
+from . import bpe, chat, decontamination, embeddings, language, linededup, neardup, packing, pii, quality, repair, toxicity, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.packed(table(spark, sf_dir, "documents"), PACKING_VOCABULARY))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"), damage=True)
