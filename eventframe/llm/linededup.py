@@ -1,212 +1,134 @@
-"""Line dedup by winnowing over line hashes, with Spark expressions only.
-
-A document is its sequence of pieces: non-blank lines, cut after words that end in certain characters, so that equal words
-are cut alike wherever they stand in a line. The fingerprint at a piece is the hash of the run of pieces from there to the
-first with which the run has GRAM words. Of the fingerprints that start within SEED - GRAM words from a piece the smallest is
-selected (the last one on ties), so that two places with the same run of at least SEED words always select the same
-fingerprint inside it. Only places whose selected fingerprint occurs again go on. A fingerprint alone does not tell which
-places agree: its first place may go on differently while two later ones have more in common. So a place is joined by the
-hash of the shortest run of SEED words, and of that of RUN words, that begins at the piece which selected the fingerprint, or that ends at a later piece;
-places with an equal run are all equal to the first of them, in the corpus or in the own document. Each match lies on a
-diagonal of two documents; along it equal pieces are followed both ways, then equal words into the pieces at both edges, and
-every run of at least RUN words is deleted from the later place. The order of places is (doc_id, hash of the text, piece).
-A line is not compared with itself.
+"""Line dedup by winnowing, with Spark expressions only.
+
+A text is the sequence of the words of its lines. Every GRAM words in a row have a hash; of the hashes in each window of RUN words the
+smallest is selected, so every passage of RUN words or more holds selected fingerprints, and the same ones wherever it
+stands: no repeated passage goes unseen, in whatever script, and whatever lines it is cut into. Positions are joined by fingerprints
+that occur again. A fingerprint is extended both ways to all windows of RUN words that selected it; two grams, at the window's
+beginning and end, stand for its words. The windows are compared with those of the fingerprint's first place; those that differ
+there, as the first place may go on differently, are compared among each other. Windows that occurred at an earlier place are deleted,
+together they are the repeated runs, word by word. The order of places is (doc_id, hash of the text, word). A line is not compared with itself.
+
+Words are compared by 64-bit hashes; grams of equal hash are told apart by further 32 bits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 RUN = 50        # words of the shortest run that is deleted
-SEED = 20       # words of whole pieces that a run is found by
-GRAM = 10       # words of a fingerprint
-WHOLE = 1 << 30  # past the last word of any piece
-SPACES = "\t\x0b\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"      # besides the space and the line feed
-ENDS = "dyяьνה"     # a piece ends after a word that ends in one of these
-MARK = "\x01"
-SALTS = 1024    # parts of a run that very many documents have; a rare run only has the parts its documents fall in
+GRAM = 26       # words of a fingerprint; RUN - GRAM + 1 of them are compared at a time
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200b))) + "    　"
+INNER = SPACES.replace("\n", "").replace(" ", "")
 DOC = ["id", "th"]
 
 
-def _words(piece: Column) -> Column:
-    return F.split(piece, " ")
-
-
-def _marked(text: str | Column) -> Column:
-    """The text with single spaces between words and a mark between pieces."""
-    out = F.regexp_replace(text, f"[ {SPACES}]{{2,}}|[{SPACES}]", " ")
-    for c in ENDS:
-        out = F.replace(out, F.lit(f"{c} "), F.lit(f"{c} {MARK}"))
-    return out
+def _doc(documents: DataFrame) -> DataFrame:
+    return documents.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """id, th (hash of the text), and of the pieces with words: x texts, h hashes, w numbers of words, p line numbers, j places in the line.
+def fingerprints(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """id, th, g, at, windows: the selected fingerprints, the first window of ``run`` words that selected each, and of all
+    consecutive windows that did their hashes and the numbers of the lines they begin on."""
+    words = F.transform(F.split("text", "\n"), lambda x: F.filter(F.split(F.translate(x, INNER, " " * len(INNER)), " "), lambda w: w != ""))
 
-    Rows repeated in full are one document here.
-    """
-    pieces = F.flatten(F.transform(F.split(_marked("text"), "\n"), lambda x, p: F.transform(
-        F.split(x, MARK), lambda y, j: F.struct(F.trim(y).alias("x"), p.alias("p"), j.alias("j")))))
-    full = F.filter(pieces, lambda x: F.length(x["x"]) > 0)
-    rows = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), full.alias("l"))
-    rows = rows.select(*DOC, F.col("l.x").alias("x"), F.transform("l", lambda x: F.xxhash64(x["x"])).alias("h"), F.transform("l", lambda x: F.length(x["x"]) - F.length(F.replace(x["x"], F.lit(" "))) + 1).alias("w"),
-                       F.col("l.p").alias("p"), F.col("l.j").alias("j"))
-    return rows.where(F.size("h") > 0)
+    def lines(w: Column) -> Column:
+        h = F.flatten(F.transform(w, lambda l: F.transform(l, lambda x: F.xxhash64(x))))
+        p = F.flatten(F.transform(w, lambda l, i: F.array_repeat(i, F.size(l))))
+        return F.struct(h.alias("h"), p.alias("p"))
 
+    def grams(x: Column) -> Column:
+        g = F.transform(F.sequence(F.lit(0), F.size(x["h"]) - gram), lambda i: F.xxhash64(F.slice(x["h"], i + 1, gram)))
+        return F.struct(g.alias("g"), x["p"].alias("p"))
 
-def fingerprints(lines: DataFrame, seed: int, run: int, gram: int) -> DataFrame:
-    """id, th, i, g, at: the selected fingerprints of every document, their first pieces, and the runs that selected them.
+    def selected(x: Column) -> Column:
+        least = F.transform(F.sequence(F.lit(0), F.size(x["p"]) - run), lambda s: F.array_min(F.slice(x["g"], s + 1, run - gram + 1)))
+        # Another fingerprint is selected where the value changes, and where the leftmost gram of this value leaves the window.
+        return _let(least, lambda m: _let(
+            F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda s: (s == 0) | (F.get(m, s) != F.get(m, s - 1)) | (F.get(x["g"], s - 1) == F.get(m, s - 1))),
+            lambda begins: F.transform(begins, lambda at, k: F.struct(
+                F.get(m, at).alias("g"), at.alias("at"),
+                F.transform(F.sequence(at, F.coalesce(F.get(begins, k + 1), F.size(m)) - 1), lambda s: F.struct(
+                    F.hash(F.get(x["g"], s), F.get(x["g"], s + (run - gram))).alias("w"), F.get(x["p"], s).alias("line"))).alias("windows")))))
 
-    ``at`` holds (s, p, c, r): the first piece, its line, the number of pieces and the hash of a run of at least ``seed`` or
-    ``run`` words that is the shortest from its first piece on or the shortest up to its last piece.
-    """
-    one = lines.select(*DOC, F.posexplode(F.arrays_zip("h", "w", "p")).alias("i", "l")).select(*DOC, "i", "l.h", "l.w", "l.p").dropDuplicates([*DOC, "i"])
-    ordered = Window.partitionBy(*DOC)
-    end = F.sum("w").over(ordered.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    placed = one.withColumn("e", end).withColumn("b", F.col("e") - F.col("w"))
-    own = ordered.orderBy("b").rangeBetween(0, gram - 1)
-    grams = placed.withColumn("g", F.when(F.sum("w").over(own) >= gram, F.xxhash64(F.collect_list("h").over(own))))
-    near = ordered.orderBy("b").rangeBetween(0, seed - gram)
-    least = F.min(F.when(F.col("g").isNotNull(), F.struct(F.col("g").alias("g"), (-F.col("i")).alias("i")))).over(near)
-
-    def window(over: Window, words: int, first: Column, picked: Column) -> Column:
-        return F.when(F.sum("w").over(over) >= words, F.struct(
-            picked["g"].alias("g"), (-picked["i"]).alias("i"), first["i"].alias("s"), first["p"].alias("p"), F.count("*").over(over).alias("c"), F.xxhash64(F.collect_list("h").over(over)).alias("r")))
-
-    picked = grams.withColumn("m", least)
-    for words in (seed, run):
-        ahead = ordered.orderBy("b").rangeBetween(0, words - 1)
-        behind = ordered.orderBy("e").rangeBetween(1 - words, 0)
-        picked = picked.withColumn(f"from{words}", window(ahead, words, F.struct("i", "p"), F.col("m")))
-        picked = picked.withColumn(f"to{words}", window(behind, words, F.min(F.struct("i", "p")).over(behind), F.first("m").over(behind)))
-    found = picked.select(*DOC, F.explode(F.array(*(f"{c}{words}" for words in (seed, run) for c in ("from", "to")))).alias("x")).where(F.col("x").isNotNull())
-    return found.groupBy(*DOC, F.col("x.i").alias("i"), F.col("x.g").alias("g")).agg(F.collect_set(F.struct("x.s", "x.p", "x.c", "x.r")).alias("at"))
-
-
-def diagonals(prints: DataFrame) -> DataFrame:
-    """id, th, id0, th0, shift: piece i of the document is compared with piece i - shift of the earlier place."""
-    again = prints.groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g")
-    places = prints.join(again, "g", "left_semi").select(*DOC, F.explode("at").alias("a")).select(*DOC, "a.s", "a.p", "a.c", "a.r").distinct()
-    # Of runs that overlap each other in one line, as in endless repetition of a word, the first place stands for all.
-    last = F.lag("s").over(Window.partitionBy(*DOC, "r", "p").orderBy("s"))
-    places = places.withColumn("last", last).where(F.coalesce(F.col("s") - F.col("last") >= F.col("c"), F.lit(True))).drop("last", "c")
-    before = F.max("s").over(Window.partitionBy(*DOC, "r").orderBy("p").rangeBetween(Window.unboundedPreceding, -1))
-    places = stored(places.withColumn("before", before), "places")
-    inside = places.where("before is not null").select(*DOC, F.col("id").alias("id0"), F.col("th").alias("th0"), (F.col("s") - F.col("before")).alias("shift"))
-    heads = places.where("before is null").withColumn("salt", F.pmod(F.xxhash64(*DOC), F.lit(SALTS)))
-    salted = heads.groupBy("r", "salt").agg(F.min(F.struct(*DOC, "s", "p")).alias("f"), F.count("*").alias("places"))
-    first = salted.groupBy("r").agg(F.min("f").alias("f"), F.sum("places").alias("places")).where("places > 1").select("r", "f")
-    first = salted.select("r", "salt").join(first, "r")
-    across = heads.join(first, ["r", "salt"]).where(~F.struct(*DOC, "p").eqNullSafe(F.struct("f.id", "f.th", "f.p"))).select(
-        *DOC, F.col("f.id").alias("id0"), F.col("f.th").alias("th0"), (F.col("s") - F.col("f.s")).alias("shift"))
-    return inside.unionByName(across).distinct()
-
-
-def _same_key(a: DataFrame, b: DataFrame, left: list[str], right: list[str]) -> Column:
-    """Join condition on (id, th), null ids equal."""
-    return a[left[0]].eqNullSafe(b[right[0]]) & (a[left[1]] == b[right[1]])
-
-
-def _equal_runs(run: int) -> Column:
-    """array<struct<first, last, words>>: the first and last piece of the runs along a diagonal that have enough words."""
-    equal = F.transform("h", lambda x, i: F.coalesce((x == F.get("h0", i - F.col("shift"))) & ~(F.col("own") & (F.get("p", i) == F.get("p", i - F.col("shift")))), F.lit(False)))
-    pieces = F.concat(F.zip_with(equal, F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e, l: F.struct(e.alias("e"), l["w"].alias("w"), l["i"].alias("i"))),
-                      F.array(F.struct(F.lit(False).alias("e"), F.lit(0).alias("w"), F.lit(-1).alias("i"))))
-    zero = F.expr("named_struct('first', -1, 'last', -1, 'words', 0, 'out', cast(array() as array<struct<first:int,last:int,words:int>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        begins = acc["words"] == 0
-        done = F.when(acc["words"] >= run, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"), acc["words"].alias("words"))))).otherwise(acc["out"])
-        return F.when(x["e"], F.struct(F.when(begins, x["i"]).otherwise(acc["first"]).alias("first"), x["i"].alias("last"),
-                                       (acc["words"] + x["w"]).alias("words"), acc["out"].alias("out"))).otherwise(
-            F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("words"), done.alias("out")))
-
-    return F.aggregate(pieces, zero, step, lambda a: a["out"])
-
-
-def _common(a: Column, b: Column) -> Column:
-    """How many words two arrays have in common at their beginning; 0 if one is null."""
-    n = F.least(F.size(a), F.size(b))
-    differ = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(a, i) != F.get(b, i))
-    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.get(differ, F.lit(0)), n)).otherwise(0)
-
-
-def _extended(pairs: DataFrame, seed: int, run: int) -> DataFrame:
-    """id, th, r: the runs of at least ``run`` words from the first (line, piece, word) to the last, with the words at their edges.
-
-    Inside one document a line is not compared with itself, at the edges neither.
-    """
-    runs = pairs.withColumn("r", F.explode(_equal_runs(seed)))
+    found = _let(words, lambda w: _let(lines(w), lambda x: F.when(F.size(x["h"]) >= run, _let(grams(x), selected))))
+    return _doc(documents).select(*DOC, F.explode(found).alias("x")).select(*DOC, "x.g", "x.at", "x.windows")
 
-    def edge(i: Column) -> tuple[Column, Column]:
-        there = i - F.col("shift")
-        apart = ~F.col("own") | (F.get("p", i) != F.get("p", there))
-        return tuple(F.when(apart, _words(F.get(c, k))) for c, k in (("x", i), ("x0", there)))
 
-    before, after = F.col("r.first") - 1, F.col("r.last") + 1
-    a, b = edge(before)
-    runs = runs.withColumn("left", _common(F.reverse(a), F.reverse(b)))
-    a, b = edge(after)
-    runs = runs.withColumn("right", _common(a, b)).where(F.col("r.words") + F.col("left") + F.col("right") >= run)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: columns of stacked projections may be put in place and computed again and again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def place(i: Column, word: Column) -> Column:
-        return F.struct(F.get("p", i).alias("p"), F.get("j", i).alias("j"), word.cast("int").alias("t"))
 
-    first = F.when(F.col("left") > 0, place(before, F.get("w", before) - F.col("left"))).otherwise(place(F.col("r.first"), F.lit(0)))
-    last = F.when(F.col("right") > 0, place(after, F.col("right") - 1)).otherwise(place(F.col("r.last"), F.lit(WHOLE)))
-    return runs.select(*DOC, F.struct(first.alias("first"), last.alias("last")).alias("r"))
+def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """id, th, runs: for documents that repeat something, the first word and the end of every run to delete, in order.
 
-
-def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM, seed: int = SEED) -> DataFrame:
-    """id, th, runs: for documents that repeat something, the first and last (line, piece, word) of every run to delete."""
-    lines = stored(_lines(documents), "lines")
-    found = stored(diagonals(stored(fingerprints(lines.drop("x"), seed, run, gram), "fingerprints")), "diagonals")
-    unique = lines.dropDuplicates(DOC)
-    first = unique.select(F.col("id").alias("ida"), F.col("th").alias("tha"), F.col("h").alias("h0"), F.col("x").alias("x0"))
-    own_place = F.col("id").eqNullSafe(F.col("id0")) & (F.col("th") == F.col("th0"))
-    pairs = found.join(first, _same_key(found, first, ["id0", "th0"], ["ida", "tha"])).select(*DOC, "shift", own_place.alias("own"), "h0", "x0")
-    own = unique.select(F.col("id").alias("idb"), F.col("th").alias("thb"), "x", "h", "w", "p", "j")
-    pairs = pairs.join(own, _same_key(pairs, own, DOC, ["idb", "thb"])).select(*DOC, "shift", "own", "h0", "x0", "x", "h", "w", "p", "j")
-    return _extended(pairs, seed, run).groupBy(*DOC).agg(F.collect_set("r").alias("runs"))
+    Small tables are stored before they are joined: Spark knows their size and broadcasts them below its threshold only.
+    """
+    prints = fingerprints(documents, run, gram)
+    again = stored(prints.groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g"), "fingerprints")
+    places = stored(prints.join(again, "g", "left_semi"), "places")
+    # The first place of each: a partial aggregation, so that a fingerprint of very many documents is one row a task.
+    first = stored(places.groupBy("g").agg(F.min(F.struct(*DOC, "at", "windows")).alias("f")), "first-places")
+    own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
+    placed = places.join(first, "g").where(~F.struct(*DOC, "at").eqNullSafe(F.struct("f.id", "f.th", "f.at"))).withColumn("own", own)
+    # Where each window stands (s), and the line on which its like begins in the first place; null: it has none there.
+    numbered = F.transform("windows", lambda x, i: F.struct(
+        x["w"].alias("w"), (F.col("at") + i).alias("s"), x["line"].alias("line"), F.get(F.filter("f.windows", lambda y: y["w"] == x["w"]), F.lit(0))["line"].alias("there")))
+    known = stored(placed.select("g", *DOC, "own", numbered.alias("x")), "compared")
+    met = known.select(*DOC, F.transform(F.filter("x", lambda x: x["there"].isNotNull() & (~F.col("own") | (x["there"] != x["line"]))), lambda x: x["s"]).alias("s"))
+    rest = known.select("g", *DOC, F.explode(F.filter("x", lambda x: x["there"].isNull())).alias("x")).select("g", "x.w", *DOC, F.col("x.s").alias("at"), "x.line")
+    heads = rest.groupBy("g", "w").agg(F.min(F.struct(*DOC, "at", "line")).alias("f"), F.count("*").alias("places")).where("places > 1").drop("places")
+    same_line = own & (F.col("line") == F.col("f.line"))        # the first place itself is on its own line
+    others = rest.join(stored(heads, "first-windows"), ["g", "w"]).where(~same_line).select(*DOC, F.array("at").alias("s"))
+    found = met.where(F.size("s") > 0).unionByName(others).groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    begins = F.filter("s", lambda x, i: (i == 0) | (x > F.get("s", i - 1) + run))
+    ends = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get("s", i + 1) > x + run))
+    return found.select(*DOC, F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), (b + run).alias("end"))).alias("runs"))
 
 
 def _left_over(runs: str) -> Column:
-    """array<string>: the lines of the text without the words of the runs; a line without any word left goes."""
-    def at(p: Column, j: Column, t: Column) -> Column:
-        return F.struct(p.cast("int").alias("p"), j.cast("int").alias("j"), t.cast("int").alias("t"))
+    """The text without the words of the runs. A word goes with the white space behind it, but a line break behind a run stays."""
+    kind = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
+    words = F.regexp_extract_all("text", F.lit(f"[^{kind}]+[{kind}]*"), F.lit(0))
+    head = F.regexp_extract("text", f"^[{kind}]*", 0)
 
-    def inside(place: Column) -> Column:
-        return F.exists(runs, lambda r: (place >= r["first"]) & (place <= r["last"]))
+    def built(w: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
+        stops = F.concat(F.transform(runs, lambda r: r["first"]), F.array(F.size(w)))
+        kept = F.zip_with(starts, stops, lambda a, b: F.array_join(F.slice(w, a + 1, F.greatest(b - a, F.lit(0))), ""))
 
-    def rest(x: Column, p: Column) -> Column:
-        pieces = F.transform(F.split(_marked(x), MARK), lambda y, j: F.filter(_words(F.trim(y)), lambda w, t: (F.length(w) > 0) & ~inside(at(p, j, t))))
-        return F.array_join(F.flatten(pieces), " ")
+        def part(x: Column, k: Column) -> Column:
+            body = F.rtrim(x, F.lit(SPACES))
+            run = F.get(runs, k)
+            broken = F.contains(F.get(w, run["end"] - 1), F.lit("\n")) & ~F.contains(F.substring(x, F.length(body) + 1, F.length(x)), F.lit("\n"))
+            return (F.when(run.isNull() | (x == ""), x).when(run["end"] >= F.size(w), body)
+                    .when(broken, F.concat(body, F.lit("\n"))).otherwise(x))
 
-    def line(x: Column, p: Column) -> Column:
-        met = F.exists(runs, lambda r: (p >= r["first"]["p"]) & (p <= r["last"]["p"]))
-        return F.when(~met, x).otherwise(F.nullif(rest(x, p), F.lit("")))
+        return F.array_join(F.transform(kept, part), "")
 
-    return F.filter(F.transform(F.split("text", "\n"), line), lambda x: x.isNotNull())
+    text = _let(words, built)
+    return F.when(text == "", "").otherwise(F.concat(head, text))
 
 
 def without_repeated_lines(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """All rows and columns, with ``text`` cleaned, plus _llm_lines and _llm_deleted, the numbers of lines before and deleted.
 
-    Null texts stay null. Lines between the first and the last of a deleted run go with it, blank ones too. Of a line that
-    loses a part only, the other words stay, with single spaces, and the line does not count as deleted. A document
-    that had text and has none left becomes the empty text. Rows repeated in full get the same result, each.
+    Null texts stay null. A line that loses all its words is deleted, one that loses a part only is not. Blank lines behind a run go
+    with it. A document that had words and has none left becomes the empty text. Rows repeated in full get the same result, each;
+    null ids come first in the order of places. An empty table gives an empty one.
     """
-    runs = repeated_runs(documents, run, gram).select(F.col("id").alias("_llm_id"), F.col("th").alias("_llm_th"), F.col("runs").alias("_llm_runs"))
+    runs = stored(repeated_runs(documents, run, gram), "runs").select(F.col("id").alias("_llm_id"), F.col("th").alias("_llm_th"), F.col("runs").alias("_llm_runs"))
     rows = documents.withColumn("_llm_th0", F.xxhash64("text"))
     rows = rows.join(runs, rows["doc_id"].eqNullSafe(runs["_llm_id"]) & (rows["_llm_th0"] == runs["_llm_th"]), "left")
-    lines = F.split("text", "\n")
-    text = F.when(F.col("_llm_runs").isNull(), F.col("text")).otherwise(F.array_join(_left_over("_llm_runs"), "\n"))
-    done = rows.withColumn("_llm_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("_llm_text", text)
-    cleaned = F.when(F.col("_llm_runs").isNull(), 0).otherwise(F.col("_llm_lines") - F.when(F.col("_llm_text") == "", 0).otherwise(F.size(F.split("_llm_text", "\n"))))
-    done = done.withColumn("_llm_deleted", cleaned)
+    done = rows.withColumn("_llm_text", F.when(F.col("_llm_runs").isNull(), F.col("text")).otherwise(_left_over("_llm_runs")))
+    done = done.withColumn("_llm_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
+    deleted = F.when(F.col("_llm_runs").isNull(), 0).otherwise(F.col("_llm_lines") - F.when(F.col("_llm_text") == "", 0).otherwise(F.size(F.split("_llm_text", "\n"))))
+    done = done.withColumn("_llm_deleted", deleted)
     return done.select(*(F.col("_llm_text").alias("text") if c == "text" else F.col(c) for c in documents.columns), "_llm_lines", "_llm_deleted")
 
 

@@ -77,7 +77,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.packed(table(spark, sf_dir, "documents"), PACKING_VOCABULARY))
+    return packing.digest(packing.packed(table(spark, sf_dir, "documents"), PACKING_VOCABULARY, public_tokenizers.PATTERN))
 
 
 @query

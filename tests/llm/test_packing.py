@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 from eventframe.llm import packing
 
+SF = "/root/testdata/sf0.1"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -49,11 +51,19 @@ def test_weights_hold_until_a_queue_runs_dry():
 def test_encoder_equals_the_tokenizer():
     rng = random.Random(1)
     model = Tokenizer.from_file(VOCABULARY)
-    encoder = packing.Encoder(VOCABULARY)
+    encoder = packing.Encoder(VOCABULARY, public_tokenizers.PATTERN)
     alphabet = [" ", " ", "  ", "\n", "\t", "\x1c", "\x85", "　", "​", "a", "can't", "12", "é", "🙂", "!", "<|endoftext|>", "x" * 30, "᠎", "﻿"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
     want = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
-    assert encoder(texts[:1500]) + encoder(texts[1500:]) == want
+    assert [encoder(t) for t in texts] == want
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_encoder_equals_the_tokenizer_on_documents(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    model = Tokenizer.from_file(VOCABULARY)
+    encoder = packing.Encoder(VOCABULARY, public_tokenizers.PATTERN)
+    assert [encoder(t) for t in texts] == [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
 def check(rows, documents, length=1024):
@@ -89,7 +99,7 @@ def test_packing_against_brute_force(spark):
         docs.append((i, " ".join(f"word{rng.randrange(500)}" for _ in range(rng.randrange(0, 300))), source))
     docs += [(1000 + i, "tiny", f"rare{i}") for i in range(60)] + [(2000, None, "b"), (2001, "", None), (2002, "long " * 20_000, "c")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(7)
-    pieces = packing.packed(df, VOCABULARY).cache()
+    pieces = packing.packed(df, VOCABULARY, public_tokenizers.PATTERN).cache()
     check(packing.digest(pieces).collect(), [(d, t) for d, t, _ in docs])
     shares = {}
     for r in packing.mixture(pieces, df).collect():
@@ -104,7 +114,7 @@ def test_packing_against_brute_force(spark):
 def test_packing_awkward(spark):
     rows = [(None, "a b", None), (None, "a b", None), (3, "same", "s"), (3, "same", "s"), (4, None, "s")]
     df = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, source string, offset int, ids int")
-    out = packing.digest(packing.packed(df, VOCABULARY)).collect()
+    out = packing.digest(packing.packed(df, VOCABULARY, public_tokenizers.PATTERN)).collect()
     assert sum(r["length"] for r in out) == 3 + 3 + 2 + 2 + 1
     assert sorted(r["offset"] for r in out)[0] == 0 and {r["sequence_id"] for r in out} == {0}
-    assert packing.packed(df.limit(0), VOCABULARY).count() == 0
+    assert packing.packed(df.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
