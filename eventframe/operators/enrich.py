@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..schema import as_column
 from .rangejoin import range_join
-from .timeline import last, timeline
+from .timeline import last, position, timeline
 
 SIGN = -(1 << 63)
 MOST = (1 << 63) - 1
+PAGE_BITS = 16      # address bits of a page, and of the pages of a page
+LEVELS = 64 // PAGE_BITS
 
 
 def asof(df: DataFrame, table: DataFrame, by: Sequence[str], columns: Sequence[str], at: str = "_time",
@@ -37,22 +39,41 @@ def asof_name(df: DataFrame, names: DataFrame, key: str = "_pid", max_rows: int
 
 
 def floor_lookup(df: DataFrame, addr: str, table: DataFrame, start: str = "start",
-                 columns: Sequence[str] = ("name",), max_rows: int | None = None) -> DataFrame:
+                 columns: Sequence[str] = ("name",)) -> DataFrame:
     """For each address the table row with the largest ``start`` not above it (addresses are unsigned).
 
-    Distinct addresses are looked up once - there are as many as code locations, not as events - and joined back.
+    Distinct addresses are looked up once - there are as many as code locations, not as events - and joined back. The
+    table is indexed by pages of PAGE_BITS address bits: an address finds its predecessor in its own page by an equi-join, or
+    takes the one carried into the page, which is the same lookup among the pages one level up. No step orders more than
+    a page. Of table rows with the same start the largest counts.
     """
-    unsigned = F.col("_addr").bitwiseXOR(F.lit(SIGN))
-    wanted = df.select(F.col(addr).alias("_addr")).where("_addr IS NOT NULL").distinct().withColumn("_side", F.lit(1))
-    dim = table.select(F.col(start).alias("_addr"), F.lit(0).alias("_side"),
-                       F.struct(F.col(start).alias("_start"), *columns).alias("_value"))
-    both = wanted.unionByName(dim, allowMissingColumns=True).withColumn("_u", unsigned)
-    found = timeline(both, [], order=("_u", "_side"), max_rows=max_rows).scan(_known=last("_value")).rows()
-    found = found.where("_side = 1").select(F.col("_addr").alias(addr), "_known")
+    value = F.struct(F.col(start).alias("_start"), *columns)
+    keyed = table.select(F.col(start).bitwiseXOR(F.lit(SIGN)).alias("_k"), value.alias("_known")).where("_k IS NOT NULL")
+    entries = keyed.groupBy("_k").agg(F.max("_known").alias("_known"))
+    wanted = df.select(F.col(addr).bitwiseXOR(F.lit(SIGN)).alias("_k")).where("_k IS NOT NULL").distinct()
+    found = _predecessors(wanted, entries, 0, 0).select(F.col("_k").bitwiseXOR(F.lit(SIGN)).alias(addr), "_known")
     return df.join(found, addr, "left").select(
         *df.columns, F.col("_known._start").alias("_start"), *[F.col(f"_known.{c}").alias(c) for c in columns])
 
 
+def _predecessors(wanted: DataFrame, entries: DataFrame, level: int, less: int) -> DataFrame:
+    """``wanted`` (_k, distinct) with the _known of the largest entry _k not above ``_k - less``, or NULL."""
+    page = F.shiftright("_k", PAGE_BITS) if level < LEVELS - 1 else F.lit(0)
+    rows = F.array_sort(F.collect_list(F.struct("_k", "_known")))
+    pages = entries.groupBy(page.alias("_page")).agg(rows.alias("_rows")).select(
+        "_page", "_rows", F.col("_rows._k").alias("_ks"))
+    asked = wanted.withColumn("_page", page)
+    at = position("_ks", F.col("_k") - less, 1 << PAGE_BITS)
+    here = asked.join(pages, "_page", "left").select("_k", "_page", F.get("_rows", at - 1)["_known"].alias("_known"))
+    if level == LEVELS - 1:
+        return here.select("_k", "_known")
+    # The last entry of each page stands for it one level up.
+    upper = entries.groupBy(page.alias("_k")).agg(F.max_by("_known", "_k").alias("_known"))
+    carried = _predecessors(asked.select(F.col("_page").alias("_k")).distinct(), upper, level + 1, 1)
+    carried = carried.select(F.col("_k").alias("_page"), F.col("_known").alias("_carried"))
+    return here.join(carried, "_page").select("_k", F.coalesce("_known", "_carried").alias("_known"))
+
+
 def _distance(addr: Column, start: Column) -> Column:
     """Unsigned ``addr - start`` for start <= addr; NULL when it does not fit a BIGINT."""
     low, most = addr.bitwiseAND(F.lit(MOST)), F.lit(MOST)
@@ -62,9 +83,12 @@ def _distance(addr: Column, start: Column) -> Column:
 
 def symbolize(df: DataFrame, addr: str, symbols: DataFrame, length: str | None = None,
               unknown: str = "??", max_rows: int | None = None) -> DataFrame:
-    """Add ``symbol`` and ``offset``; ``symbols``: start, name[, length]."""
+    """Add ``symbol`` and ``offset``; ``symbols``: start, name[, length].
+
+    ``max_rows`` is accepted as by the other lookups; pages bound the rows of a task without it.
+    """
     cols = ["name"] + ([length] if length else [])
-    out = floor_lookup(df, addr, symbols, "start", cols, max_rows)
+    out = floor_lookup(df, addr, symbols, "start", cols)
     offset = _distance(F.col(addr), F.col("_start"))
     known = F.col("_start").isNotNull()
     if length:

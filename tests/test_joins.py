@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventframe.operators import context as cx
 from eventframe.operators import pairs as pr
-from eventframe.operators.enrich import asof_name, in_symbol, symbolize
+from eventframe.operators.enrich import asof_name, floor_lookup, in_symbol, symbolize
 from eventframe.operators.rangejoin import overlap_join, range_join
 
 LENGTHS = [0, 0, 1, 15, 16, 17, 255, 256, 5000]
@@ -64,6 +65,23 @@ def test_symbols(spark, max_rows):
         assert rows_of(got, "i", "symbol") == [(i, want(a, bool(length))) for i, a in enumerate(addrs)]
 
 
+@pytest.mark.parametrize("n", [300, 3_000])
+def test_symbols_by_page(spark, n):
+    """Dense and empty pages, both ends of the address space, equal starts; predecessors carried over many pages."""
+    rng = random.Random(n)
+    near = lambda: rng.choice([0, 1 << 20, 1 << 33, 1 << 50, (1 << 63) - 40, 1 << 63, (1 << 64) - 9_000]) + rng.randrange(9_000)
+    starts = [near() for _ in range(n)] + [1 << 20, 1 << 20]
+    addrs = [near() if rng.random() < 0.8 else rng.randrange(1 << 64) for _ in range(n)]
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    table = spark.createDataFrame([(signed(s), f"f{s}") for s in starts], "start bigint, name string")
+    df = spark.createDataFrame([(i, signed(a)) for i, a in enumerate(addrs)] + [(n, None)], "i int, addr bigint")
+    got = {r["i"]: r["name"] for r in floor_lookup(df, "addr", table).collect()}
+    below = sorted(starts)
+    want = {i: f"f{below[k - 1]}" if (k := bisect.bisect_right(below, a)) else None for i, a in enumerate(addrs)}
+    assert got == want | {n: None}
+    assert floor_lookup(df, "addr", table.limit(0)).where("name IS NOT NULL").count() == 0
+
+
 def test_in_symbol(spark):
     df = spark.createDataFrame([(9,), (10,), (19,), (20,)], "addr bigint")
     table = spark.createDataFrame([("f", 10, 20), ("g", 20, 30)], "name string, start bigint, end bigint")
