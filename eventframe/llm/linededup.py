@@ -24,6 +24,7 @@ RUN = 50        # words of the shortest run that is deleted
 GRAM = 26       # words of a fingerprint; RUN - GRAM + 1 of them are compared at a time
 SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200b))) + "    　"
 INNER = SPACES.replace("\n", "").replace(" ", "")
+OTHER = r"\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"      # INNER, as ranges
 DOC = ["id", "th"]
 
 
@@ -31,32 +32,42 @@ def _doc(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
-def fingerprints(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """id, th, g, at, windows: the selected fingerprints, the first window of ``run`` words that selected each, and of all
-    consecutive windows that did their hashes and the numbers of the lines they begin on."""
-    words = F.transform(F.split("text", "\n"), lambda x: F.filter(F.split(F.translate(x, INNER, " " * len(INNER)), " "), lambda w: w != ""))
-
-    def lines(w: Column) -> Column:
-        h = F.flatten(F.transform(w, lambda l: F.transform(l, lambda x: F.xxhash64(x))))
-        p = F.flatten(F.transform(w, lambda l, i: F.array_repeat(i, F.size(l))))
-        return F.struct(h.alias("h"), p.alias("p"))
-
-    def grams(x: Column) -> Column:
-        g = F.transform(F.sequence(F.lit(0), F.size(x["h"]) - gram), lambda i: F.xxhash64(F.slice(x["h"], i + 1, gram)))
-        return F.struct(g.alias("g"), x["p"].alias("p"))
+def _spread(rows: DataFrame, values: str, out: str, width: int, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """With column ``out``: element i combines ``values`` i to i + width - 1, by doubling (so it may take a value in twice).
 
-    def selected(x: Column) -> Column:
-        least = F.transform(F.sequence(F.lit(0), F.size(x["p"]) - run), lambda s: F.array_min(F.slice(x["g"], s + 1, run - gram + 1)))
-        # Another fingerprint is selected where the value changes, and where the leftmost gram of this value leaves the window.
-        return _let(least, lambda m: _let(
-            F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda s: (s == 0) | (F.get(m, s) != F.get(m, s - 1)) | (F.get(x["g"], s - 1) == F.get(m, s - 1))),
-            lambda begins: F.transform(begins, lambda at, k: F.struct(
-                F.get(m, at).alias("g"), at.alias("at"),
-                F.transform(F.sequence(at, F.coalesce(F.get(begins, k + 1), F.size(m)) - 1), lambda s: F.struct(
-                    F.hash(F.get(x["g"], s), F.get(x["g"], s + (run - gram))).alias("w"), F.get(x["p"], s).alias("line"))).alias("windows")))))
-
-    found = _let(words, lambda w: _let(lines(w), lambda x: F.when(F.size(x["h"]) >= run, _let(grams(x), selected))))
-    return _doc(documents).select(*DOC, F.explode(found).alias("x")).select(*DOC, "x.g", "x.at", "x.windows")
+    Every step is a projection of its own: it uses the column before four times, so Spark leaves it where it is computed once.
+    """
+    span, last = 1, values
+    while span < width:
+        by = min(span, width - span)
+        span += by
+        size = F.greatest(F.size(last) - by, F.lit(0))
+        new = F.zip_with(F.slice(last, 1, size), F.slice(last, by + 1, size), combine)
+        rows = rows.select(*[c for c in rows.columns if c in (*DOC, "p", "g", values)], new.alias(out if span == width else f"{out}{span}"))
+        last = rows.columns[-1]
+    return rows
+
+
+def fingerprints(documents: DataFrame, run: int = RUN, gram: int = GRAM, windows: bool = True) -> DataFrame:
+    """id, th, g, at, windows: the selected fingerprints, the first window of ``run`` words that selected each, and of all
+    consecutive windows that did their hashes and the numbers of the lines they begin on. Without ``windows``: g only."""
+    plain = F.when(F.col("text").rlike(f"[{OTHER}]"), F.translate("text", INNER, " " * len(INNER))).otherwise(F.col("text"))
+    words = F.transform(F.split(plain, "\n"), lambda l: F.filter(F.split(l, " "), lambda w: w != ""))
+    rows = _doc(documents).select(*DOC, words.alias("w"))
+    lines = [F.flatten(F.transform("w", lambda l, i: F.array_repeat(i, F.size(l)))).alias("p")] if windows else []
+    rows = rows.select(*DOC, *lines, F.flatten(F.transform("w", lambda l: F.transform(l, lambda x: F.xxhash64(x)))).alias("h"))
+    rows = _spread(rows, "h", "g", gram, lambda a, b: F.xxhash64(a, b)).drop("h")
+    rows = _spread(rows, "g", "m", run - gram + 1, lambda a, b: F.least(a, b))
+    # Another fingerprint is selected where the value changes, and where the leftmost gram of this value leaves the window.
+    begins = F.filter(F.transform("m", lambda x, s: s), lambda s: (s == 0) | (F.get("m", s) != F.get("m", s - 1)) | (F.get("g", s - 1) == F.get("m", s - 1)))
+    if not windows:
+        return rows.select(F.explode(F.transform(begins, lambda at: F.get("m", at))).alias("g"))
+    places = F.transform("begins", lambda at, k: F.struct(
+        F.get("m", at).alias("g"), at.alias("at"),
+        F.transform(F.sequence(at, F.coalesce(F.get("begins", k + 1), F.size("m")) - 1), lambda s: F.struct(
+            F.hash(F.get("g", s), F.get("g", s + (run - gram))).alias("w"), F.get("p", s).alias("line"))).alias("windows")))
+    rows = rows.select("*", begins.alias("begins")).select(*DOC, F.explode(places).alias("x"))
+    return rows.select(*DOC, "x.g", "x.at", "x.windows")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -69,9 +80,8 @@ def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> Dat
 
     Small tables are stored before they are joined: Spark knows their size and broadcasts them below its threshold only.
     """
-    prints = fingerprints(documents, run, gram)
-    again = stored(prints.groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g"), "fingerprints")
-    places = stored(prints.join(again, "g", "left_semi"), "places")
+    again = stored(fingerprints(documents, run, gram, windows=False).groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g"), "fingerprints")
+    places = stored(fingerprints(documents, run, gram).join(again, "g", "left_semi"), "places")
     # The first place of each: a partial aggregation, so that a fingerprint of very many documents is one row a task.
     first = stored(places.groupBy("g").agg(F.min(F.struct(*DOC, "at", "windows")).alias("f")), "first-places")
     own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
