@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..shared import shared_dir
 from ..sources.events import stream_events
 from ..streaming import incremental as inc
+from ..streaming.keyed import stream_pairs_keyed
 from .leak_queries import LEAKS
-from .pair_queries import CHAIN, chain_sql
-from .registry import DAY, E, EPOCH_2024, events, query
+from .pair_queries import CHAIN, LOST, chain_sql, lost_ranges
+from .registry import DAY, E, EPOCH_2024, HOUR, events, query
 from .state_queries import MOVES, moves
 
 QUARTER = 8 * DAY
@@ -55,3 +56,36 @@ SELECT _time // {DAY} AS interval, event, count(*) AS n, CAST(sum(num) AS BIGINT
   max(num) AS max FROM e GROUP BY ALL""")
 def stm_interval_stats(spark, sf):
     return inc.stream_interval_stats(arriving(spark, events(spark, sf)), DAY, "num", shared_dir(spark, "stats"), "9 days")
+
+
+LIFE = 2 * HOUR * 24    # how long an open start lives in the keyed queries
+
+
+def keyed(spark, sf, **options):
+    stream = arriving(spark, events(spark, sf))
+    return stream_pairs_keyed(stream, CHAIN, shared_dir(spark, "keyed"), delay=DAY, compact=2, **options)
+
+
+@query("stm_pairs_expiring", E + chain_sql() + f" SELECT * FROM p WHERE latency <= {LIFE}")
+def stm_pairs_expiring(spark, sf):
+    return keyed(spark, sf, expire=LIFE).run().finish(spark).output(spark)
+
+
+@query("stm_expired", E + f"""
+, n AS (SELECT _tid, event, seq, _time, coalesce(lead(_time) OVER (PARTITION BY _tid ORDER BY _time, seq), max(_time) OVER ()) AS until
+    FROM e WHERE event IN ('view', 'click', 'purchase', 'signup'))
+SELECT _tid, event, seq, _time, 'age' AS reason FROM n WHERE event <> 'signup' AND until - _time > {LIFE}""")
+def stm_expired(spark, sf):
+    job = keyed(spark, sf, expire=LIFE).run().finish(spark)
+    return job.expired(spark).select("_tid", "event", "seq", "_time", "reason")
+
+
+@query("stm_pairs_lost", E + LOST + chain_sql(source="kept", part="key, segment", starts="free") + " SELECT * FROM p")
+def stm_pairs_lost(spark, sf):
+    """Half of the ranges are known before the events, the others when all pairs are out."""
+    job = keyed(spark, sf)
+    ranges = lost_ranges(spark)
+    job.lose(ranges.where(f"start_time div {DAY} % 2 = 0"), 0)
+    job.run().finish(spark)
+    job.lose(ranges.where(f"start_time div {DAY} % 2 = 1"), 1)
+    return job.output(spark)

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import pairs as pr
 from ..operators import states as sm
@@ -79,10 +80,14 @@ class Incremental:
         new.unpersist()
         self.final = batch
 
+    def start(self, **trigger) -> StreamingQuery:
+        """The running query; the trigger is Spark's (``processingTime="1 minute"``, ``availableNow=True``), by default batch after batch."""
+        writer = self.stream.writeStream.foreachBatch(self._advance).option("checkpointLocation", f"{self.root}/checkpoint")
+        return (writer.trigger(**trigger) if trigger else writer).start()
+
     def run(self) -> Incremental:
         """Process what the source holds now; call again to continue."""
-        (self.stream.writeStream.foreachBatch(self._advance)
-                 .option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+        self.start(availableNow=True).awaitTermination()
         return self
 
     def finish(self, spark) -> Incremental:
