@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..schema import per_event
 from .pairs import outliers
-from .rangejoin import range_join
+from .rangejoin import overlap_join, range_join
 from .timeline import prev, run_sum, timeline
 
+FIRST, LAST = -(1 << 62), 1 << 62   # before and after any time
+
 
 def _criteria(same: str | Sequence[str] | None) -> list[str]:
     names = [] if same is None else [same] if isinstance(same, str) else list(dict.fromkeys(same))
@@ -63,6 +65,11 @@ def context(pairs: DataFrame, df: DataFrame, before: int = 0, after: int = 0, sa
             out = found if out is None else out.unionByName(found)
             other = ~F.coalesce(F.array_contains(F.col(f"_v_{c}"), F.col(column)), F.lit(False))
             taken = other if taken is None else taken & other
+    return _placed(out, keep)
+
+
+def _placed(out: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The result's columns: where an event stands in its pair, and how long after the start."""
     t, s = F.col("_time"), F.col("seq")
     part = (F.when((t < F.col("_t1")) | ((t == F.col("_t1")) & (s < F.col("start_id"))), "before")
             .when(s == F.col("start_id"), "start").when(s == F.col("pair_id"), "end")
@@ -71,6 +78,39 @@ def context(pairs: DataFrame, df: DataFrame, before: int = 0, after: int = 0, sa
     return out.select("pair_id", "start_id", part.alias("part"), (t - F.col("_t1")).alias("offset"), *keep)
 
 
+def residences(df: DataFrame, moves: Mapping[str, tuple[str, str]], name: str = "event", max_rows: int | None = None) -> DataFrame:
+    """_task, _on, _a, _b: the CPU a task is on in [_a, _b), as :func:`track_cpu` follows it.
+
+    ``moves`` maps event -> (task expression, cpu expression). Before its first move a task is where it is seen (_on NULL).
+    """
+    moved = df.where(F.col(name).isin(list(moves))).select(
+        "_time", "seq", per_event({e: p for e, (p, _) in moves.items()}, name).alias("_task"),
+        per_event({e: c for e, (_, c) in moves.items()}, name).alias("_on")).where("_task IS NOT NULL AND _on IS NOT NULL")
+    closed = timeline(moved, "_task", max_rows=max_rows).scan(_p=prev("_on", "_time")).rows().select(
+        "_task", F.col("_p._on").alias("_on"), F.coalesce("_p._time", F.lit(FIRST)).alias("_a"), F.col("_time").alias("_b"))
+    newest = moved.groupBy("_task").agg(F.max_by(F.struct("_on", "_time"), F.struct("_time", "seq")).alias("r"))
+    return closed.unionByName(newest.select("_task", "r._on", F.col("r._time").alias("_a"), F.lit(LAST).alias("_b"))).where("_a < _b")
+
+
+def context_on_cpu(pairs: DataFrame, df: DataFrame, moves: Mapping[str, tuple[str, str]], before: int = 0, after: int = 0,
+                   task: str = "start_tid", name: str = "event", max_rows: int | None = None) -> DataFrame:
+    """Events in [start - before, end + after] of each pair on the CPU that its task is on at the event's time.
+
+    The pair's time is cut where the task moves, each piece is joined with the events of that CPU; a task that never moved is on the
+    start's CPU. Output as of :func:`context`.
+    """
+    spans = pairs.select(
+        F.col("end_id").alias("pair_id"), "start_id", F.col(task).alias("_who"), F.col("start_cpu").alias("_at"), F.col("start_time").alias("_t1"),
+        F.col("end_time").alias("_t2"), (F.col("start_time") - before).alias("_from"), (F.col("end_time") + after + 1).alias("_to"))
+    stays = residences(df, moves, name, max_rows)
+    pieces = overlap_join(spans, stays, ("_from", "_to"), ("_a", "_b"), [("_who", "_task")]).drop("_task")
+    still = spans.join(stays.select(F.col("_task").alias("_who")).distinct(), "_who", "left_anti").withColumns(
+        {"_on": F.lit(None).cast(stays.schema["_on"].dataType), "_a": F.lit(FIRST), "_b": F.lit(LAST)})
+    cut = pieces.unionByName(still).select(
+        "pair_id", "start_id", "_t1", "_t2", F.coalesce("_on", "_at").alias("_v"), F.greatest("_from", "_a").alias("_lo"), (F.least("_to", "_b") - 1).alias("_hi"))
+    return _placed(range_join(df, cut, "_time", "_lo", "_hi", [("_cpu", "_v")]), df.columns)
+
+
 def hide_close(rows: DataFrame, than: int, max_rows: int | None = None) -> DataFrame:
     """Thin out the events between start and end that follow their predecessor by less than ``than``.
 

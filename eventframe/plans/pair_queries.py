@@ -136,6 +136,21 @@ def detail_multi(spark, sf):
     return detail(spark, sf, ("cpu", "pid"))
 
 
+STAYS = f""", r AS (SELECT _tid AS who, k % 38 AS cpu, _time AS a, coalesce(lead(_time) OVER (PARTITION BY _tid ORDER BY _time, seq), {1 << 62}) AS b
+  FROM f WHERE event = 'error'), d AS ("""
+
+
+@query("detail_migrating", detail_sql("TRUE").replace(", d AS (", STAYS).replace(
+    f"WHERE latency > {DAY})", f"""LEFT JOIN r ON r.who = start_tid AND r.a <= f._time AND f._time < r.b
+WHERE latency > {DAY} AND f._cpu = coalesce(r.cpu, start_cpu))""") + " SELECT * FROM d")
+def detail_migrating(spark, sf):
+    """An error moves its task to another CPU, often inside a pair."""
+    e = events(spark, sf).withColumns({"_cpu": F.expr("int((_tid + 2) div 4)"), "_pid": F.expr("_tid div 4")})
+    pairs = pr.pair_events(e, TWO).where(f"latency > {DAY}")
+    found = ctx.context_on_cpu(pairs, e, {"error": ("_tid", "k % 38")}, HOUR, HOUR)
+    return found.select("pair_id", "start_id", "part", "offset", "event", "_time", "seq", "_cpu", "_pid", "k")
+
+
 @query("detail_hide", detail_sql("f._cpu = end_cpu") + f"""
 , g AS (SELECT *, CASE WHEN _time - lag(_time) OVER w < {HOUR // 2} THEN 1 ELSE 0 END AS close
   FROM d WHERE part = 'between' WINDOW w AS (PARTITION BY pair_id ORDER BY _time, seq)),

@@ -142,3 +142,20 @@ def test_in_symbol_many_ranges(spark):
     df = spark.range(0, 15000, 7).withColumnRenamed("id", "addr")
     got = {r[0] for r in in_symbol(df, "addr", table, "f").collect()}
     assert got == {a for a in range(0, 15000, 7) if a % 10 < 4}
+
+
+@pytest.mark.parametrize("n", [80, 800])
+def test_context_follows_a_migrating_task(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice("abcm"), t, t, rng.randrange(3), 0, rng.randrange(6), rng.randrange(3)) for t in range(n)]
+    df = spark.createDataFrame(rows, "event string, _time bigint, seq bigint, _cpu int, _pid bigint, _tid bigint, dest int")
+    pairs = pr.pair_events(df, [["a"], ["b"]])
+
+    def on(tid, t, start_cpu):
+        moved = [r[6] for r in rows if r[0] == "m" and r[5] == tid and r[1] <= t]
+        return moved[-1] if moved else start_cpu
+
+    want = sorted((p["end_id"], r[2]) for p in pairs.collect() for r in rows
+                  if p["start_time"] - 3 <= r[1] <= p["end_time"] + 2 and r[3] == on(p["start_tid"], r[1], p["start_cpu"]))
+    got = cx.context_on_cpu(pairs, df, {"m": ("_tid", "dest")}, before=3, after=2)
+    assert rows_of(got, "pair_id", "seq") == want
