@@ -1,4 +1,6 @@
-"""Line dedup by winnowing, with Spark expressions only.
+"""Line dedup by winnowing.
+
+Words, grams and window minima of the texts are hashed in Arrow batches; joins, runs and the deletion are Spark expressions.
 
 A text is the sequence of the words of its lines. Every GRAM words in a row have a hash; of the hashes in each window of RUN words the
 smallest is selected, so every passage of RUN words or more holds selected fingerprints, and the same ones wherever it
@@ -13,18 +15,27 @@ Words are compared by 64-bit hashes; grams of equal hash are told apart by furth
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .common import stored
 
 RUN = 50        # words of the shortest run that is deleted
 GRAM = 26       # words of a fingerprint; RUN - GRAM + 1 of them are compared at a time
 SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200b))) + "    　"
-INNER = SPACES.replace("\n", "").replace(" ", "")
-OTHER = r"\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"      # INNER, as ranges
+_WORD = np.ones(256, bool)
+_WORD[[ord(c) for c in SPACES if ord(c) < 128]] = False
+_WIDE = {n: np.array([int.from_bytes(c.encode(), "big") for c in SPACES if len(c.encode()) == n]) for n in (2, 3)}     # spaces of n bytes
+_LEAD = np.zeros(256, bool)
+_LEAD[[c.encode()[0] for c in SPACES if ord(c) > 127]] = True
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 DOC = ["id", "th"]
 
 
@@ -32,42 +43,102 @@ def _doc(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
-def _spread(rows: DataFrame, values: str, out: str, width: int, combine: Callable[[Column, Column], Column]) -> DataFrame:
-    """With column ``out``: element i combines ``values`` i to i + width - 1, by doubling (so it may take a value in twice).
-
-    Every step is a projection of its own: it uses the column before four times, so Spark leaves it where it is computed once.
-    """
-    span, last = 1, values
+def _inside(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 belongs to a word."""
+    out = _WORD[data]
+    lead = np.flatnonzero(_LEAD[data[:-2]]) if len(data) > 2 else np.zeros(0, np.int64)
+    code = (data[lead].astype(np.int64) << 16) | (data[lead + 1].astype(np.int64) << 8) | data[lead + 2]
+    for size, known in ((2, np.isin(code >> 8, _WIDE[2])), (3, np.isin(code, _WIDE[3]))):
+        for k in range(size):
+            out[lead[known] + k] = False
+    if len(data) > 1 and int(data[-2]) << 8 | int(data[-1]) in _WIDE[2]:
+        out[-2:] = False
+    return out
+
+
+def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte and the hash of every word of some texts that begin at ``starts``. Bytes are hashed in blocks of bounded size."""
+    inside = _inside(data)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = starts[(starts > 0) & (starts < len(data))]
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(begin), np.uint64)
+    a = 0
+    while a < len(begin):
+        b = int(np.searchsorted(end, begin[a] + words.CHUNK_BYTES, side="right"))
+        if b <= a:          # one word beyond the size of a block
+            out[a] = int.from_bytes(hashlib.blake2b(data[begin[a]:end[a]].tobytes(), digest_size=8).digest(), "little")
+            a += 1
+            continue
+        lo, hi = begin[a], end[b - 1]
+        power, inverse = words._powers(2 * words.CHUNK_BYTES)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_VALUE[data[lo:hi]] * power[:hi - lo], out=sums[1:])
+        raw = (sums[end[a:b] - lo] - sums[begin[a:b] - lo]) * inverse[begin[a:b] - lo]
+        out[a:b] = words.mix(raw ^ (end[a:b] - begin[a:b]).astype(np.uint64) * _STEP)
+        a = b
+    return begin, out
+
+
+def _spread(values: np.ndarray, width: int, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Element i combines ``values`` i to i + width - 1, by doubling (so it may take a value in twice)."""
+    span = 1
     while span < width:
         by = min(span, width - span)
+        values = combine(values[:max(len(values) - by, 0)], values[by:])
         span += by
-        size = F.greatest(F.size(last) - by, F.lit(0))
-        new = F.zip_with(F.slice(last, 1, size), F.slice(last, by + 1, size), combine)
-        rows = rows.select(*[c for c in rows.columns if c in (*DOC, "p", "g", values)], new.alias(out if span == width else f"{out}{span}"))
-        last = rows.columns[-1]
-    return rows
+    return values
+
+
+def _selected(data: np.ndarray, bounds: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of some texts, all windows of ``run`` words in order: text, place, selected gram, whether it selects anew, hash, line."""
+    begin, h = _words(data, bounds[:-1])
+    edges = np.searchsorted(begin, bounds)
+    if len(h) < run:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, bool, np.int32, np.int32))
+    g = _spread(h, gram, lambda a, b: words.mix(a * _STEP + b))
+    m = _spread(g, run - gram + 1, np.minimum)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(edges))[:len(m)]
+    s = np.flatnonzero(np.arange(len(m)) + run <= edges[owner + 1])
+    owner = owner[s]
+    at = s - edges[owner]
+    before = np.maximum(s - 1, 0)
+    # Another fingerprint is selected where the value changes, and where the leftmost gram of this value leaves the window.
+    anew = (at == 0) | (m[s] != m[before]) | (g[before] == m[before])
+    window = (words.mix(g[s] * _STEP + g[s + (run - gram)]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, begin[s]) - np.searchsorted(breaks, bounds[owner])
+    return owner, at, m[s], anew, window, line.astype(np.int32)
 
 
 def fingerprints(documents: DataFrame, run: int = RUN, gram: int = GRAM, windows: bool = True) -> DataFrame:
-    """id, th, g, at, windows: the selected fingerprints, the first window of ``run`` words that selected each, and of all
+    """id, th, g, at, w, line: the selected fingerprints, the first window of ``run`` words that selected each, and of all
     consecutive windows that did their hashes and the numbers of the lines they begin on. Without ``windows``: g only."""
-    plain = F.when(F.col("text").rlike(f"[{OTHER}]"), F.translate("text", INNER, " " * len(INNER))).otherwise(F.col("text"))
-    words = F.transform(F.split(plain, "\n"), lambda l: F.filter(F.split(l, " "), lambda w: w != ""))
-    rows = _doc(documents).select(*DOC, words.alias("w"))
-    lines = [F.flatten(F.transform("w", lambda l, i: F.array_repeat(i, F.size(l)))).alias("p")] if windows else []
-    rows = rows.select(*DOC, *lines, F.flatten(F.transform("w", lambda l: F.transform(l, lambda x: F.xxhash64(x)))).alias("h"))
-    rows = _spread(rows, "h", "g", gram, lambda a, b: F.xxhash64(a, b)).drop("h")
-    rows = _spread(rows, "g", "m", run - gram + 1, lambda a, b: F.least(a, b))
-    # Another fingerprint is selected where the value changes, and where the leftmost gram of this value leaves the window.
-    begins = F.filter(F.transform("m", lambda x, s: s), lambda s: (s == 0) | (F.get("m", s) != F.get("m", s - 1)) | (F.get("g", s - 1) == F.get("m", s - 1)))
-    if not windows:
-        return rows.select(F.explode(F.transform(begins, lambda at: F.get("m", at))).alias("g"))
-    places = F.transform("begins", lambda at, k: F.struct(
-        F.get("m", at).alias("g"), at.alias("at"),
-        F.transform(F.sequence(at, F.coalesce(F.get("begins", k + 1), F.size("m")) - 1), lambda s: F.struct(
-            F.hash(F.get("g", s), F.get("g", s + (run - gram))).alias("w"), F.get("p", s).alias("line"))).alias("windows")))
-    rows = rows.select("*", begins.alias("begins")).select(*DOC, F.explode(places).alias("x"))
-    return rows.select(*DOC, "x.g", "x.at", "x.windows")
+    rows = _doc(documents)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for data, bounds in words._chunks(batch.column("text")):
+                owner, at, g, anew, window, line = _selected(data, bounds, run, gram)
+                new = np.flatnonzero(anew)
+                prints = pa.array(g[new].view(np.int64))
+                if not windows:
+                    yield pa.RecordBatch.from_arrays([prints], ["g"])
+                else:
+                    text = pa.array(owner[new] + done)
+                    lists = [pa.ListArray.from_arrays(pa.array(np.append(new, len(g)), pa.int32()), pa.array(x)) for x in (window, line)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(text), batch.column("th").take(text), prints, pa.array(at[new], pa.int32()), *lists],
+                        ["id", "th", "g", "at", "w", "line"])
+                done += len(bounds) - 1
+
+    return rows.mapInArrow(scan, f"id {kind}, th long, g long, at int, w array<int>, line array<int>" if windows else "g long")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,7 +152,8 @@ def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> Dat
     Small tables are stored before they are joined: Spark knows their size and broadcasts them below its threshold only.
     """
     again = stored(fingerprints(documents, run, gram, windows=False).groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g"), "fingerprints")
-    places = stored(fingerprints(documents, run, gram).join(again, "g", "left_semi"), "places")
+    pairs = F.zip_with("w", "line", lambda w, line: F.struct(w.alias("w"), line.alias("line")))
+    places = stored(fingerprints(documents, run, gram).join(again, "g", "left_semi").select(*DOC, "g", "at", pairs.alias("windows")), "places")
     # The first place of each: a partial aggregation, so that a fingerprint of very many documents is one row a task.
     first = stored(places.groupBy("g").agg(F.min(F.struct(*DOC, "at", "windows")).alias("f")), "first-places")
     own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
