@@ -1,6 +1,6 @@
 """Line dedup by winnowing.
 
-Words, grams and window minima of the texts are hashed in Arrow batches; joins, runs and the deletion are Spark expressions.
+Words, grams and window minima are hashed, windows compared and texts cut in Arrow batches; Spark joins, groups and aggregates.
 
 A text is the sequence of the words of its lines. Every GRAM words in a row have a hash; of the hashes in each window of RUN words the
 smallest is selected, so every passage of RUN words or more holds selected fingerprints, and the same ones wherever it
@@ -22,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import words
 from .common import stored
 
 RUN = 50        # words of the shortest run that is deleted
 GRAM = 26       # words of a fingerprint; RUN - GRAM + 1 of them are compared at a time
+SPLIT = 1000    # places of a fingerprint in one part, about
 SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200b))) + "    　"
 _WORD = np.ones(256, bool)
 _WORD[[ord(c) for c in SPACES if ord(c) < 128]] = False
@@ -141,60 +143,98 @@ def fingerprints(documents: DataFrame, run: int = RUN, gram: int = GRAM, windows
     return rows.mapInArrow(scan, f"id {kind}, th long, g long, at int, w array<int>, line array<int>" if windows else "g long")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once: columns of stacked projections may be put in place and computed again and again."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of lists, and their values one after the other."""
+    offsets = lists.offsets.to_numpy()
+    return np.diff(offsets), lists.values.to_numpy()[offsets[0]:offsets[-1]]
+
+
+def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
+    ends = np.cumsum(np.bincount(row, minlength=rows))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For places beside the first one of their fingerprint: s, the windows that the first place has too, on another line if in the
+    same document; and the hashes, places and lines of those it has not (w, rest, line)."""
+    for batch in batches:
+        rows = batch.num_rows
+        size, w = _flat(batch.column("w"))
+        line = _flat(batch.column("line"))[1]
+        first_size, first_w = _flat(batch.column("fw"))
+        first_line = _flat(batch.column("fline"))[1]
+        row = np.repeat(np.arange(rows), size)
+        key = (row << 32) | w.view(np.uint32)
+        known = (np.repeat(np.arange(rows), first_size) << 32) | first_w.view(np.uint32)
+        order = np.argsort(known, kind="stable")
+        place = np.minimum(np.searchsorted(known[order], key), max(len(order) - 1, 0))
+        hit = known[order][place] == key if len(order) else np.zeros(len(key), bool)
+        there = first_line[order][place] if len(order) else line
+        at = batch.column("at").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        own = batch.column("own").to_numpy(zero_copy_only=False)[row]
+        met, rest = np.flatnonzero(hit & (~own | (there != line))), np.flatnonzero(~hit)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("g", "id", "th", "own")), _lists(at[met], row[met], rows), *(_lists(x[rest], row[rest], rows) for x in (w, at, line))],
+            ["g", "id", "th", "own", "s", "w", "rest", "line"])
 
 
 def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """id, th, runs: for documents that repeat something, the first word and the end of every run to delete, in order.
 
-    Small tables are stored before they are joined: Spark knows their size and broadcasts them below its threshold only.
+    The places of a fingerprint meet its first place in parts of about SPLIT rows; the first place is repeated for each part.
     """
-    again = stored(fingerprints(documents, run, gram, windows=False).groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g"), "fingerprints")
-    pairs = F.zip_with("w", "line", lambda w, line: F.struct(w.alias("w"), line.alias("line")))
-    places = stored(fingerprints(documents, run, gram).join(again, "g", "left_semi").select(*DOC, "g", "at", pairs.alias("windows")), "places")
+    again = stored(fingerprints(documents, run, gram, windows=False).groupBy("g").agg(F.count("*").alias("places")).where("places > 1"), "fingerprints")
+    parts = F.ceil(F.col("places") / SPLIT).cast("int")
+    places = stored(fingerprints(documents, run, gram).join(again, "g").select(*DOC, "g", "at", "w", "line", parts.alias("parts")), "places")
     # The first place of each: a partial aggregation, so that a fingerprint of very many documents is one row a task.
-    first = stored(places.groupBy("g").agg(F.min(F.struct(*DOC, "at", "windows")).alias("f")), "first-places")
+    first = stored(places.groupBy("g").agg(F.min(F.struct(*DOC, "at", "w", "line", "parts")).alias("f")), "first-places")
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("f.parts") - 1)))
     own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
-    placed = places.join(first, "g").where(~F.struct(*DOC, "at").eqNullSafe(F.struct("f.id", "f.th", "f.at"))).withColumn("own", own)
-    # Where each window stands (s), and the line on which its like begins in the first place; null: it has none there.
-    numbered = F.transform("windows", lambda x, i: F.struct(
-        x["w"].alias("w"), (F.col("at") + i).alias("s"), x["line"].alias("line"), F.get(F.filter("f.windows", lambda y: y["w"] == x["w"]), F.lit(0))["line"].alias("there")))
-    known = stored(placed.select("g", *DOC, "own", numbered.alias("x")), "compared")
-    met = known.select(*DOC, F.transform(F.filter("x", lambda x: x["there"].isNotNull() & (~F.col("own") | (x["there"] != x["line"]))), lambda x: x["s"]).alias("s"))
-    rest = known.select("g", *DOC, F.explode(F.filter("x", lambda x: x["there"].isNull())).alias("x")).select("g", "x.w", *DOC, F.col("x.s").alias("at"), "x.line")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "at"), F.col("parts")).cast("int")).otherwise(0)
+    # The first places grow with the documents: no broadcast, and the same plan at every size.
+    placed = places.withColumn("part", part).join(first.hint("merge"), ["g", "part"]).where(~F.struct(*DOC, "at").eqNullSafe(F.struct("f.id", "f.th", "f.at")))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    known = stored(placed.select("g", *DOC, "at", own.alias("own"), "w", "line", F.col("f.w").alias("fw"), F.col("f.line").alias("fline")).mapInArrow(
+        _compare, f"g long, id {kind}, th long, own boolean, s array<int>, w array<int>, rest array<int>, line array<int>"), "compared")
+    rest = known.where(F.size("w") > 0).select("g", *DOC, "own", F.explode(F.arrays_zip("w", "rest", "line")).alias("x"))
+    rest = rest.select("g", "x.w", *DOC, F.col("x.rest").alias("at"), "x.line")
     heads = rest.groupBy("g", "w").agg(F.min(F.struct(*DOC, "at", "line")).alias("f"), F.count("*").alias("places")).where("places > 1").drop("places")
     same_line = own & (F.col("line") == F.col("f.line"))        # the first place itself is on its own line
     others = rest.join(stored(heads, "first-windows"), ["g", "w"]).where(~same_line).select(*DOC, F.array("at").alias("s"))
-    found = met.where(F.size("s") > 0).unionByName(others).groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    found = known.select(*DOC, "s").where(F.size("s") > 0).unionByName(others).groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
     begins = F.filter("s", lambda x, i: (i == 0) | (x > F.get("s", i - 1) + run))
     ends = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get("s", i + 1) > x + run))
     return found.select(*DOC, F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), (b + run).alias("end"))).alias("runs"))
 
 
-def _left_over(runs: str) -> Column:
+def _cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     """The text without the words of the runs. A word goes with the white space behind it, but a line break behind a run stays."""
-    kind = "".join(f"\\x{{{ord(c):x}}}" for c in SPACES)
-    words = F.regexp_extract_all("text", F.lit(f"[^{kind}]+[{kind}]*"), F.lit(0))
-    head = F.regexp_extract("text", f"^[{kind}]*", 0)
+    edges = np.diff(_inside(np.frombuffer(text, np.uint8)).astype(np.int8), prepend=0, append=0)
+    begin, stop = np.append(np.flatnonzero(edges == 1), len(text)), np.flatnonzero(edges == -1)
+    kept, at = [], 0
+    for first, end in runs:
+        if first > at:
+            body, gap = text[begin[at]:stop[first - 1]], text[stop[first - 1]:begin[first]]
+            broken = b"\n" in text[stop[end - 1]:begin[end]] and b"\n" not in gap
+            kept.append(body if end >= len(stop) else body + (b"\n" if broken else gap))
+        at = end
+    kept.append(text[begin[at]:])
+    left = b"".join(kept)
+    return text[:begin[0]] + left if left else left
 
-    def built(w: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
-        stops = F.concat(F.transform(runs, lambda r: r["first"]), F.array(F.size(w)))
-        kept = F.zip_with(starts, stops, lambda a, b: F.array_join(F.slice(w, a + 1, F.greatest(b - a, F.lit(0))), ""))
 
-        def part(x: Column, k: Column) -> Column:
-            body = F.rtrim(x, F.lit(SPACES))
-            run = F.get(runs, k)
-            broken = F.contains(F.get(w, run["end"] - 1), F.lit("\n")) & ~F.contains(F.substring(x, F.length(body) + 1, F.length(x)), F.lit("\n"))
-            return (F.when(run.isNull() | (x == ""), x).when(run["end"] >= F.size(w), body)
-                    .when(broken, F.concat(body, F.lit("\n"))).otherwise(x))
+@F.arrow_udf(StringType())
+def _left_over(text: pa.Array, runs: pa.Array) -> pa.Array:
+    """The texts without their runs; null where a text has none to delete."""
+    def one(t: pa.Scalar, r: pa.Scalar) -> str | None:
+        return _cut(t.as_py().encode(), [(x["first"], x["end"]) for x in r.as_py()]).decode() if r.is_valid else None
 
-        return F.array_join(F.transform(kept, part), "")
+    return pa.array(map(one, text, runs), pa.string())
 
-    text = _let(words, built)
-    return F.when(text == "", "").otherwise(F.concat(head, text))
+
+def _lines(text: str) -> Column:
+    """The number of lines: one more than line breaks."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
 def without_repeated_lines(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
@@ -207,11 +247,11 @@ def without_repeated_lines(documents: DataFrame, run: int = RUN, gram: int = GRA
     runs = stored(repeated_runs(documents, run, gram), "runs").select(F.col("id").alias("_llm_id"), F.col("th").alias("_llm_th"), F.col("runs").alias("_llm_runs"))
     rows = documents.withColumn("_llm_th0", F.xxhash64("text"))
     rows = rows.join(runs, rows["doc_id"].eqNullSafe(runs["_llm_id"]) & (rows["_llm_th0"] == runs["_llm_th"]), "left")
-    done = rows.withColumn("_llm_text", F.when(F.col("_llm_runs").isNull(), F.col("text")).otherwise(_left_over("_llm_runs")))
-    done = done.withColumn("_llm_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
-    deleted = F.when(F.col("_llm_runs").isNull(), 0).otherwise(F.col("_llm_lines") - F.when(F.col("_llm_text") == "", 0).otherwise(F.size(F.split("_llm_text", "\n"))))
-    done = done.withColumn("_llm_deleted", deleted)
-    return done.select(*(F.col("_llm_text").alias("text") if c == "text" else F.col(c) for c in documents.columns), "_llm_lines", "_llm_deleted")
+    rows = rows.withColumn("_llm_cut", _left_over(F.when(F.col("_llm_runs").isNotNull(), F.col("text")), "_llm_runs"))
+    lines = F.coalesce(_lines("text"), F.lit(0))
+    left = F.when(F.col("_llm_cut").isNull(), lines).when(F.col("_llm_cut") == "", 0).otherwise(_lines("_llm_cut"))
+    text = F.coalesce("_llm_cut", "text").alias("text")
+    return rows.select(*(text if c == "text" else F.col(c) for c in documents.columns), lines.alias("_llm_lines"), (lines - left).alias("_llm_deleted"))
 
 
 def digest(documents: DataFrame) -> DataFrame:
