@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .words import tidy
+
 NONE = 1 << 30          # above any rank << 8 | position
 BATCHED_BYTES = 256     # longer pieces are encoded one by one
 MEMO = 75_000          # encodings a worker remembers, and as many older ones
@@ -265,7 +267,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
                 at += len(texts)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -278,7 +280,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [vocab.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digest(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -300,4 +302,4 @@ def digest(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -122,7 +122,7 @@ def search(documents: DataFrame, block: Items, k: int, containment: float) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(item, pa.int32()), pa.array(shared, pa.int64())],
                                              ["doc_id", "item", "shared"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item int, shared long")
+    return documents.select("doc_id", "text").mapInArrow(words.tidy(run), f"doc_id {kind}, item int, shared long")
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
@@ -174,5 +174,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, k: int = SHINGLE, containm
                     keep.append(not any(np.isin(block.sets[c], own, assume_unique=True).sum() >= containment * len(block.sets[c]) - 1e-9 for c in close))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(words.tidy(run), out.schema)
     return out

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
+from .words import tidy
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -67,7 +68,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     waiting: dict[str, tuple[int, list[str]]] = {}
     for batch in batches:
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+        for text, lang in zip((t.as_py() for t in batch.column("text")), batch.column("lang").to_pylist(), strict=True):
             size, texts = waiting.get(lang, (0, []))
             texts.append(text)
             waiting[lang] = (size + len(text), texts)
@@ -84,7 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def profiles(documents: DataFrame, size: int = PROFILE) -> DataFrame:
     """(lang, gram, rank) from (text, lang) rows; rows with a null text or language teach nothing."""
     known = documents.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = (known.mapInArrow(_count, "lang string, gram long, n long")
+    counts = (known.mapInArrow(tidy(_count), "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return (counts.select("lang", "gram", (F.row_number().over(order) - 1).alias("rank"))
@@ -128,22 +129,22 @@ def identify(documents: DataFrame, model: Profiles) -> DataFrame:
     """(doc_id, lang_pred, score) of every row. Null texts and texts without a letter are ``und`` with score 0."""
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [model.predict(t) for t in batch.column("text").to_pylist()]
+            out = [model.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
                 ["doc_id", "lang_pred", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return documents.select("doc_id", "text").mapInArrow(tidy(predict), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_identified(documents: DataFrame, model: Profiles) -> DataFrame:
     """The rows, with all their columns, whose language is not ``und``; one pass, no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.predict(t)[0] != UNKNOWN for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.predict(t.as_py())[0] != UNKNOWN for t in batch.column("text")], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def teachers(documents: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ Words are compared by 64-bit hashes; grams of equal hash are told apart by furth
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,34 +57,6 @@ def _inside(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first byte and the hash of every word of some texts that begin at ``starts``. Bytes are hashed in blocks of bounded size."""
-    inside = _inside(data)
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    cuts = starts[(starts > 0) & (starts < len(data))]
-    first[cuts] = inside[cuts]
-    last[cuts - 1] = inside[cuts - 1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    out = np.empty(len(begin), np.uint64)
-    a = 0
-    while a < len(begin):
-        b = int(np.searchsorted(end, begin[a] + words.CHUNK_BYTES, side="right"))
-        if b <= a:          # one word beyond the size of a block
-            out[a] = int.from_bytes(hashlib.blake2b(data[begin[a]:end[a]].tobytes(), digest_size=8).digest(), "little")
-            a += 1
-            continue
-        lo, hi = begin[a], end[b - 1]
-        power, inverse = words._powers(2 * words.CHUNK_BYTES)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_VALUE[data[lo:hi]] * power[:hi - lo], out=sums[1:])
-        raw = (sums[end[a:b] - lo] - sums[begin[a:b] - lo]) * inverse[begin[a:b] - lo]
-        out[a:b] = words.mix(raw ^ (end[a:b] - begin[a:b]).astype(np.uint64) * _STEP)
-        a = b
-    return begin, out
-
-
 def _spread(values: np.ndarray, width: int, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Element i combines ``values`` i to i + width - 1, by doubling (so it may take a value in twice)."""
     span = 1
@@ -98,7 +69,8 @@ def _spread(values: np.ndarray, width: int, combine: Callable[[np.ndarray, np.nd
 
 def _selected(data: np.ndarray, bounds: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of some texts, all windows of ``run`` words in order: text, place, selected gram, whether it selects anew, hash, line."""
-    begin, h = _words(data, bounds[:-1])
+    begin, end = words.word_bounds(_inside(data), bounds[:-1])
+    h = words.hash_words(data, begin, end, _VALUE)
     edges = np.searchsorted(begin, bounds)
     if len(h) < run:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, bool, np.int32, np.int32))
@@ -140,7 +112,7 @@ def fingerprints(documents: DataFrame, run: int = RUN, gram: int = GRAM, windows
                         ["id", "th", "g", "at", "w", "line"])
                 done += len(bounds) - 1
 
-    return rows.mapInArrow(scan, f"id {kind}, th long, g long, at int, w array<int>, line array<int>" if windows else "g long")
+    return rows.mapInArrow(words.tidy(scan), f"id {kind}, th long, g long, at int, w array<int>, line array<int>" if windows else "g long")
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +167,7 @@ def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> Dat
     placed = places.withColumn("part", part).join(first.hint("merge"), ["g", "part"]).where(~F.struct(*DOC, "at").eqNullSafe(F.struct("f.id", "f.th", "f.at")))
     kind = documents.schema["doc_id"].dataType.simpleString()
     known = stored(placed.select("g", *DOC, "at", own.alias("own"), "w", "line", F.col("f.w").alias("fw"), F.col("f.line").alias("fline")).mapInArrow(
-        _compare, f"g long, id {kind}, th long, own boolean, s array<int>, w array<int>, rest array<int>, line array<int>"), "compared")
+        words.tidy(_compare), f"g long, id {kind}, th long, own boolean, s array<int>, w array<int>, rest array<int>, line array<int>"), "compared")
     rest = known.where(F.size("w") > 0).select("g", *DOC, "own", F.explode(F.arrays_zip("w", "rest", "line")).alias("x"))
     rest = rest.select("g", "x.w", *DOC, F.col("x.rest").alias("at"), "x.line")
     heads = rest.groupBy("g", "w").agg(F.min(F.struct(*DOC, "at", "line")).alias("f"), F.count("*").alias("places")).where("places > 1").drop("places")

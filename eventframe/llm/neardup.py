@@ -66,7 +66,7 @@ def sign(documents: DataFrame, k: int) -> DataFrame:
                 batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.ravel()))], ["doc_id", "th", "n", "node", "bands"])
 
-    return documents.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, n long, node long, bands array<long>")
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(words.tidy(run), f"doc_id {kind}, th long, n long, node long, bands array<long>")
 
 
 def shingle_sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -83,7 +83,7 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 pa.array([s.tobytes() for s in signature], pa.binary()), pa.array([sets[i].tobytes() for i in own], pa.binary())],
                 ["node", "n", "signature", "shingles"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, n long, signature binary, shingles binary")
+    return rows.select("node", "text").mapInArrow(words.tidy(run), "node long, n long, signature binary, shingles binary")
 
 
 def least_agreement(threshold: float) -> float:
@@ -113,7 +113,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
 
-    return joined.mapInArrow(run, "u long, v long")
+    return joined.mapInArrow(words.tidy(run), "u long, v long")
 
 
 def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def open_links(members: DataFrame, known: DataFrame, sets: DataFrame, percent: i
                             comp_now[comp_now == comp_now[y - s]] = comp_now[x - s]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return cells.mapInArrow(run, "u long, v long")
+    return cells.mapInArrow(words.tidy(run), "u long, v long")
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:

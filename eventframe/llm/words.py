@@ -7,12 +7,15 @@ shingle has its whole sequence as its only shingle; one without words has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+BLOCK_BYTES = 1 << 18       # bytes hashed together
 CHUNK_BYTES = 1_000_000     # bytes of text handled together; a longer text is handled alone
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -29,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse."""
     inverse = pow(_BASE, -1, 1 << 64)
@@ -41,23 +44,42 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the bytes, and for every text (from its start on) the number of words before it."""
-    n = len(data)
-    inside = _WORD[data]
+def word_bounds(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end, from the bytes that belong to words and the starts of the texts."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
-    cuts = starts[(starts > 0) & (starts < n)]
+    cuts = starts[(starts > 0) & (starts < len(inside))]
     first[cuts] = inside[cuts]
     last[cuts - 1] = inside[cuts - 1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last)
-    size = 1 << max(n, 1 << 16).bit_length()
-    power, inverse = _powers(size)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWER[data] * power[:n], out=sums[1:])
-    raw = (sums[end + 1] - sums[begin]) * inverse[begin]
-    return mix(raw ^ (end - begin).astype(np.uint64) * _STEP), np.searchsorted(begin, starts)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def hash_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hashes of words, their bytes taken as ``values``. Bytes are taken in blocks, so memory does not grow with a text."""
+    out = np.empty(len(begin), np.uint64)
+    power, inverse = _powers(BLOCK_BYTES)
+    a = 0
+    while a < len(begin):
+        b = int(np.searchsorted(end, begin[a] + BLOCK_BYTES, side="right"))
+        if b <= a:          # one word beyond the size of a block
+            word = (values[data[begin[a]:end[a]]] - np.uint64(1)).astype(np.uint8).tobytes()
+            out[a] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            a += 1
+            continue
+        lo, hi = begin[a], end[b - 1]
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(values[data[lo:hi]] * power[:hi - lo], out=sums[1:])
+        raw = (sums[end[a:b] - lo] - sums[begin[a:b] - lo]) * inverse[begin[a:b] - lo]
+        out[a:b] = mix(raw ^ (end[a:b] - begin[a:b]).astype(np.uint64) * _STEP)
+        a = b
+    return out
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the bytes, and for every text (from its start on) the number of words before it."""
+    begin, end = word_bounds(_WORD[data], starts)
+    return hash_words(data, begin, end, _LOWER), np.searchsorted(begin, starts)
 
 
 def _shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +117,21 @@ def shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield out[s:e]
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same function on Arrow batches, that hands freed memory back when its task ends: Python workers live on between tasks."""
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes of consecutive texts and the bounds of each text in them."""
     if len(texts) == 0:
