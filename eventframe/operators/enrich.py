@@ -39,39 +39,42 @@ def asof_name(df: DataFrame, names: DataFrame, key: str = "_pid", max_rows: int
 
 
 def floor_lookup(df: DataFrame, addr: str, table: DataFrame, start: str = "start",
-                 columns: Sequence[str] = ("name",)) -> DataFrame:
-    """For each address the table row with the largest ``start`` not above it (addresses are unsigned).
+                 columns: Sequence[str] = ("name",), by: Sequence[str] = ()) -> DataFrame:
+    """For each address the table row with the largest ``start`` not above it (addresses are unsigned) and equal ``by``.
 
     Distinct addresses are looked up once - there are as many as code locations, not as events - and joined back. The
     table is indexed by pages of PAGE_BITS address bits: an address finds its predecessor in its own page by an equi-join, or
     takes the one carried into the page, which is the same lookup among the pages one level up. No step orders more than
-    a page. Of table rows with the same start the largest counts.
+    a page. Of table rows with the same start the largest counts. Null addresses and null ``by`` find nothing.
     """
     value = F.struct(F.col(start).alias("_start"), *columns)
-    keyed = table.select(F.col(start).bitwiseXOR(F.lit(SIGN)).alias("_k"), value.alias("_known")).where("_k IS NOT NULL")
-    entries = keyed.groupBy("_k").agg(F.max("_known").alias("_known"))
-    wanted = df.select(F.col(addr).bitwiseXOR(F.lit(SIGN)).alias("_k")).where("_k IS NOT NULL").distinct()
-    found = _predecessors(wanted, entries, 0, 0).select(F.col("_k").bitwiseXOR(F.lit(SIGN)).alias(addr), "_known")
-    return df.join(found, addr, "left").select(
+    whole = F.lit(True)
+    for c in ["_k", *by]:
+        whole = whole & F.col(c).isNotNull()
+    keyed = table.select(*by, F.col(start).bitwiseXOR(F.lit(SIGN)).alias("_k"), value.alias("_known")).where(whole)
+    entries = keyed.groupBy(*by, "_k").agg(F.max("_known").alias("_known"))
+    wanted = df.select(*by, F.col(addr).bitwiseXOR(F.lit(SIGN)).alias("_k")).where(whole).distinct()
+    found = _predecessors(wanted, entries, list(by), 0, 0).select(*by, F.col("_k").bitwiseXOR(F.lit(SIGN)).alias(addr), "_known")
+    return df.join(found, [*by, addr], "left").select(
         *df.columns, F.col("_known._start").alias("_start"), *[F.col(f"_known.{c}").alias(c) for c in columns])
 
 
-def _predecessors(wanted: DataFrame, entries: DataFrame, level: int, less: int) -> DataFrame:
-    """``wanted`` (_k, distinct) with the _known of the largest entry _k not above ``_k - less``, or NULL."""
+def _predecessors(wanted: DataFrame, entries: DataFrame, by: list[str], level: int, less: int) -> DataFrame:
+    """``wanted`` (by, _k, distinct) with the _known of the largest entry _k not above ``_k - less``, or NULL."""
     page = F.shiftright("_k", PAGE_BITS) if level < LEVELS - 1 else F.lit(0)
     rows = F.array_sort(F.collect_list(F.struct("_k", "_known")))
-    pages = entries.groupBy(page.alias("_page")).agg(rows.alias("_rows")).select(
-        "_page", "_rows", F.col("_rows._k").alias("_ks"))
+    pages = entries.groupBy(*by, page.alias("_page")).agg(rows.alias("_rows")).select(
+        *by, "_page", "_rows", F.col("_rows._k").alias("_ks"))
     asked = wanted.withColumn("_page", page)
     at = position("_ks", F.col("_k") - less, 1 << PAGE_BITS)
-    here = asked.join(pages, "_page", "left").select("_k", "_page", F.get("_rows", at - 1)["_known"].alias("_known"))
+    here = asked.join(pages, [*by, "_page"], "left").select(*by, "_k", "_page", F.get("_rows", at - 1)["_known"].alias("_known"))
     if level == LEVELS - 1:
-        return here.select("_k", "_known")
+        return here.select(*by, "_k", "_known")
     # The last entry of each page stands for it one level up.
-    upper = entries.groupBy(page.alias("_k")).agg(F.max_by("_known", "_k").alias("_known"))
-    carried = _predecessors(asked.select(F.col("_page").alias("_k")).distinct(), upper, level + 1, 1)
-    carried = carried.select(F.col("_k").alias("_page"), F.col("_known").alias("_carried"))
-    return here.join(carried, "_page").select("_k", F.coalesce("_known", "_carried").alias("_known"))
+    upper = entries.groupBy(*by, page.alias("_k")).agg(F.max_by("_known", "_k").alias("_known"))
+    carried = _predecessors(asked.select(*by, F.col("_page").alias("_k")).distinct(), upper, by, level + 1, 1)
+    carried = carried.select(*by, F.col("_k").alias("_page"), F.col("_known").alias("_carried"))
+    return here.join(carried, [*by, "_page"]).select(*by, "_k", F.coalesce("_known", "_carried").alias("_known"))
 
 
 def _distance(addr: Column, start: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..shared import shared_dir
 from ..sources import events as src
+from ..sources.handlers import EventHandler, Handler, run_in_order
 from .registry import DAY, E, EPOCH_2024, HOUR, META, events, query, table
 
 
@@ -161,3 +163,52 @@ SELECT event, seq, CASE event WHEN 'view' THEN num * 2 ELSE num - k END AS score
 WHERE event IN ('view', 'click')""")
 def usr_handlers(spark, sf):
     return src.run_handlers(events(spark, sf), {"view": _double, "click": _minus_k}, HANDLED)
+
+
+def _count(state, event):
+    state["n"] = state.get("n", 0) + 1
+    state["last"] = event.seq
+
+
+def _buy(state, event):
+    out = {"_pid": event._pid, "seq": event["seq"], "since": state.get("n", 0), "before": state.get("last", -1)}
+    state["n"] = 0
+    return out
+
+
+@query("usr_ordered", E + """
+, g AS (SELECT *, count(*) FILTER (event = 'purchase') OVER w - CASE WHEN event = 'purchase' THEN 1 ELSE 0 END AS lap FROM e
+  WINDOW w AS (PARTITION BY _pid ORDER BY _time, seq))
+SELECT _pid, seq, n AS since, coalesce(last, -1) AS before FROM (SELECT _pid, seq, event,
+    count(*) FILTER (event <> 'purchase') OVER (PARTITION BY _pid, lap) AS n,
+    last_value(CASE WHEN event <> 'purchase' THEN seq END IGNORE NULLS) OVER (PARTITION BY _pid ORDER BY _time, seq) AS last FROM g)
+WHERE event = 'purchase'""")
+def usr_ordered(spark, sf):
+    """Events of a user since the last purchase, counted by handlers in order."""
+    handlers = EventHandler({"purchase": _buy}, default=_count)
+    return run_in_order(events(spark, sf), handlers, ["_pid"], "_pid bigint, seq bigint, since bigint, before bigint")
+
+
+class _Pace(Handler):
+    """Longest pause of a key, over its whole life."""
+
+    def start(self, key):
+        return {"at": None, "pause": 0, "n": 0}
+
+    def rows(self, key, state, events):
+        times = events["_time"]
+        pauses = times.diff().fillna(0)
+        if state["at"] is not None:
+            pauses.iloc[0] = times.iloc[0] - state["at"]
+        state.update(at=int(times.iloc[-1]), pause=max(state["pause"], int(times.diff().max() if len(times) > 1 else 0), int(pauses.iloc[0])),
+                     n=state["n"] + len(events))
+
+    def end(self, key, state):
+        return pd.DataFrame([{"_cpu": key[0], "n": state["n"], "pause": state["pause"]}])
+
+
+@query("usr_key_end", E + """
+SELECT _cpu, count(*) AS n, CAST(max(pause) AS BIGINT) AS pause FROM (SELECT _cpu,
+  coalesce(_time - lag(_time) OVER (PARTITION BY _cpu ORDER BY _time, seq), 0) AS pause FROM e) GROUP BY _cpu""")
+def usr_key_end(spark, sf):
+    return run_in_order(events(spark, sf), _Pace(), ["_cpu"], "_cpu int, n bigint, pause bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stacks as sk
 from ..operators.enrich import asof_name, symbolize
+from ..operators.frames import KERNEL, KERNEL_DSO, USER, stack_frames
 from ..schema import epoch_ns
 from .registry import E, events, query, table
 
@@ -134,3 +135,40 @@ def enr_comm_asof(spark, sf):
     names = e.where("event = 'signup'").select(
         "_pid", "_time", "seq", F.concat(F.lit("u"), "_pid", F.lit("_"), "seq").alias("name"))
     return asof_name(e.select("seq", "_pid", "_time"), names).select("seq", "_pid", "name")
+
+
+DAY_US = 86_400_000_000
+
+
+@query("stack_frames", f"""
+WITH m AS (SELECT c_custkey AS seq, c_custkey % 40 AS pid, 694224000000000000 + (c_custkey * 7919 % 2400) * {DAY_US} * 1000 AS t,
+    (c_custkey * 31 % 12) * 1000 AS start, (c_custkey * 31 % 12) * 1000 + 600 + c_custkey % 7 * 300 AS "end",
+    CASE WHEN c_nationkey > 1 THEN 'lib' || (c_nationkey % 5) END AS dso, c_custkey % 3 * 64 AS place FROM customer),
+s AS (SELECT '{KERNEL_DSO}' AS dso, p_partkey * 10 + 5 AS start, p_name AS name FROM part
+  UNION ALL SELECT 'lib' || (s_suppkey % 5), s_suppkey * 37 % 1500, s_name FROM supplier),
+o AS (SELECT o_orderkey, o_custkey % 41 AS pid, epoch_us(o_orderdate) * 1000 AS t, o_custkey FROM orders),
+f AS (SELECT o_orderkey, pid, t, unnest([1, 2, 4, 5]) AS pos, unnest([true, true, false, false]) AS kernel,
+    unnest([o_custkey * 10, o_custkey * 10 + 7, o_custkey * 17 % 12500, o_custkey % 900]) AS addr FROM o),
+u AS (SELECT f.o_orderkey, f.pos, m.dso, m.place + f.addr - m.start AS place FROM f JOIN m ON NOT kernel AND f.pid = m.pid AND m.t <= f.t
+    AND f.addr >= m.start AND f.addr < m."end"
+  QUALIFY row_number() OVER (PARTITION BY f.o_orderkey, f.pos ORDER BY m.t DESC, m.seq DESC) = 1),
+g AS (SELECT f.*, CASE WHEN kernel THEN '{KERNEL_DSO}' ELSE u.dso END AS dso, CASE WHEN kernel THEN addr WHEN u.dso IS NOT NULL THEN u.place END AS place
+  FROM f LEFT JOIN u ON f.o_orderkey = u.o_orderkey AND f.pos = u.pos),
+h AS (SELECT g.*, s.start, s.name FROM g ASOF LEFT JOIN (SELECT dso, start, max(name) AS name FROM s GROUP BY dso, start) s
+  ON g.dso = s.dso AND g.place >= s.start)
+SELECT o_orderkey, CAST(pos - CASE WHEN pos > 2 THEN 2 ELSE 1 END AS INT) AS pos, addr, coalesce(name, 'Unknown') AS symbol,
+  CASE WHEN name IS NOT NULL THEN place - start WHEN kernel THEN 0 ELSE coalesce(place, 0) END AS "offset", kernel,
+  CASE WHEN kernel OR name IS NOT NULL THEN dso ELSE 'Unknown' END AS dso FROM h""")
+def stack_frames_(spark, sf):
+    """Kernel and user frames of orders, with mappings that change in time (those of nations 0 and 1 unmap)."""
+    maps = table(spark, sf, "customer").selectExpr(
+        "c_custkey AS seq", "c_custkey % 40 AS _pid", f"694224000000000000 + (c_custkey * 7919 % 2400) * {DAY_US}L * 1000 AS _time",
+        "(c_custkey * 31 % 12) * 1000 AS start", "(c_custkey * 31 % 12) * 1000 + 600 + c_custkey % 7 * 300 AS end",
+        "CASE WHEN c_nationkey > 1 THEN concat('lib', c_nationkey % 5) END AS dso", "c_custkey % 3 * 64 AS place")
+    known = table(spark, sf, "part").selectExpr(f"'{KERNEL_DSO}' AS dso", "p_partkey * 10 + 5 AS start", "p_name AS name").unionByName(
+        table(spark, sf, "supplier").selectExpr("concat('lib', s_suppkey % 5) AS dso", "s_suppkey * 37 % 1500 AS start", "s_name AS name"))
+    stack = F.expr(f"array({KERNEL}L, o_custkey * 10, o_custkey * 10 + 7, {USER}L, o_custkey * 17 % 12500, o_custkey % 900)")
+    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 41).alias("_pid"), epoch_ns("o_orderdate").alias("_time"),
+                                             F.col("o_orderkey").alias("seq"), stack.alias("stack"))
+    out = stack_frames(rows, known, maps).select("o_orderkey", F.posexplode("frames").alias("pos", "f"))
+    return out.select("o_orderkey", "pos", "f.*")
