@@ -4,14 +4,18 @@ Everything on the data is a Spark column expression. A span is found from the pi
 to its place, in code points.
 
 Base spans (fixed formats with their checks) are always kept. Generators propose wider candidates: digits with any
-separators, dotted numbers, and addresses with a written-out at or dot. A candidate that overlaps a base span of its kind is a
-positive example, the others are unlabelled and count as negative. Trees see the shape and the surroundings of a candidate
-but none of the checks, so they learn what real data of each kind looks like here; a candidate that fails a check yet looks
-like that, at the precision the calibration asks for, becomes a further span.
+separators, long numbers inside runs of digits, and addresses with a written-out at or dot. Candidates that overlap a base span of their kind
+are positive examples. For the others an independent sign stands in for a label, which no tree sees: the check digit of a card
+without its separators, and for the other kinds a key word of the kind on the left. A sign is not a label: of n
+candidates with s signs about (s - b n) / (c - b) are real, where c is the rate of signs among real ones and b that among
+others. A card's are 1 and 1/10; key words are counted beside base spans of the same kind and of other kinds. With
+these estimates trees learn which shapes are real; the same estimates on the other fold, over candidates beside base spans
+only, set the margin from which on candidates become further spans. Where signs tell nothing, none is added.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,9 +41,11 @@ GENERATORS = {
     "number": r"(?:\+|\((?=[0-9]))?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+",
 }
 CONTEXT = 24        # characters before a candidate in which key words are looked for
-WORDS = r"(?iU)(mail|tel|phone|call|fax|mobil|card|visa|amex|konto|iban|carte|tarjeta|host|server|addr|\bip\b)"
-PRECISION = 0.95    # of the spans added, as the calibration fold measures it
-FEATURES = ("kind", "digits", "separators", "plus", "bracket", "left", "right", "words")
+PIECE = r"(?<![0-9])[0-9]{14,19}+(?![0-9])"        # a long number, also inside a run of numbers
+WORDS = {"email": r"(?iU)(mail)", "ip": r"(?iU)(host|server|addr|\bip\b)", "phone": r"(?iU)(tel|phone|call|fax|mobil)"}
+PRECISION = 0.9     # of the spans added, as the calibration fold estimates it
+SIGNS = 5           # candidates with a sign that a threshold must rest on
+FEATURES = ("kind", "digits", "separators", "plus", "bracket", "left", "right", "piece")
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -117,14 +123,15 @@ def _side(char: Column) -> Column:
             .when(char.rlike("^[\"'=:/]"), 4).otherwise(5))
 
 
-def features(kind: Column, span: Column) -> list[Column]:
+def features(c: Column) -> list[Column]:
     """The candidate's shape and surroundings as small whole numbers, so that few distinct rows exist in any corpus."""
+    kind, span = c["kind"], c["span"]
     hit = span["hit"]
     n = F.length(_digits(hit))
     shape = F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 14, 3).when(n < 16, 4).when(n == 16, 5).when(n < 20, 6).otherwise(7)
     gaps = F.least(F.length(F.regexp_replace(hit, "[0-9\\p{L}+]", "")), F.lit(7))
     return [kind, F.when(kind == 0, 0).otherwise(shape), gaps, hit.startswith("+").cast("int"), F.contains(hit, F.lit("(")).cast("int"),
-            _side(F.right(span["left"], F.lit(1))), _side(span["right"]), span["left"].rlike(WORDS).cast("int")]
+            _side(F.right(span["left"], F.lit(1))), _side(span["right"]), c["piece"]]
 
 
 #: The most distinct feature rows: the product of the features' numbers of values.
@@ -132,14 +139,27 @@ CELLS = 4 * 8 * 8 * 2 * 2 * 6 * 6 * 2
 
 
 def candidates(text: Column, zones: Column) -> Column:
-    """All candidates: array<struct<kind, span>>, kind as a place in KINDS. Their shape decides the kind."""
+    """All candidates: array<struct<kind, span, piece>>, kind as a place in KINDS, piece 1 for a number inside a longer run. Their
+    shape decides the kind."""
     def kind_of(hit: Column) -> Column:
         n = F.length(_digits(hit))
-        return F.when(hit.rlike(r"^[0-9]+(\.[0-9]+){3}$"), 1).when(n > 12, F.when(hit.startswith("+"), 3).otherwise(2)).otherwise(3)
+        return F.when(hit.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), 1).when(n > 12, F.when(hit.startswith("+"), 3).otherwise(2)).otherwise(3)
+
+    def listed(spans: Column, kind: Callable[[Column], Column], piece: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(kind(s["hit"]).alias("kind"), s.alias("span"), F.lit(piece).alias("piece")))
 
     emails = F.when(text.rlike(r"@|[(\[](?i:at)[)\]]"), located(text, GENERATORS["email"])).otherwise(_typed_empty())
-    return F.concat(F.transform(emails, lambda s: F.struct(F.lit(0).alias("kind"), s.alias("span"))),
-                    F.transform(within(zones, GENERATORS["number"]), lambda s: F.struct(kind_of(s["hit"]).alias("kind"), s.alias("span"))))
+    numbers = within(zones, GENERATORS["number"])
+    runs = F.filter(zones, lambda z: F.length(_digits(z["hit"])) > 19)
+    pieces = F.filter(within(runs, PIECE), lambda s: F.length(_digits(s["hit"])) > 0)
+    return F.concat(listed(emails, lambda _: F.lit(0), 0), listed(numbers, kind_of, 0), listed(pieces, lambda _: F.lit(2), 1))
+
+
+def sign(c: Column, kind: int) -> Column:
+    """Whether a candidate bears the sign of a kind."""
+    if KINDS[kind] == "card":
+        return valid("card", c["span"]["hit"])
+    return c["span"]["left"].rlike(WORDS[KINDS[kind]])
 
 
 def _overlaps(spans: Column, s: Column) -> Column:
@@ -170,42 +190,61 @@ class Model:
         return sum((value(t) for t in self.trees.trees), F.lit(self.trees.base))
 
 
-def calibrate(margin: np.ndarray, positive: np.ndarray, n: np.ndarray, precision: float) -> float:
-    """The smallest margin from which on the share of positives is at least ``precision``; infinite if there is none."""
+def calibrate(margin: np.ndarray, real: np.ndarray, n: np.ndarray, signs: np.ndarray, precision: float) -> float:
+    """The smallest margin from which on the estimated share of real ones among ``n`` is at least ``precision``, and at least SIGNS of
+    them bear a sign; infinite if there is none."""
     if not len(margin):
         return float("inf")
     values, place = np.unique(margin, return_inverse=True)
-    good = np.cumsum(np.bincount(place, positive, len(values))[::-1])[::-1]
-    every = np.cumsum(np.bincount(place, n, len(values))[::-1])[::-1]
-    enough = np.flatnonzero(good >= precision * np.maximum(every, 1e-9))
+    good, every, shown = (np.cumsum(np.bincount(place, x, len(values))[::-1])[::-1] for x in (real, n, signs))
+    enough = np.flatnonzero((good >= precision * every) & (every > 0) & (shown >= SIGNS))
     return float(values[enough[0]]) if len(enough) else float("inf")
 
 
 def train(found: DataFrame, precision: float = PRECISION) -> Model:
     """Fitted on what :func:`propose` found, in all documents.
 
-    Spark counts candidates and positives per distinct row of features; there are at most CELLS such rows in each of two
+    Spark counts candidates and signs per distinct row of features; there are at most CELLS such rows in each of two
     folds, whatever the corpus, so the driver gathers a bounded table. Trees are grown on documents with an even
-    crc32(doc_id); thresholds are set on the others.
+    crc32(doc_id); thresholds are set on the others. Without any candidate nothing is added.
     """
     one = found.select(F.coalesce(fold("doc_id", 2), F.lit(0)).alias("fold"), *KINDS, F.explode("c").alias("c"))
-    truth = F.when(F.col("c.kind") == 0, _overlaps(F.col("email"), F.col("c.span")))
-    for i, kind in list(enumerate(KINDS))[1:]:
-        truth = truth.when(F.col("c.kind") == i, _overlaps(F.col(kind), F.col("c.span")))
-    rows = one.select("fold", truth.cast("int").alias("y"), *(f.alias(n) for f, n in zip(features(F.col("c.kind"), F.col("c.span")), FEATURES, strict=True)))
-    cells = rows.groupBy("fold", *FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
-    table = np.array(sorted(tuple(r) for r in cells), float).reshape(-1, len(FEATURES) + 3)
-    even, x, n, y = table[:, 0] == 0, table[:, 1:-2], table[:, -2], table[:, -1]
-    trees = boosting.fit(x[even], y[even] / n[even], n[even], trees=16, depth=4, rate=0.4)
+    c = F.col("c")
+    mine, any_base, has = F.lit(False), F.lit(False), F.lit(False)
+    for i, kind in enumerate(KINDS):
+        over = _overlaps(F.col(kind), c["span"])
+        mine, any_base, has = mine | ((c["kind"] == i) & over), any_base | over, has | ((c["kind"] == i) & sign(c, i))
+    words = [i for i, kind in enumerate(KINDS) if kind in WORDS]
+    rows = one.select("fold", *(f.alias(n) for f, n in zip(features(c), FEATURES, strict=True)), mine.alias("mine"), any_base.alias("any"), has.alias("sign"),
+                      *(sign(c, i).alias(f"w{i}") for i in words)).where("mine OR NOT any")
+    count = lambda cond: F.count_if(F.expr(cond))        # noqa: E731
+    cells = rows.groupBy("fold", *FEATURES).agg(count("mine"), count("mine AND sign"), count("NOT mine"), count("NOT mine AND sign"),
+                                                *(count(f"mine AND w{i}") for i in words)).collect()
+    table = np.array(sorted(tuple(r) for r in cells), float).reshape(-1, len(FEATURES) + 5 + len(words))
+    x, (base, base_signs, free, signs) = table[:, 1:len(FEATURES) + 1], table[:, len(FEATURES) + 1:len(FEATURES) + 5].T
+    kind, real, asked = x[:, 0], np.zeros(len(x)), free.copy()
+    for k in range(len(KINDS)):
+        here = kind == k
+        often, seldom = 1.0, 0.1        # a card's check digit
+        if k in words:
+            beside = table[:, len(FEATURES) + 5 + words.index(k)]
+            often = base_signs[here].sum() / max(base[here].sum(), 1)
+            seldom = beside[~here].sum() / max(base[~here].sum(), 1)
+        else:
+            asked[here] = signs[here]       # only those with a right check digit are ever added
+        if often - seldom > 0.05:
+            real[here] = (signs[here] - seldom * free[here]) / (often - seldom)
+    even = table[:, 0] == 0
+    every = base + free
+    trees = boosting.fit(x[even], (base + real)[even] / every[even], every[even], trees=16, depth=4, rate=0.4)
     margin, rest = trees.margin(x), ~even if (~even).any() else even
-    return Model(trees, {k: calibrate(margin[rest & (x[:, 0] == k)], y[rest & (x[:, 0] == k)], n[rest & (x[:, 0] == k)], precision)
-                         for k in range(len(KINDS))})
+    return Model(trees, {k: calibrate(*(v[rest & (kind == k)] for v in (margin, real, asked, signs)), precision) for k in range(len(KINDS))})
 
 
 def spans(found: DataFrame, model: Model) -> DataFrame:
     """doc_id, base and spans: sorted array<struct<start, kind, end, base>> for every row.
 
-    A candidate is added if it overlaps no base span. Null texts count as empty; repeated rows each get a row.
+    A candidate is added if it overlaps no base span, its margin reaches the threshold of its kind, and, for a card, its check digit is right. Null texts count as empty; repeated rows each get a row.
     """
     def listed(kind: int) -> Column:
         return F.transform(F.col(KINDS[kind]), lambda s: F.struct(
@@ -215,7 +254,8 @@ def spans(found: DataFrame, model: Model) -> DataFrame:
 
     def add(c: Column) -> Column:
         bound = F.element_at(F.array(*(F.lit(model.least.get(k, float("inf"))) for k in range(len(KINDS)))), c["kind"] + 1)
-        return ~_overlaps(F.col("base"), c["span"]) & (model.margin(features(c["kind"], c["span"])) >= bound)
+        checked = (c["kind"] != KINDS.index("card")) | sign(c, KINDS.index("card"))
+        return ~_overlaps(F.col("base"), c["span"]) & checked & (model.margin(features(c)) >= bound)
 
     more = F.transform(F.filter("c", add), lambda c: F.struct(
         c["span"]["start"].alias("start"), c["kind"].alias("kind"), c["span"]["end"].alias("end"), F.lit(False).alias("base")))
@@ -242,7 +282,11 @@ def redact(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def pii(documents: DataFrame) -> DataFrame:
-    """The texts are read once: proposals are stored, then counted for training and scored."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row; other columns are ignored.
+
+    The texts are read once: proposals are stored, then counted for training and scored. Null texts count as empty, repeated rows
+    get a row each, null ids train with the even fold, an empty table gives an empty one.
+    """
     proposed = stored(propose(documents), "pii")
     found = spans(proposed, train(proposed))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), sha256_of(joined(F.col("base"))).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

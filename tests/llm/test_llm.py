@@ -109,6 +109,62 @@ def test_pii_redacts(spark):
     assert [r["text"] for r in pii.redact(df, model).orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE].", ""]
 
 
+def checked_number(rng, digits):
+    for last in range(10):
+        number = "".join(rng.choice("0123456789") for _ in range(digits - 1)) + str(last)
+        if passes("card", number):
+            return number
+        rng.random()
+    return checked_number(rng, digits)
+
+
+def test_pii_adds_spans_by_its_trees(spark):
+    """National numbers, written-out addresses, dotted cards and cards in a row of numbers are found; decoys of other shapes are not."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))       # noqa: E731
+    word = lambda kind: {"phone": "tel ", "email": "mail ", "ip": "host "}[kind] if rng.random() < 0.8 else "ok "        # noqa: E731
+    rows, wanted, decoys = [], set(), set()
+    for i in range(4800):
+        card = checked_number(rng, 16)
+        kind, before, hit = [
+            ("phone", word("phone"), f"+49 ({digits(3)}) {digits(7)}"),
+            ("email", word("email"), f"a{digits(2)}@b.org"),
+            ("card", "ok ", card),
+            ("phone", word("phone"), f"0{digits(3)}/{digits(3)}-{digits(3)}"),
+            ("email", word("email"), f"c{digits(2)} (at) d (dot) org"),
+            ("card", "ok ", ".".join(card[j:j + 4] for j in range(0, 16, 4))),
+            (None, "ok ", digits(8)),
+            (None, "ok ", f"{digits(4)} {digits(4)} {digits(4)} {digits(3)}"),
+        ][i % 8]
+        if kind is None and passes("card", hit):
+            continue
+        if i % 8 > 2:
+            (wanted if kind else decoys).add((i, f"{kind}:{len(before)}:{len(before) + len(hit)}" if kind else len(before)))
+        rows.append((i, before + hit + " end"))
+    for i in range(8000, 8100):
+        rows.append((i, f"ok {checked_number(rng, 16)} {checked_number(rng, 16)} end"))
+    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(span in got[i] for i, span in wanted)
+    missed = {s.split(":")[0] for i, s in wanted if s not in got[i]}
+    assert found >= 0.9 * len(wanted), missed
+    wrong = sum(bool(got[i]) for i, _ in decoys)
+    assert wrong <= 0.05 * len(decoys)
+    assert sum("card:3:19" in got[i] for i in range(8000, 8100)) >= 85
+
+
+def test_pii_refuses_without_signs(spark):
+    rng = random.Random(2)
+    rows = [(i, "ok " + "".join(rng.choice("0123456789") for _ in range(16))) for i in range(400)]
+    rows = [(i, t) for i, t in rows if not passes("card", t[3:])] + [(1000, "ok +49 (555) 1234567")]
+    got = pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(bool(r["spans"]) for r in got) == 1
+
+
+def test_pii_awkward_and_empty(spark, awkward):
+    out = pii.pii(awkward)
+    assert out.count() == awkward.count() and pii.pii(awkward.limit(0)).collect() == []
+
+
 # -- embeddings
 
 def test_embeddings_against_brute_force(spark):
