@@ -155,15 +155,15 @@ def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> Dat
 
     The places of a fingerprint meet its first place in parts of about SPLIT rows; the first place is repeated for each part.
     """
+    # Repeated fingerprints, first places and runs grow with the documents: no broadcast, and the same plan at every size.
     again = stored(fingerprints(documents, run, gram, windows=False).groupBy("g").agg(F.count("*").alias("places")).where("places > 1"), "fingerprints")
     parts = F.ceil(F.col("places") / SPLIT).cast("int")
-    places = stored(fingerprints(documents, run, gram).join(again, "g").select(*DOC, "g", "at", "w", "line", parts.alias("parts")), "places")
+    places = stored(fingerprints(documents, run, gram).join(again.hint("merge"), "g").select(*DOC, "g", "at", "w", "line", parts.alias("parts")), "places")
     # The first place of each: a partial aggregation, so that a fingerprint of very many documents is one row a task.
     first = stored(places.groupBy("g").agg(F.min(F.struct(*DOC, "at", "w", "line", "parts")).alias("f")), "first-places")
     first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("f.parts") - 1)))
     own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "at"), F.col("parts")).cast("int")).otherwise(0)
-    # The first places grow with the documents: no broadcast, and the same plan at every size.
     placed = places.withColumn("part", part).join(first.hint("merge"), ["g", "part"]).where(~F.struct(*DOC, "at").eqNullSafe(F.struct("f.id", "f.th", "f.at")))
     kind = documents.schema["doc_id"].dataType.simpleString()
     known = stored(placed.select("g", *DOC, "at", own.alias("own"), "w", "line", F.col("f.w").alias("fw"), F.col("f.line").alias("fline")).mapInArrow(
@@ -218,7 +218,7 @@ def without_repeated_lines(documents: DataFrame, run: int = RUN, gram: int = GRA
     """
     runs = stored(repeated_runs(documents, run, gram), "runs").select(F.col("id").alias("_llm_id"), F.col("th").alias("_llm_th"), F.col("runs").alias("_llm_runs"))
     rows = documents.withColumn("_llm_th0", F.xxhash64("text"))
-    rows = rows.join(runs, rows["doc_id"].eqNullSafe(runs["_llm_id"]) & (rows["_llm_th0"] == runs["_llm_th"]), "left")
+    rows = rows.join(runs.hint("merge"), rows["doc_id"].eqNullSafe(runs["_llm_id"]) & (rows["_llm_th0"] == runs["_llm_th"]), "left")
     rows = rows.withColumn("_llm_cut", _left_over(F.when(F.col("_llm_runs").isNotNull(), F.col("text")), "_llm_runs"))
     lines = F.coalesce(_lines("text"), F.lit(0))
     left = F.when(F.col("_llm_cut").isNull(), lines).when(F.col("_llm_cut") == "", 0).otherwise(_lines("_llm_cut"))
