@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import any_of, as_column, join_same
+from ..shared import stored
 
 CELL_BITS = 12   # a cell spans at most 1/4096 of its values
 # The quantiles every latency report shows.
@@ -30,13 +31,16 @@ def _cell(value: Column) -> Column:
 
 def distribution(df: DataFrame, by: Sequence[str], value: str | Column,
                  quantiles: Mapping[str, str] = LATENCY_QUANTILES, than: int | None = None,
-                 exact: bool = True, wide: bool = False,
+                 exact: bool = True, wide: bool | None = False,
                  sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Per group: calls, total, min, the quantiles (discrete), max and, with ``than``, the number above it.
 
     ``exact=False`` uses Spark's mergeable quantile sketch instead: one shuffle, relative rank error 1e-4.
-    ``sums``: further columns summed per group in the same pass. ``wide=True`` returns the total as DECIMAL(38,0), for sums beyond 2^63 (292 years in ns).
+    ``sums``: further columns summed per group in the same pass. ``wide=True`` returns the total as DECIMAL(38,0), for sums beyond 2^63 (292 years in ns);
+    ``wide=None`` only where some group's total needs it (see ``fitted``), else as BIGINT.
     """
+    if wide is None:
+        return fitted(distribution(df, by, value, quantiles, than, exact, True, sums), "total")
     by = list(by)
     more = dict(sums or {})
     values = df.select(*by, as_column(value).cast("bigint").alias("__v"),
@@ -87,6 +91,16 @@ def widen(value: str | Column, wide: bool) -> Column:
     return as_column(value).cast("decimal(19,0)") if wide else as_column(value)
 
 
+def fitted(df: DataFrame, total: str) -> DataFrame:
+    """The wide column ``total`` as BIGINT if every group's value fits; otherwise it stays DECIMAL(38,0), exact.
+
+    The frame (one row per group) is stored and read once to decide, so this runs the job.
+    """
+    kept = stored(df, "totals")
+    fits = kept.agg(F.bool_and(F.col(total).between(-(1 << 63), (1 << 63) - 1))).first()[0]
+    return kept if fits is False else kept.withColumn(total, F.col(total).cast("bigint"))
+
+
 def _basic(calls: Column, total: Column, low: Column, high: Column) -> list[Column]:
     return [calls.alias("calls"), total.alias("total"), low.alias("min"), high.alias("max")]
 

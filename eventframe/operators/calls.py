@@ -107,11 +107,11 @@ def call_edges(calls: Timeline) -> DataFrame:
         F.count("*").alias("calls"), (F.min("level") - 1).alias("depth"), F.max("recursive").alias("recursive"))
 
 
-def call_delay(calls: Timeline, exact: bool = True) -> DataFrame:
-    """Latency distribution per function with its depth in the call tree and recursion flag."""
+def call_delay(calls: Timeline, exact: bool = True, wide: bool | None = False) -> DataFrame:
+    """Latency distribution per function with its depth in the call tree and recursion flag; ``wide`` as in ``distribution``."""
     shape = calls.rows().where("d = 1").groupBy("fn").agg(
         (F.min("level") - 1).alias("depth"), F.max((F.col("again") > 1).cast("int")).alias("recursive"))
-    return distribution(match_calls(calls), ["fn"], "latency", LATENCY_QUANTILES, exact=exact).join(shape, "fn")
+    return distribution(match_calls(calls), ["fn"], "latency", LATENCY_QUANTILES, exact=exact, wide=wide).join(shape, "fn")
 
 
 def nesting_errors(calls: Timeline) -> DataFrame:

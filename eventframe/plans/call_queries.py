@@ -57,7 +57,7 @@ SELECT fn, {STATS}, any_value(depth) AS depth, any_value(recursive) AS recursive
   (SELECT fn, min(level) - 1 AS depth, max(CAST(again > 1 AS INT)) AS recursive FROM c WHERE d = 1 GROUP BY fn)
   USING (fn) GROUP BY fn""".replace("matched_only", "(SELECT fn, latency FROM matched)"))
 def call_delay(spark, sf):
-    return ca.call_delay(rows(spark, sf))
+    return ca.call_delay(rows(spark, sf), wide=None)
 
 
 @query("call_nesting_errors", CALLS + """

@@ -107,6 +107,18 @@ def test_callers_and_frames(make, max_rows):
     assert {r["sample_id"]: r["stack"] for r in frames.collect()} == samples
 
 
+BIG = 4 * 10**18
+
+
+def test_call_delay_beyond_bigint(make):
+    events = [(e, t, i) for i in range(3) for e, t in (("f_in", i), ("f_out", i + BIG))]
+    functions = {"f": ("f_in", "f_out")}
+    far = ca.call_delay(ca.call_rows(make(events), functions), wide=None)
+    assert rows_of(far, "fn", "calls", "total", "p50", "depth") == [("f", 3, 3 * BIG, BIG, 0)]
+    near = ca.call_delay(ca.call_rows(make(events[:2]), functions), wide=None)
+    assert near.first()["total"] == BIG and dict(near.dtypes)["total"] == "bigint"
+
+
 def test_exit_spans(spark, make):
     events = random_events(5, 400, "xy", 3)
     open_, want = {}, []
