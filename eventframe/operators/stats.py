@@ -17,10 +17,10 @@ def with_share(df: DataFrame) -> DataFrame:
 
 
 def delay_stats(pairs: DataFrame, by: Sequence[str] = (), than: int | None = None, only_than: bool = False,
-                sort: bool = False, exact: bool = True, wide: bool = False) -> DataFrame:
+                sort: bool = False, exact: bool = True, wide: bool | None = False) -> DataFrame:
     """calls, total, min, p50, p95, p99, max per (start, end, by...); with ``than`` also its count and integer %.
 
-    ``only_than`` gives no rows at all unless some pair exceeds the threshold (checked by a first job).
+    ``only_than`` gives no rows at all unless some pair exceeds the threshold (checked by a first job). ``wide``: as in ``distribution``.
     """
     if only_than and pairs.where(F.col("latency") > than).isEmpty():
         pairs = pairs.where(F.lit(False))

@@ -73,12 +73,12 @@ def pair_keyexpr(spark, sf):
 
 @query("delay_stats", PAIRS + f" SELECT start, \"end\", {STATS} FROM p GROUP BY start, \"end\"")
 def delay_stats(spark, sf):
-    return st.delay_stats(two(spark, sf))
+    return st.delay_stats(two(spark, sf), wide=None)
 
 
 @query("delay_stats_by_key", PAIRS + f" SELECT key, start, \"end\", {STATS} FROM p GROUP BY key, start, \"end\"")
 def delay_stats_by_key(spark, sf):
-    return st.delay_stats(two(spark, sf), by=["key"])
+    return st.delay_stats(two(spark, sf), by=["key"], wide=None)
 
 
 THAN = f"CAST(count(*) FILTER (latency > {DAY}) AS BIGINT) AS than"
@@ -98,7 +98,7 @@ def delay_outliers(spark, sf):
 @query("delay_sorted", PAIRS + f"""
 SELECT end_cpu, start, "end", {STATS} FROM p GROUP BY ALL ORDER BY end_cpu, total DESC, start, "end" """)
 def delay_sorted(spark, sf):
-    return st.delay_stats(two(spark, sf), by=["end_cpu"], sort=True)
+    return st.delay_stats(two(spark, sf), by=["end_cpu"], sort=True, wide=None)
 
 
 # The detail view runs on a fleet whose cpus and processes grow with its users: four users share one of each.

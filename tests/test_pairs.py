@@ -129,6 +129,15 @@ def test_delay_stats_match_sorted_values(make):
     assert rough["p50"] == row["p50"] and int(rough["total"]) == row["total"]
 
 
+@pytest.mark.parametrize("extra", [{}, {"sort": True}])
+def test_delay_stats_beyond_bigint(make, extra):
+    events = [(e, t, i) for i in range(3) for e, t in (("a", i), ("c", i + 4 * 10**18))] + [("b", 1, 9), ("d", 3, 9)]
+    p = pr.pair_events(make(events), [["a", "b"], ["c", "d"]])
+    assert rows_of(st.delay_stats(p, wide=None, **extra), "start", "total") == [("a", 12 * 10**18), ("b", 2)]
+    if "than" not in extra:
+        assert dict(st.delay_stats(p.where("start = 'b'"), wide=None, **extra).dtypes)["total"] == "bigint"
+
+
 def test_rundelay_and_wakeups(spark):
     switches = spark.createDataFrame(
         [(10, 0, 1, 0, 7), (20, 2, 7, 1, 8), (30, 3, 8, 0, 7)],
