@@ -87,7 +87,7 @@ THAN = f"CAST(count(*) FILTER (latency > {DAY}) AS BIGINT) AS than"
 @query("delay_than", PAIRS + f"""
 SELECT *, than * 100 // calls AS than_pct FROM (SELECT start, "end", {STATS}, {THAN} FROM p GROUP BY start, "end")""")
 def delay_than(spark, sf):
-    return st.delay_stats(two(spark, sf), than=DAY, only_than=True)
+    return st.delay_stats(two(spark, sf), than=DAY, only_than=True, wide=None)
 
 
 @query("delay_outliers", PAIRS + f" SELECT * FROM p WHERE latency > {2 * DAY} OR latency < {HOUR // 60}")

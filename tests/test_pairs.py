@@ -129,7 +129,7 @@ def test_delay_stats_match_sorted_values(make):
     assert rough["p50"] == row["p50"] and int(rough["total"]) == row["total"]
 
 
-@pytest.mark.parametrize("extra", [{}, {"sort": True}])
+@pytest.mark.parametrize("extra", [{}, {"than": 7, "only_than": True}, {"sort": True}])
 def test_delay_stats_beyond_bigint(make, extra):
     events = [(e, t, i) for i in range(3) for e, t in (("a", i), ("c", i + 4 * 10**18))] + [("b", 1, 9), ("d", 3, 9)]
     p = pr.pair_events(make(events), [["a", "b"], ["c", "d"]])
