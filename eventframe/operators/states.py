@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import LATENCY_QUANTILES, distribution
+from ..functions.quantiles import LATENCY_QUANTILES, distribution, widen
 from ..functions.text import in_cpulist, int_div
 from ..schema import ORDER
 from .pairs import mark_lost
@@ -243,20 +243,20 @@ def exit_spans(exits: DataFrame, entries: DataFrame, instance: str = "_cpu",
 
 
 def exit_stats(spans: DataFrame, kernel_start: int, by: Sequence[str] = (), than: int | None = None,
-               hlt: Mapping[str, int] | None = None) -> DataFrame:
+               hlt: Mapping[str, int] | None = None, wide: bool | None = False) -> DataFrame:
     """calls, total, min, avg, p99, max and % of time in the guest kernel per (isa, reason).
 
-    ``than`` counts slow exits other than the halt reason of each isa.
+    ``than`` counts slow exits other than the halt reason of each isa. ``wide``: as in ``distribution``.
     """
     low = F.lit(-(1 << 63))
     in_kernel = F.col("guest_ip").bitwiseXOR(low) >= F.lit(kernel_start).bitwiseXOR(low)   # addresses are unsigned
-    sums = {"_gsys": F.when(in_kernel, F.col("latency")).otherwise(0)}
+    sums = {"_gsys": widen(F.when(in_kernel, F.col("latency")).otherwise(0), wide is not False)}
     if than is not None:
         slow = F.col("latency") > than
         for isa, reason in (hlt or {}).items():
             slow = slow & ~((F.col("isa") == isa) & (F.col("reason") == reason))
         sums["than"] = slow.cast("bigint")
-    out = distribution(spans, ["isa", "reason", *by], "latency", {"p99": "0.99"}, sums=sums)
+    out = distribution(spans, ["isa", "reason", *by], "latency", {"p99": "0.99"}, wide=wide, sums=sums)
     return out.withColumns({
         "avg": int_div("total", "calls"),
         "gsys_pct": F.round(F.col("_gsys") * 100.0 / F.col("total"), 2)}).drop("_gsys")

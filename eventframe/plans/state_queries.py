@@ -215,7 +215,7 @@ SELECT isa, reason, count(*) AS calls, CAST(sum(latency) AS BIGINT) AS total, mi
   round(CAST(sum(CASE WHEN guest_ip >= 5000 THEN latency ELSE 0 END) AS DOUBLE) * 100 / CAST(sum(latency) AS DOUBLE), 2)
     AS gsys_pct FROM x GROUP BY isa, reason""")
 def exit_stats(spark, sf):
-    return sm.exit_stats(exits(spark, sf, "_tid"), kernel_start=5000, than=DAY, hlt={1: 1})
+    return sm.exit_stats(exits(spark, sf, "_tid"), kernel_start=5000, than=DAY, hlt={1: 1}, wide=None)
 
 
 @query("span_breakdown", MOVES + """

@@ -119,6 +119,12 @@ def test_call_delay_beyond_bigint(make):
     assert near.first()["total"] == BIG and dict(near.dtypes)["total"] == "bigint"
 
 
+def test_exit_stats_beyond_bigint(spark):
+    spans = spark.createDataFrame([(0, 1, 9, BIG)] * 3 + [(0, 1, 1, BIG)], "isa int, reason int, guest_ip bigint, latency bigint")
+    row = sm.exit_stats(spans, kernel_start=5, than=7, wide=None).first()
+    assert (row["calls"], row["total"], row["avg"], row["gsys_pct"], row["than"]) == (4, 4 * BIG, BIG, 75.0, 4)
+
+
 def test_exit_spans(spark, make):
     events = random_events(5, 400, "xy", 3)
     open_, want = {}, []
