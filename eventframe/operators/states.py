@@ -85,8 +85,8 @@ def spent(moves: Timeline, sleep_only: bool = False) -> DataFrame:
 
 
 def state_stats(durations: DataFrame, by: Sequence[str] = (), than: int | None = None,
-                exact: bool = True) -> DataFrame:
-    return distribution(durations, ["state", *by], "duration", LATENCY_QUANTILES, than, exact)
+                exact: bool = True, wide: bool | None = False) -> DataFrame:
+    return distribution(durations, ["state", *by], "duration", LATENCY_QUANTILES, than, exact, wide)
 
 
 def state_outliers(durations: DataFrame, than: int) -> DataFrame:

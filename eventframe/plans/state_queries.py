@@ -41,7 +41,7 @@ def task_state(spark, sf):
 
 @query("task_state_stats", MOVES + f" SELECT state, {STATS.replace('latency', 'duration')} FROM states GROUP BY state")
 def task_state_stats(spark, sf):
-    return sm.state_stats(sm.task_states(moves(spark, sf)))
+    return sm.state_stats(sm.task_states(moves(spark, sf)), wide=None)
 
 
 @query("task_state_sd", MOVES + """

@@ -119,6 +119,12 @@ def test_call_delay_beyond_bigint(make):
     assert near.first()["total"] == BIG and dict(near.dtypes)["total"] == "bigint"
 
 
+def test_state_stats_beyond_bigint(spark):
+    durations = spark.createDataFrame([("S", BIG)] * 3 + [("R", 5)], "state string, duration bigint")
+    assert rows_of(sm.state_stats(durations, wide=None), "state", "total", "p99") == [("R", 5, 5), ("S", 3 * BIG, BIG)]
+    assert dict(sm.state_stats(durations.where("state = 'R'"), wide=None).dtypes)["total"] == "bigint"
+
+
 def test_exit_stats_beyond_bigint(spark):
     spans = spark.createDataFrame([(0, 1, 9, BIG)] * 3 + [(0, 1, 1, BIG)], "isa int, reason int, guest_ip bigint, latency bigint")
     row = sm.exit_stats(spans, kernel_start=5, than=7, wide=None).first()
