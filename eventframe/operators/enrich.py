@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import as_column
 from .rangejoin import range_join
-from .timeline import last, position, timeline
+from .timeline import last, timeline
 
 SIGN = -(1 << 63)
 MOST = (1 << 63) - 1
@@ -42,9 +42,9 @@ def floor_lookup(df: DataFrame, addr: str, table: DataFrame, start: str = "start
                  columns: Sequence[str] = ("name",), by: Sequence[str] = ()) -> DataFrame:
     """For each address the table row with the largest ``start`` not above it (addresses are unsigned) and equal ``by``.
 
-    Distinct addresses are looked up once - there are as many as code locations, not as events - and joined back. The
-    table is indexed by pages of PAGE_BITS address bits: an address finds its predecessor in its own page by an equi-join, or
-    takes the one carried into the page, which is the same lookup among the pages one level up. No step orders more than
+    Distinct addresses are looked up once - there are as many as code locations, not as events - and joined back. Both sides
+    are dealt out by pages of PAGE_BITS address bits: an address takes the last table row before it in its page, in one ordered
+    pass, or the one carried into the page, which is the same lookup among the pages one level up. No step orders more than
     a page. Of table rows with the same start the largest counts. Null addresses and null ``by`` find nothing.
     """
     value = F.struct(F.col(start).alias("_start"), *columns)
@@ -62,12 +62,13 @@ def floor_lookup(df: DataFrame, addr: str, table: DataFrame, start: str = "start
 def _predecessors(wanted: DataFrame, entries: DataFrame, by: list[str], level: int, less: int) -> DataFrame:
     """``wanted`` (by, _k, distinct) with the _known of the largest entry _k not above ``_k - less``, or NULL."""
     page = F.shiftright("_k", PAGE_BITS) if level < LEVELS - 1 else F.lit(0)
-    rows = F.array_sort(F.collect_list(F.struct("_k", "_known")))
-    pages = entries.groupBy(*by, page.alias("_page")).agg(rows.alias("_rows")).select(
-        *by, "_page", "_rows", F.col("_rows._k").alias("_ks"))
     asked = wanted.withColumn("_page", page)
-    at = position("_ks", F.col("_k") - less, 1 << PAGE_BITS)
-    here = asked.join(pages, [*by, "_page"], "left").select(*by, "_k", "_page", F.get("_rows", at - 1)["_known"].alias("_known"))
+    # Of the same _k, the entry comes before the address that may take it, or after the one that may not.
+    rows = entries.select(*by, "_k", "_known", page.alias("_page"), F.lit(less).alias("_side")).unionByName(
+        asked.select(*by, "_k", "_page", F.lit(1 - less).alias("_side")), allowMissingColumns=True)
+    upto = Window.partitionBy(*by, "_page").orderBy("_k", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("_known", F.last("_known", ignorenulls=True).over(upto)).where(F.col("_side") == 1 - less)
+    here = here.select(*by, "_k", "_page", "_known")
     if level == LEVELS - 1:
         return here.select(*by, "_k", "_known")
     # The last entry of each page stands for it one level up.

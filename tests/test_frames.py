@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from eventframe.operators.enrich import floor_lookup
 from eventframe.operators.frames import KERNEL, KERNEL_DSO, SCRIPT, USER, frame_labels, stack_frames
 
 STACK = "id int, _pid bigint, _time bigint, seq bigint, stack array<bigint>"
@@ -83,3 +84,10 @@ def test_empty_tables_and_labels(spark):
     one = spark.createDataFrame([(1, 5, 1, 1, [7, KERNEL, HIGH + 16, HIGH - 1, USER, 3])], STACK)
     out = stack_frames(one, known, maps).select(frame_labels().alias("x")).first()["x"]
     assert out == ["0x7", "entry+0x10", "Unknown", "Unknown"]
+
+
+def test_floor_lookup_gathers_no_pages(spark):
+    table = spark.createDataFrame([(i * 10, f"s{i}") for i in range(50)], "start bigint, name string")
+    out = floor_lookup(spark.createDataFrame([(i,) for i in range(-3, 600, 7)], "addr bigint"), "addr", table)
+    assert {r["addr"]: r["name"] for r in out.collect()} == {a: f"s{min(a // 10, 49)}" if a >= 0 else "s49" for a in range(-3, 600, 7)}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
