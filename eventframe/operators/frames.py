@@ -10,13 +10,12 @@ symbols of the mapped object; a script frame is the id of a text such as ``name
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import all_of
 from ..shared import stored
-from .enrich import MOST, _distance, asof, floor_lookup
-from .rangejoin import range_join
+from .enrich import _distance, asof, floor_lookup
 
 # The markers of the contexts in a recorded stack, and the name of the kernel as an object.
 KERNEL = -128
@@ -27,6 +26,7 @@ UNKNOWN = "Unknown"
 
 FRAME = "array<struct<addr:bigint,symbol:string,offset:bigint,kernel:boolean,dso:string>>"
 NEVER = -(1 << 63)
+TOP = 15                # level of the largest blocks, of 16^15 addresses
 
 
 def stack_frames(df: DataFrame, symbols: DataFrame, maps: DataFrame, texts: DataFrame | None = None, stack: str = "stack",
@@ -42,7 +42,7 @@ def stack_frames(df: DataFrame, symbols: DataFrame, maps: DataFrame, texts: Data
     mapped object Unknown, the place in the file, Unknown. Before any marker only ``addr`` is known. Null and empty stacks have no frames.
 
     Mappings change seldom: an event takes the time of the last change in its process, and work is on distinct
-    (process, change, stack) from there on.
+    (process, change, stack) from there on; those get a number, so that frames do not carry their whole stack through the joins.
     """
     changes = maps.select(pid, at, F.col(at).alias("_change")).distinct()
     known = asof(df.where(F.size(stack) > 0), changes, [pid], ["_change"], at, at, max_rows=max_rows)
@@ -50,8 +50,9 @@ def stack_frames(df: DataFrame, symbols: DataFrame, maps: DataFrame, texts: Data
     keys = [pid, "_change", stack]
     placed = F.transform(stack, lambda a, i: F.struct(i.alias("pos"), a.alias("addr")))
     marks = F.filter(placed, lambda p: p["addr"].isin(KERNEL, USER, SCRIPT))
-    # The distinct stacks are used several times below; the table spares their scan over all events each time.
-    single = stored(known.select(*keys).distinct(), "stacks").withColumn("_marks", marks).select(*keys, "_marks", F.posexplode(stack).alias("_pos", "addr"))
+    # The distinct stacks are used several times below; the table spares their scan over all events each time and fixes their numbers.
+    kept = stored(known.select(*keys).distinct().withColumn("_id", F.monotonically_increasing_id()), "stacks")
+    single = kept.withColumn("_marks", marks).select("_id", pid, "_change", "_marks", F.posexplode(stack).alias("_pos", "addr"))
     before = F.filter("_marks", lambda m: m["pos"] < F.col("_pos"))
     single = single.where(~F.col("addr").isin(KERNEL, USER, SCRIPT) | F.col("addr").isNull())
     single = single.withColumn("_context", F.try_element_at(before, F.lit(-1))["addr"]).drop("_marks")
@@ -60,7 +61,7 @@ def stack_frames(df: DataFrame, symbols: DataFrame, maps: DataFrame, texts: Data
     if not user:
         single = single.where(F.col("_context").isNull() | (F.col("_context") == KERNEL))
 
-    mapped = stored(_mapped(single.where(F.col("_context") == USER).select(pid, "_change", "addr").distinct(), maps, pid, at), "mapped")
+    mapped = stored(_mapped(single.where(F.col("_context") == USER).select(pid, "_change", "addr").distinct(), maps, pid, at, max_rows), "mapped")
     single = single.join(mapped, all_of([F.col("_context") == USER, F.col(pid) == F.col("_mp"), F.col("_change") == F.col("_mc"),
                                          F.col("addr") == F.col("_ma")]), "left").drop("_mp", "_mc", "_ma")
     in_kernel = F.col("_context") == KERNEL
@@ -78,29 +79,50 @@ def stack_frames(df: DataFrame, symbols: DataFrame, maps: DataFrame, texts: Data
         found = found.join(said, (F.col("_context") == SCRIPT) & (F.col("addr") == F.col("_ta")), "left")
     else:
         found = found.withColumn("_text", F.lit(None).cast("string"))
-    rows = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", _frame().alias("f")))).alias("_f"))   # bounded by stack depth
-    rows = rows.select(F.col(pid).alias("_rp"), F.col("_change").alias("_rc"), F.col(stack).alias("_rs"), F.col("_f.f").alias("frames"))
+    rows = found.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_pos", _frame().alias("f")))).alias("_f"))   # bounded by stack depth
+    rows = kept.join(rows, "_id").select(F.col(pid).alias("_rp"), F.col("_change").alias("_rc"), F.col(stack).alias("_rs"), F.col("_f.f").alias("frames"))
     none = F.array().cast(FRAME)
     joined = known.join(rows, F.col(pid).eqNullSafe(F.col("_rp")) & (F.col("_change") == F.col("_rc")) & (F.col(stack) == F.col("_rs")), "left")
     empty = df.where(F.coalesce(F.size(stack), F.lit(0)) <= 0).withColumn("frames", none)
     return joined.select(*df.columns, F.coalesce("frames", none).alias("frames")).unionByName(empty)
 
 
-def _mapped(wanted: DataFrame, maps: DataFrame, pid: str, at: str) -> DataFrame:
+def _mapped(wanted: DataFrame, maps: DataFrame, pid: str, at: str, max_rows: int | None) -> DataFrame:
     """_mp, _mc, _ma: process, change and address, with _object and _place of the latest mapping that holds the address by then.
 
-    Versions of a mapping are found once for each (process, address); an interval of validity picks the one of a change.
+    A mapping is filed under the aligned blocks of 16^level addresses that make it up, at most 30 a level; an address lies in one block
+    of each level. In a block every mapping holds every address, so the latest one there is an as-of lookup, and the
+    latest of the levels counts: rows grow with the mappings and the addresses, not with the versions an address has had.
     """
-    spans = maps.select(F.col(pid).alias("_sp"), F.col(at).alias("_from"), F.col("seq").alias("_seq"), F.col("start").alias("_lo"),
-                        (F.col("end") - 1).alias("_hi"), F.col("dso").alias("_object"), F.col("place").alias("_at"))
-    points = wanted.select(F.col(pid).alias("_mp"), F.col("addr").alias("_ma")).distinct()
-    versions = range_join(points, spans, "_ma", "_lo", "_hi", [("_mp", "_sp")])
-    later = Window.partitionBy("_mp", "_ma").orderBy("_from", "_seq")
-    versions = versions.select("_mp", "_ma", "_from", "_object", (F.col("_at") + F.col("_ma") - F.col("_lo")).alias("_place"),
-                               F.coalesce(F.lead("_from").over(later), F.lit(MOST)).alias("_until")).where("_from < _until AND _object IS NOT NULL")
-    asked = wanted.select(F.col(pid).alias("_wp"), F.col("_change").alias("_mc"), F.col("addr").alias("_wa"))
-    match = (F.col("_wp") == F.col("_mp")) & (F.col("_wa") == F.col("_ma")) & (F.col("_mc") >= F.col("_from")) & (F.col("_mc") < F.col("_until"))
-    return asked.join(versions, match).select("_mp", "_mc", "_ma", "_object", "_place")
+    spans = maps.where(F.col(pid).isNotNull() & F.col(at).isNotNull() & (F.col("start") < F.col("end")))
+    level = F.sequence(F.lit(0), F.lit(TOP))
+    pieces = spans.select(F.col(pid).alias("_mp"), F.col(at).alias("_from"), F.col("seq"), F.struct(
+        F.col(at).alias("f"), F.col("seq").alias("s"), F.col("dso").alias("object"), F.col("start").alias("lo"), F.col("place").alias("place")).alias("_found"),
+        F.explode(F.flatten(F.transform(level, lambda k: _blocks(F.col("start"), F.col("end"), k)))).alias("_b")).select("*", "_b.*").drop("_b")
+    levels = sorted(r[0] for r in pieces.select("_level").distinct().collect())   # at most TOP + 1 values
+    probes = F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright("_ma", 4 * k).alias("_block")) for k in levels or [0]])
+    points = wanted.select(F.col(pid).alias("_mp"), F.col("_change").alias("_mc"), F.col("addr").alias("_ma"))
+    points = points.where("_mp IS NOT NULL AND _ma IS NOT NULL").withColumn("_b", F.explode(probes)).select(
+        "*", "_b.*", F.lit(0).cast("bigint").alias("seq")).drop("_b")
+    seen = asof(points, pieces, ["_mp", "_level", "_block"], ["_found"], "_mc", "_from", max_rows=max_rows).where("_found IS NOT NULL")
+    latest = seen.groupBy("_mp", "_mc", "_ma").agg(F.max("_found").alias("_found")).where("_found.object IS NOT NULL")
+    return latest.select("_mp", "_mc", "_ma", F.col("_found.object").alias("_object"),
+                         (F.col("_found.place") + F.col("_ma") - F.col("_found.lo")).alias("_place"))
+
+
+def _blocks(start: Column, end: Column, k: Column) -> Column:
+    """The blocks of 16^k addresses inside [start, end) that lie in no larger such block: (_level, _block)."""
+    def inside(j: Column) -> tuple[Column, Column]:
+        low, bits = F.call_function("shiftright", start, j * 4), j * 4
+        up = F.when(F.call_function("shiftleft", low, bits) == start, low).otherwise(low + 1)
+        return up, F.call_function("shiftright", end, bits) - 1
+
+    (lo, hi), (up_lo, up_hi) = inside(k), inside(F.least(k + 1, F.lit(TOP)))
+    parents = (k < TOP) & (up_lo <= up_hi)
+    none = F.array().cast("array<bigint>")
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    blocks = F.when(parents, F.concat(span(lo, up_lo * 16 - 1), span((up_hi + 1) * 16, hi))).otherwise(span(lo, hi))
+    return F.transform(blocks, lambda b: F.struct(k.alias("_level"), b.alias("_block")))
 
 
 def _frame() -> Column:

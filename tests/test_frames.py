@@ -7,7 +7,7 @@ import random
 import pytest
 
 from eventframe.operators.enrich import floor_lookup
-from eventframe.operators.frames import KERNEL, KERNEL_DSO, SCRIPT, USER, frame_labels, stack_frames
+from eventframe.operators.frames import KERNEL, KERNEL_DSO, SCRIPT, USER, _mapped, frame_labels, stack_frames
 
 STACK = "id int, _pid bigint, _time bigint, seq bigint, stack array<bigint>"
 MAPS = "_pid bigint, _time bigint, seq bigint, start bigint, end bigint, dso string, place bigint"
@@ -86,6 +86,23 @@ def test_empty_tables_and_labels(spark):
     assert out == ["0x7", "entry+0x10", "Unknown", "Unknown"]
 
 
+def test_mapped_by_blocks(spark):
+    rng = random.Random(5)
+    edge = 1 << 62
+    spans = [(rng.randrange(2), rng.randrange(40), i, s := rng.choice([-edge, -70, 0, 4096, edge]) + rng.randrange(300),
+              s + rng.choice([0, 1, 17, 256, 5000, edge - 400]), rng.choice(["a", "b", None]), i) for i in range(150)]
+    asked = sorted({(rng.randrange(3), rng.randrange(40), rng.choice(spans)[rng.choice([3, 4])] + rng.randrange(-2, 3)) for _ in range(200)})
+    want = []
+    for p, t, a in asked:
+        best = max((m for m in spans if m[0] == p and m[1] <= t and m[3] <= a < m[4]), key=lambda m: (m[1], m[2]), default=None)
+        if best and best[5]:
+            want.append((p, t, a, best[5], best[6] + a - best[3]))
+    wanted = spark.createDataFrame(asked, "_pid bigint, _change bigint, addr bigint")
+    for max_rows in (None, 30):
+        out = _mapped(wanted, spark.createDataFrame(spans, MAPS), "_pid", "_time", max_rows)
+        assert sorted(map(tuple, out.collect())) == want
+
+
 def test_floor_lookup_gathers_no_pages(spark):
     table = spark.createDataFrame([(i * 10, f"s{i}") for i in range(50)], "start bigint, name string")
     out = floor_lookup(spark.createDataFrame([(i,) for i in range(-3, 600, 7)], "addr bigint"), "addr", table)
