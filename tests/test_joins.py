@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eventframe.operators import context as cx
 from eventframe.operators import pairs as pr
+from eventframe.operators import rangejoin
 from eventframe.operators.enrich import asof_name, floor_lookup, in_symbol, symbolize
 from eventframe.operators.rangejoin import overlap_join, range_join
 
@@ -48,6 +49,23 @@ def test_overlap_join(spark):
     assert rows_of(overlap_join(da, db, ("a0", "a1"), ("b0", "b1")), "a", "b") == want
 
 
+@pytest.mark.parametrize("rows", [10, 1_000])
+def test_overlap_join_of_two_large_tables_broadcasts_neither(spark, monkeypatch, rows):
+    monkeypatch.setattr(rangejoin, "BROADCAST_ROWS", rows)
+    rng = random.Random(3)
+    far = 1 << 62
+    make = lambda: [(i, rng.randrange(2), s := rng.choice([-far, -5, 0, far - 900]) + rng.randrange(700),
+                     s + rng.choice([0, 1, 3, 4, 15, 16, 17, 200, far - 1, far, far + 1])) for i in range(60)]
+    a, b = make(), make()
+    a, b = [x for x in a if x[3] < 2 * far], [x for x in b if x[3] < 2 * far]
+    want = sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < y[3] and y[2] < x[3])
+    da = spark.createDataFrame(a, "a int, ak int, a0 bigint, a1 bigint")
+    db = spark.createDataFrame(b, "b int, bk int, b0 bigint, b1 bigint")
+    out = overlap_join(da, db, ("a0", "a1"), ("b0", "b1"), [("ak", "bk")])
+    assert rows_of(out, "a", "b") == want
+    assert ("strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString()) == (rows == 10)
+
+
 @pytest.mark.parametrize("max_rows", [None, 20])
 def test_symbols(spark, max_rows):
     starts = [16, 100, 100 + (1 << 63) - (1 << 64), -1000]
