@@ -12,11 +12,14 @@ one round of array operations. Longer pieces have a tree of their own.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import sys
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,10 @@ class Vocabulary:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.token = {i: t for t, i in self.rank.items()}
         self.width = max(self.token) + 1
+        self.whole: dict[str, bytes] = {}       # ids, as int32, of pieces that are tokens
+        for t, i in self.rank.items():
+            with suppress(UnicodeDecodeError):
+                self.whole[t.decode("utf-8")] = i.to_bytes(4, sys.byteorder)
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         if self.width > 1 << 22:
             raise ValueError("ranks must fit 22 bits")
@@ -47,6 +54,9 @@ class Vocabulary:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
         self.pairs = pairs
+        # The pairs of single bytes, which every position of a piece begins with, are looked up at once.
+        two = self.byte.astype(np.int64)[:, None] * self.width + self.byte
+        self.byte_pairs = np.array([pairs.get(k, -1) for k in two.ravel().tolist()], np.int32)
         self.pieces, self.chunks = Memo(), Memo()
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -114,8 +124,6 @@ class Vocabulary:
         bits = size.bit_length() - 1
         columns = np.arange(n)
         inside = columns < lengths[:, None]
-        tokens = np.full((rows, n + 1), -1, np.int32)
-        tokens[:, :n][inside] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
         nexts = np.broadcast_to(np.arange(1, n + 1, dtype=np.int32), (rows, n)).copy()
         befores = np.broadcast_to(np.arange(-1, n - 1, dtype=np.int32), (rows, n)).copy()
         tree = np.full((rows, 2 * size), NONE, np.int32)
@@ -126,8 +134,12 @@ class Vocabulary:
             r = np.where(second < 0, -1, self.pair_rank(tokens[row, at], np.maximum(second, 0)))
             return np.where(r < 0, NONE, (r << bits) | at)
 
-        row, at = np.nonzero(inside)
-        tree[row, size + at] = leaves(row, at)
+        data = np.zeros((rows, n + 1), np.int32)
+        data[:, :n][inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        tokens = np.full((rows, n + 1), -1, np.int32)
+        tokens[:, :n][inside] = self.byte[data[:, :n][inside]]
+        r = self.byte_pairs[(data[:, :n] << 8) | data[:, 1:]]
+        tree[:, size:size + n] = np.where((r < 0) | (tokens[:, 1:] < 0) | ~inside, NONE, (r << bits) | columns.astype(np.int32))
         level = size
         while level > 1:
             level >>= 1
@@ -160,40 +172,47 @@ class Vocabulary:
 
     def encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids, as int32, of distinct pieces."""
-        out: dict[str, bytes] = {}
-        groups: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces:
-            raw = piece.encode("utf-8")
-            if (r := self.rank.get(raw)) is not None:
-                out[piece] = r.to_bytes(4, sys.byteorder)
-            elif len(raw) > BATCHED_BYTES:
-                out[piece] = np.array(self.encode_long(raw), np.int32).tobytes()
-            else:
-                groups.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
+        out = {p: self.whole[p] for p in self.whole.keys() & pieces}
+        groups: dict[int, list[str]] = {}
+        for piece in pieces.difference(out):
+            groups.setdefault((len(piece.encode("utf-8")) - 1).bit_length(), []).append(piece)
         for bits, group in groups.items():
+            if 1 << bits > BATCHED_BYTES:
+                out.update((p, np.array(self.encode_long(p.encode("utf-8")), np.int32).tobytes()) for p in group)
+                continue
             step = max(1, 65_536 >> bits)       # the arrays of one call stay in the processor's cache
             for k in range(0, len(group), step):
                 part = group[k:k + step]
-                out.update(zip((p for p, _ in part), self.encode_batch([raw for _, raw in part]), strict=True))
+                out.update(zip(part, self.encode_batch([p.encode("utf-8") for p in part]), strict=True))
         return out
 
     def encode_texts(self, texts: list[str], pattern: regex.Pattern) -> list[bytes]:
+        """Ids, as int32, of whole texts. They leave no cyclic garbage, so its collector rests: it would walk all strings held again and again."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_texts(texts, pattern)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_texts(self, texts: list[str], pattern: regex.Pattern) -> list[bytes]:
         """Ids, as int32, of whole texts.
 
         A space between two characters that are not white space always starts a match, so what lies between two such
         spaces is encoded once per distinct string. Texts with white space next to a space are split as a whole.
         """
         chunks = [t.split(" ") for t in texts]
-        known = self.chunks.known({c for own in chunks for c in own[1:]})
-        new = {c: pattern.findall(" " + c) for c in known.missing if c and not c[0].isspace() and not c[-1].isspace()}
-        whole = [i for i, own in enumerate(chunks) if own[0][-1:].isspace() and len(own) > 1 or not known.missing.isdisjoint(own[1:])
-                 and any(c in known.missing and c not in new for c in own[1:])]
+        known = self.chunks.known(set(chain.from_iterable(own[1:] for own in chunks)))
+        new = {c: pattern.findall(" " + c) for c in known.missing if c and c == c.strip()}
+        crossed = known.missing - new.keys()
+        whole = [i for i, own in enumerate(chunks) if own[0][-1:].isspace() and len(own) > 1 or not crossed.isdisjoint(own[1:])]
         split = {i: pattern.findall(texts[i]) for i in whole}
         heads = {i: pattern.findall(own[0]) for i, own in enumerate(chunks) if i not in split}
-        pieces = self.pieces.known({p for found in (new, split, heads) for own in found.values() for p in own})
+        pieces = self.pieces.known(set(chain.from_iterable(chain(new.values(), split.values(), heads.values()))))
         pieces.add(self.encode_pieces(pieces.missing))
         of = pieces.found.__getitem__
-        known.add({c: b"".join(map(of, own)) for c, own in new.items()})
+        known.add({c: of(own[0]) if len(own) == 1 else b"".join(map(of, own)) for c, own in new.items()})
         get = known.found.__getitem__
         return [b"".join(map(of, split[i])) if i in split else b"".join((*map(of, heads[i]), *map(get, own[1:])))
                 for i, own in enumerate(chunks)]
@@ -209,7 +228,10 @@ class Known:
 
     def add(self, new: dict[str, bytes]) -> None:
         self.found.update(new)
-        self.memo.young.update((k, v) for k, v in new.items() if len(k) <= MEMO_CHARS)
+        self.memo.young.update(new)
+        for k in new:
+            if len(k) > MEMO_CHARS:
+                del self.memo.young[k]
 
 
 class Memo:
@@ -222,15 +244,12 @@ class Memo:
     def known(self, strings: set[str]) -> Known:
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
-        found = {}
         young, old = self.young, self.old
-        for s in strings:
-            v = young.get(s)
-            if v is None and (v := old.get(s)) is not None:
-                young[s] = v
-            if v is not None:
-                found[s] = v
-        return Known(self, found, strings - found.keys())
+        rest = strings.difference(young)
+        missing = rest.difference(old)
+        young.update((s, old[s]) for s in rest - missing)
+        hit = strings - missing
+        return Known(self, dict(zip(hit, map(young.__getitem__, hit), strict=True)), missing)
 
 
 @lru_cache(maxsize=2)
