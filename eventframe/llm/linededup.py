@@ -1,42 +1,32 @@
-"""Line dedup by winnowing.
+"""Line dedup by winnowing, in column expressions.
 
-Words, grams and window minima are hashed, windows compared and texts cut in Arrow batches; Spark joins, groups and aggregates.
+A text is the sequence of the words of its lines. A word is an anchor if its hash is in the lowest eighth. Every window of RUN
+words is represented by one of its first RUN - GRAM + 1 words: the first anchor, or the last of them if none is one. The
+consecutive windows that share a representative are a stretch; its fingerprint is the hash of the GRAM words from the representative
+on. All this depends on the words of the window only, so a passage of RUN words or more has the same representatives wherever it stands:
+no repeated passage goes unseen, in whatever script, and whatever lines it is cut into.
 
-A text is the sequence of the words of its lines. Every GRAM words in a row have a hash; of the hashes in each window of RUN words the
-smallest is selected, so every passage of RUN words or more holds selected fingerprints, and the same ones wherever it
-stands: no repeated passage goes unseen, in whatever script, and whatever lines it is cut into. Positions are joined by fingerprints
-that occur again. A fingerprint is extended both ways to all windows of RUN words that selected it; two grams, at the window's
-beginning and end, stand for its words. The windows are compared with those of the fingerprint's first place; those that differ
-there, as the first place may go on differently, are compared among each other. Windows that occurred at an earlier place are deleted,
-together they are the repeated runs, word by word. The order of places is (doc_id, hash of the text, word). A line is not compared with itself.
+Stretches are compared as a whole first: one whose words are those of a stretch of an earlier document is repeated altogether.
+Where different stretches have one fingerprint, and where a document repeats a stretch of its own, the windows are compared one by one.
+Windows that occurred at an earlier place are deleted, together they are the repeated runs, word by word. The order of places is (doc_id, hash of
+the text, word). A line is not compared with itself.
 
-Words are compared by 64-bit hashes; grams of equal hash are told apart by further 32 bits.
+Words, stretches and windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from . import words
 from .common import stored
 
 RUN = 50        # words of the shortest run that is deleted
-GRAM = 26       # words of a fingerprint; RUN - GRAM + 1 of them are compared at a time
-SPLIT = 1000    # places of a fingerprint in one part, about
-SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200b))) + "    　"
-_WORD = np.ones(256, bool)
-_WORD[[ord(c) for c in SPACES if ord(c) < 128]] = False
-_WIDE = {n: np.array([int.from_bytes(c.encode(), "big") for c in SPACES if len(c.encode()) == n]) for n in (2, 3)}     # spaces of n bytes
-_LEAD = np.zeros(256, bool)
-_LEAD[[c.encode()[0] for c in SPACES if ord(c) > 127]] = True
-_VALUE = np.arange(1, 257, dtype=np.uint64)
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+GRAM = 26       # words of a fingerprint; RUN - GRAM + 1 words can represent a window
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+# The same as a pattern; one range tells that a letter is none of the wide spaces.
+WHITE = r"[\x09-\x0d\x1c-\x20\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+ANCHORS = -(3 << 61)        # hashes below are anchors, one in eight
 DOC = ["id", "th"]
 
 
@@ -44,164 +34,93 @@ def _doc(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
-def _inside(data: np.ndarray) -> np.ndarray:
-    """Whether each byte of UTF-8 belongs to a word."""
-    out = _WORD[data]
-    lead = np.flatnonzero(_LEAD[data[:-2]]) if len(data) > 2 else np.zeros(0, np.int64)
-    code = (data[lead].astype(np.int64) << 16) | (data[lead + 1].astype(np.int64) << 8) | data[lead + 2]
-    for size, known in ((2, np.isin(code >> 8, _WIDE[2])), (3, np.isin(code, _WIDE[3]))):
-        for k in range(size):
-            out[lead[known] + k] = False
-    if len(data) > 1 and int(data[-2]) << 8 | int(data[-1]) in _WIDE[2]:
-        out[-2:] = False
-    return out
-
-
-def _spread(values: np.ndarray, width: int, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Element i combines ``values`` i to i + width - 1, by doubling (so it may take a value in twice)."""
-    span = 1
-    while span < width:
-        by = min(span, width - span)
-        values = combine(values[:max(len(values) - by, 0)], values[by:])
-        span += by
-    return values
-
-
-def _selected(data: np.ndarray, bounds: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of some texts, all windows of ``run`` words in order: text, place, selected gram, whether it selects anew, hash, line."""
-    begin, end = words.word_bounds(_inside(data), bounds[:-1])
-    h = words.hash_words(data, begin, end, _VALUE)
-    edges = np.searchsorted(begin, bounds)
-    if len(h) < run:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, bool, np.int32, np.int32))
-    g = _spread(h, gram, lambda a, b: words.mix(a * _STEP + b))
-    m = _spread(g, run - gram + 1, np.minimum)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(edges))[:len(m)]
-    s = np.flatnonzero(np.arange(len(m)) + run <= edges[owner + 1])
-    owner = owner[s]
-    at = s - edges[owner]
-    before = np.maximum(s - 1, 0)
-    # Another fingerprint is selected where the value changes, and where the leftmost gram of this value leaves the window.
-    anew = (at == 0) | (m[s] != m[before]) | (g[before] == m[before])
-    window = (words.mix(g[s] * _STEP + g[s + (run - gram)]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, begin[s]) - np.searchsorted(breaks, bounds[owner])
-    return owner, at, m[s], anew, window, line.astype(np.int32)
-
-
-def fingerprints(documents: DataFrame, run: int = RUN, gram: int = GRAM, windows: bool = True) -> DataFrame:
-    """id, th, g, at, w, line: the selected fingerprints, the first window of ``run`` words that selected each, and of all
-    consecutive windows that did their hashes and the numbers of the lines they begin on. Without ``windows``: g only."""
-    rows = _doc(documents)
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            for data, bounds in words._chunks(batch.column("text")):
-                owner, at, g, anew, window, line = _selected(data, bounds, run, gram)
-                new = np.flatnonzero(anew)
-                prints = pa.array(g[new].view(np.int64))
-                if not windows:
-                    yield pa.RecordBatch.from_arrays([prints], ["g"])
-                else:
-                    text = pa.array(owner[new] + done)
-                    lists = [pa.ListArray.from_arrays(pa.array(np.append(new, len(g)), pa.int32()), pa.array(x)) for x in (window, line)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(text), batch.column("th").take(text), prints, pa.array(at[new], pa.int32()), *lists],
-                        ["id", "th", "g", "at", "w", "line"])
-                done += len(bounds) - 1
-
-    return rows.mapInArrow(words.tidy(scan), f"id {kind}, th long, g long, at int, w array<int>, line array<int>" if windows else "g long")
-
-
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The sizes of lists, and their values one after the other."""
-    offsets = lists.offsets.to_numpy()
-    return np.diff(offsets), lists.values.to_numpy()[offsets[0]:offsets[-1]]
-
-
-def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
-    ends = np.cumsum(np.bincount(row, minlength=rows))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values, pa.int32()))
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For places beside the first one of their fingerprint: s, the windows that the first place has too, on another line if in the
-    same document; and the hashes, places and lines of those it has not (w, rest, line)."""
-    for batch in batches:
-        rows = batch.num_rows
-        size, w = _flat(batch.column("w"))
-        line = _flat(batch.column("line"))[1]
-        first_size, first_w = _flat(batch.column("fw"))
-        first_line = _flat(batch.column("fline"))[1]
-        row = np.repeat(np.arange(rows), size)
-        key = (row << 32) | w.view(np.uint32)
-        known = (np.repeat(np.arange(rows), first_size) << 32) | first_w.view(np.uint32)
-        order = np.argsort(known, kind="stable")
-        place = np.minimum(np.searchsorted(known[order], key), max(len(order) - 1, 0))
-        hit = known[order][place] == key if len(order) else np.zeros(len(key), bool)
-        there = first_line[order][place] if len(order) else line
-        at = batch.column("at").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        own = batch.column("own").to_numpy(zero_copy_only=False)[row]
-        met, rest = np.flatnonzero(hit & (~own | (there != line))), np.flatnonzero(~hit)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("g", "id", "th", "own")), _lists(at[met], row[met], rows), *(_lists(x[rest], row[rest], rows) for x in (w, at, line))],
-            ["g", "id", "th", "own", "s", "w", "rest", "line"])
+def _words(text: str | Column) -> Column:
+    """The words of a text; one empty word if it has none."""
+    return F.split(F.trim(text, F.lit(SPACES)), WHITE + "+")
+
+
+def stretches(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """id, th, at, n, g, z: of each stretch the first window, the number of windows, the fingerprint and the hash of all words."""
+    wide = run - gram + 1
+    rows = _doc(documents).select(*DOC, F.transform(_words("text"), lambda w: F.xxhash64(w)).alias("h"))
+    rows = rows.select(*DOC, "h", F.transform("h", lambda x: x < ANCHORS).alias("a"))
+    last = F.size("h") - run        # the last window
+    # Outer, as otherwise the optimizer derives a filter that splits and hashes each text once more.
+    rows = rows.select(*DOC, "h", "a", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+    begins = (F.col("at") == 0) | F.get("a", F.col("at") - 1) | ~F.array_contains(F.slice("a", F.col("at") + 1, wide - 1), True)
+    first = F.array_position(F.slice("a", F.col("at") + 1, wide), True).cast("int")
+    rows = rows.where(F.col("at").isNotNull() & begins)
+    n = F.when(first == 0, 1).otherwise(F.least(first, last - F.col("at") + 1))
+    gram_at = F.col("at") + F.when(first == 0, wide).otherwise(first)
+    return rows.select(*DOC, "at", n.alias("n"), F.xxhash64(F.slice("h", gram_at, gram)).alias("g"),
+                       F.xxhash64(F.slice("h", F.col("at") + 1, n + (run - 1))).alias("z"))
+
+
+def _windows(documents: DataFrame, marks: DataFrame, run: int) -> DataFrame:
+    """id, th, at, line, w: the windows of the marked stretches with the numbers of the lines they begin on and their hashes."""
+    wanted = marks.groupBy(*DOC).agg(F.collect_set(F.struct("at", "n")).alias("marks"))
+    texts = _doc(documents)
+    texts = texts.join(wanted.hint("merge"), texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])).select(texts["id"], texts["th"], "text", "marks")
+    lines = texts.select(*DOC, "marks", F.filter(F.transform(F.split("text", "\n"), _words), lambda x: x[0] != "").alias("lines"))
+    rows = lines.select(*DOC, "marks", F.transform(F.flatten("lines"), lambda w: F.xxhash64(w)).alias("h"),
+                        F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x)))).alias("line"))
+    rows = rows.select(*DOC, "h", "line", F.explode_outer("marks").alias("m"))
+    rows = rows.select(*DOC, "h", "line", F.explode_outer(F.sequence(F.col("m.at"), F.col("m.at") + F.col("m.n") - 1)).alias("at"))
+    return rows.select(*DOC, "at", F.get("line", F.col("at")).alias("line"), F.xxhash64(F.slice("h", F.col("at") + 1, run)).alias("w"))
 
 
 def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """id, th, runs: for documents that repeat something, the first word and the end of every run to delete, in order.
-
-    The places of a fingerprint meet its first place in parts of about SPLIT rows; the first place is repeated for each part.
-    """
+    """id, th, runs: for documents that repeat something, the first word and the end of every run to delete, in order."""
     # Repeated fingerprints, first places and runs grow with the documents: no broadcast, and the same plan at every size.
-    again = stored(fingerprints(documents, run, gram, windows=False).groupBy("g").agg(F.count("*").alias("places")).where("places > 1"), "fingerprints")
-    parts = F.ceil(F.col("places") / SPLIT).cast("int")
-    places = stored(fingerprints(documents, run, gram).join(again.hint("merge"), "g").select(*DOC, "g", "at", "w", "line", parts.alias("parts")), "places")
-    # The first place of each: a partial aggregation, so that a fingerprint of very many documents is one row a task.
-    first = stored(places.groupBy("g").agg(F.min(F.struct(*DOC, "at", "w", "line", "parts")).alias("f")), "first-places")
-    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("f.parts") - 1)))
+    again = stored(stretches(documents, run, gram).groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g"), "fingerprints")
+    places = stored(stretches(documents, run, gram).join(again.hint("merge"), "g"), "places")
+    # The first place of each stretch: a partial aggregation, so that a stretch of very many documents is one row a task.
+    first = stored(places.groupBy("z", "g").agg(F.min(F.struct(*DOC, "at", "n")).alias("f")), "first-places")
     own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", "at"), F.col("parts")).cast("int")).otherwise(0)
-    placed = places.withColumn("part", part).join(first.hint("merge"), ["g", "part"]).where(~F.struct(*DOC, "at").eqNullSafe(F.struct("f.id", "f.th", "f.at")))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    known = stored(placed.select("g", *DOC, "at", own.alias("own"), "w", "line", F.col("f.w").alias("fw"), F.col("f.line").alias("fline")).mapInArrow(
-        words.tidy(_compare), f"g long, id {kind}, th long, own boolean, s array<int>, w array<int>, rest array<int>, line array<int>"), "compared")
-    rest = known.where(F.size("w") > 0).select("g", *DOC, "own", F.explode(F.arrays_zip("w", "rest", "line")).alias("x"))
-    rest = rest.select("g", "x.w", *DOC, F.col("x.rest").alias("at"), "x.line")
-    heads = rest.groupBy("g", "w").agg(F.min(F.struct(*DOC, "at", "line")).alias("f"), F.count("*").alias("places")).where("places > 1").drop("places")
+    later = places.join(first.select("z", "f").hint("merge"), "z").where(~F.struct(*DOC, "at").eqNullSafe(F.struct("f.id", "f.th", "f.at")))
+    later = stored(later.select(*DOC, "at", "n", own.alias("own"), F.col("f.at").alias("first")), "later-places")
+    unlike = first.groupBy("g").agg(F.count("*").alias("stretches")).where("stretches > 1").select("g")
+    marks = first.join(unlike.hint("merge"), "g").select("f.*")
+    selves = later.where("own")
+    marks = marks.unionByName(selves.select(*DOC, "at", "n")).unionByName(selves.select(*DOC, F.col("first").alias("at"), "n"))
+    windows = stored(_windows(documents, marks, run), "windows")
+    heads = windows.groupBy("w").agg(F.min(F.struct(*DOC, "at", "line")).alias("f"), F.count("*").alias("places")).where("places > 1").drop("places")
     same_line = own & (F.col("line") == F.col("f.line"))        # the first place itself is on its own line
-    others = rest.join(stored(heads, "first-windows"), ["g", "w"]).where(~same_line).select(*DOC, F.array("at").alias("s"))
-    found = known.select(*DOC, "s").where(F.size("s") > 0).unionByName(others).groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    others = windows.join(heads.hint("merge"), "w").where(~same_line).select(*DOC, "at", F.lit(1).alias("n"))
+    found = later.where("NOT own").select(*DOC, "at", "n").unionByName(others)
+    # Runs of windows: the end of what was found before, in the order of the places, tells where a run begins.
+    found = found.groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))).alias("s"))
     begins = F.filter("s", lambda x, i: (i == 0) | (x > F.get("s", i - 1) + run))
     ends = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get("s", i + 1) > x + run))
     return found.select(*DOC, F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), (b + run).alias("end"))).alias("runs"))
 
 
-def _cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
-    """The text without the words of the runs. A word goes with the white space behind it, but a line break behind a run stays."""
-    edges = np.diff(_inside(np.frombuffer(text, np.uint8)).astype(np.int8), prepend=0, append=0)
-    begin, stop = np.append(np.flatnonzero(edges == 1), len(text)), np.flatnonzero(edges == -1)
-    kept, at = [], 0
-    for first, end in runs:
-        if first > at:
-            body, gap = text[begin[at]:stop[first - 1]], text[stop[first - 1]:begin[first]]
-            broken = b"\n" in text[stop[end - 1]:begin[end]] and b"\n" not in gap
-            kept.append(body if end >= len(stop) else body + (b"\n" if broken else gap))
-        at = end
-    kept.append(text[begin[at]:])
-    left = b"".join(kept)
-    return text[:begin[0]] + left if left else left
+def _left_over(text: str, runs: str) -> Column:
+    """The text without the words of its runs; null if it has none. A word goes with the white space behind it, but a line break behind a run stays."""
+    body = F.ltrim(text, F.lit(SPACES))
+    # Words, each with the white space behind it.
+    tokens = F.split(body, f"(?<={WHITE})(?=[^{WHITE[1:]})")
+
+    def kept(tokens: Column) -> Column:
+        n = F.size(tokens)
 
+        def part(i: Column) -> Column:
+            """What stays before run i; after the last run, the rest."""
+            at = F.when(i == 0, 0).otherwise(F.get(F.transform(runs, lambda r: r["end"]), i - 1))
+            run = F.get(runs, i)
+            last = F.get(tokens, run["first"] - 1)
+            word = F.rtrim(last, F.lit(SPACES))
+            gap = F.substring(last, F.length(word) + 1, F.length(last))
+            gap = F.when(F.get(tokens, run["end"] - 1).contains("\n") & ~gap.contains("\n"), "\n").otherwise(gap)
+            before = F.concat(F.array_join(F.slice(tokens, at + 1, run["first"] - at - 1), ""), word, F.when(run["end"] >= n, "").otherwise(gap))
+            return F.when(i == F.size(runs), F.array_join(F.slice(tokens, at + 1, F.greatest(n - at, F.lit(0))), "")).when(run["first"] > at, before).otherwise("")
 
-@F.arrow_udf(StringType())
-def _left_over(text: pa.Array, runs: pa.Array) -> pa.Array:
-    """The texts without their runs; null where a text has none to delete."""
-    def one(t: pa.Scalar, r: pa.Scalar) -> str | None:
-        return _cut(t.as_py().encode(), [(x["first"], x["end"]) for x in r.as_py()]).decode() if r.is_valid else None
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs)), part), "")
 
-    return pa.array(map(one, text, runs), pa.string())
+    # A transform over one element computes the tokens once.
+    left = F.get(F.transform(F.array(tokens), kept), 0)
+    lead = F.substring(text, F.lit(1), F.length(text) - F.length(body))
+    return F.when(F.col(runs).isNotNull(), F.get(F.transform(F.array(left), lambda x: F.when(x == "", "").otherwise(F.concat(lead, x))), 0))
 
 
 def _lines(text: str) -> Column:
@@ -219,7 +138,7 @@ def without_repeated_lines(documents: DataFrame, run: int = RUN, gram: int = GRA
     runs = stored(repeated_runs(documents, run, gram), "runs").select(F.col("id").alias("_llm_id"), F.col("th").alias("_llm_th"), F.col("runs").alias("_llm_runs"))
     rows = documents.withColumn("_llm_th0", F.xxhash64("text"))
     rows = rows.join(runs.hint("merge"), rows["doc_id"].eqNullSafe(runs["_llm_id"]) & (rows["_llm_th0"] == runs["_llm_th"]), "left")
-    rows = rows.withColumn("_llm_cut", _left_over(F.when(F.col("_llm_runs").isNotNull(), F.col("text")), "_llm_runs"))
+    rows = rows.withColumn("_llm_cut", _left_over("text", "_llm_runs"))
     lines = F.coalesce(_lines("text"), F.lit(0))
     left = F.when(F.col("_llm_cut").isNull(), lines).when(F.col("_llm_cut") == "", 0).otherwise(_lines("_llm_cut"))
     text = F.coalesce("_llm_cut", "text").alias("text")

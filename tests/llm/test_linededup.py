@@ -72,3 +72,25 @@ def test_white_space_around_runs(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["_llm_deleted"]) for r in linededup.without_repeated_lines(df).collect()}
     assert got == {0: (run, 0), 1: ("a b c", 0), 2: ("d e\nf g", 0), 3: ("h\ni", 1), 4: ("j", 2), 5: (" k", 2), 6: ("", 2), 7: ("l", 1)}
+
+
+def test_column_expressions_only(spark, capsys):
+    """No step of the job runs Python on the executors."""
+    run = " ".join(f"r{i}" for i in range(60))
+    df = spark.createDataFrame([(0, run), (1, f"a {run}"), (2, None)], "doc_id long, text string")
+    linededup.without_repeated_lines(df).explain()
+    linededup.stretches(df).explain()
+    plans = capsys.readouterr().out
+    assert "Generate" in plans and not any(x in plans for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_all_kinds_of_white_space(spark):
+    """Every white space that str.split knows parts words, also before and behind a text; other letters near them do not."""
+    words = [f"r{i}\u200b" for i in range(60)]
+    spaces = linededup.SPACES
+    laid = "".join(w + spaces[i % len(spaces)] for i, w in enumerate(words))
+    texts = {0: " ".join(words), 1: f"\u2003 {laid}", 2: f"\u3000\x1ca \u1680{laid}b\u2028", 3: f"{laid}\x85", 4: " \u2009 ", 5: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(df).collect()}
+    assert {c for c in map(chr, range(0x3100)) if c.isspace()} == set(spaces)
+    assert got == {0: texts[0], 1: "", 2: "\u3000\x1ca \u1680b\u2028", 3: "", 4: texts[4], 5: ""}
