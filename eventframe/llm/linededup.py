@@ -16,7 +16,7 @@ Words, stretches and windows are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -24,8 +24,10 @@ from .common import stored
 RUN = 50        # words of the shortest run that is deleted
 GRAM = 26       # words of a fingerprint; RUN - GRAM + 1 words can represent a window
 SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
-# The same as a pattern; one range tells that a letter is none of the wide spaces.
-WHITE = r"[\x09-\x0d\x1c-\x20\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+# The white space that is neither a space nor a line break, and all of it, as patterns: single letters are looked up in one table,
+# one range tells that a letter is none of the wide spaces.
+RARE = r"[\t\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+WHITE = r"[ \n" + RARE[1:]
 ANCHORS = -(3 << 61)        # hashes below are anchors, one in eight
 DOC = ["id", "th"]
 
@@ -35,12 +37,18 @@ def _doc(documents: DataFrame) -> DataFrame:
 
 
 def _words(text: str | Column) -> Column:
-    """The words of a text; one empty word if it has none."""
-    return F.split(F.trim(text, F.lit(SPACES)), WHITE + "+")
+    """The words of a text. Texts with no white space but spaces and line breaks are split without a pattern."""
+    text = F.col(text) if isinstance(text, str) else text
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+    return F.array_remove(F.when(text.rlike(RARE), F.split(text, WHITE)).otherwise(plain), "")
 
 
 def stretches(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """id, th, at, n, g, z: of each stretch the first window, the number of windows, the fingerprint and the hash of all words."""
+    """id, th, at, n, g, z, apart: of each stretch the first window, the number of windows, the fingerprint and the hash of all words.
+
+    ``apart`` is 0 unless the first four words of the fingerprint all occur again within half its length, as they do where a few
+    words are repeated on and on. Such a fingerprint can be that of every window of a text; there it is a hash of the place.
+    """
     wide = run - gram + 1
     rows = _doc(documents).select(*DOC, F.transform(_words("text"), lambda w: F.xxhash64(w)).alias("h"))
     rows = rows.select(*DOC, "h", F.transform("h", lambda x: x < ANCHORS).alias("a"))
@@ -52,8 +60,13 @@ def stretches(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
     rows = rows.where(F.col("at").isNotNull() & begins)
     n = F.when(first == 0, 1).otherwise(F.least(first, last - F.col("at") + 1))
     gram_at = F.col("at") + F.when(first == 0, wide).otherwise(first)
-    return rows.select(*DOC, "at", n.alias("n"), F.xxhash64(F.slice("h", gram_at, gram)).alias("g"),
-                       F.xxhash64(F.slice("h", F.col("at") + 1, n + (run - 1))).alias("z"))
+    rows = rows.select(*DOC, "h", "at", n.alias("n"), gram_at.alias("gram_at"))
+    apart = F.lit(True)
+    for k in range(4):
+        apart = apart & F.array_contains(F.slice("h", F.col("gram_at") + (k + 1), gram // 2), F.get("h", F.col("gram_at") + (k - 1)))
+    return rows.select(*DOC, "at", "n", F.xxhash64(F.slice("h", "gram_at", gram)).alias("g"),
+                       F.xxhash64(F.slice("h", F.col("at") + 1, F.col("n") + (run - 1))).alias("z"),
+                       F.when(apart, F.xxhash64(*DOC, "at")).otherwise(0).alias("apart"))
 
 
 def _windows(documents: DataFrame, marks: DataFrame, run: int) -> DataFrame:
@@ -61,7 +74,7 @@ def _windows(documents: DataFrame, marks: DataFrame, run: int) -> DataFrame:
     wanted = marks.groupBy(*DOC).agg(F.collect_set(F.struct("at", "n")).alias("marks"))
     texts = _doc(documents)
     texts = texts.join(wanted.hint("merge"), texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])).select(texts["id"], texts["th"], "text", "marks")
-    lines = texts.select(*DOC, "marks", F.filter(F.transform(F.split("text", "\n"), _words), lambda x: x[0] != "").alias("lines"))
+    lines = texts.select(*DOC, "marks", F.filter(F.transform(F.split("text", "\n"), _words), lambda x: F.size(x) > 0).alias("lines"))
     rows = lines.select(*DOC, "marks", F.transform(F.flatten("lines"), lambda w: F.xxhash64(w)).alias("h"),
                         F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x)))).alias("line"))
     rows = rows.select(*DOC, "h", "line", F.explode_outer("marks").alias("m"))
@@ -71,9 +84,11 @@ def _windows(documents: DataFrame, marks: DataFrame, run: int) -> DataFrame:
 
 def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """id, th, runs: for documents that repeat something, the first word and the end of every run to delete, in order."""
-    # Repeated fingerprints, first places and runs grow with the documents: no broadcast, and the same plan at every size.
-    again = stored(stretches(documents, run, gram).groupBy("g").agg(F.count("*").alias("places")).where("places > 1").select("g"), "fingerprints")
-    places = stored(stretches(documents, run, gram).join(again.hint("merge"), "g"), "places")
+    # Places, first places and runs grow with the documents: no broadcast, and the same plan at every size.
+    # One pass over the texts and one shuffle tell which fingerprints are repeated. Places apart are kept all, and dealt one by one.
+    group = F.count("*").over(Window.partitionBy("g", "apart"))
+    places = stretches(documents, run, gram).withColumn("places", group).where("places > 1 OR apart != 0")
+    places = stored(places.select(*DOC, "at", "n", "g", "z"), "places")
     # The first place of each stretch: a partial aggregation, so that a stretch of very many documents is one row a task.
     first = stored(places.groupBy("z", "g").agg(F.min(F.struct(*DOC, "at", "n")).alias("f")), "first-places")
     own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))

@@ -94,3 +94,31 @@ def test_all_kinds_of_white_space(spark):
     got = {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(df).collect()}
     assert {c for c in map(chr, range(0x3100)) if c.isspace()} == set(spaces)
     assert got == {0: texts[0], 1: "", 2: "\u3000\x1ca \u1680b\u2028", 3: "", 4: texts[4], 5: ""}
+
+
+def test_texts_are_fingerprinted_once(spark, monkeypatch):
+    """One pass over the texts gives the places of repeated fingerprints."""
+    calls, real = [], linededup.stretches
+    monkeypatch.setattr(linededup, "stretches", lambda *args: calls.append(1) or real(*args))
+    run = " ".join(f"r{i}" for i in range(60))
+    df = spark.createDataFrame([(0, run), (1, f"a {run}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(df).collect()} == {0: run, 1: "a"}
+    assert len(calls) == 1
+
+
+def test_a_few_words_on_and_on(spark):
+    """Fingerprints of a few words said on and on are dealt apart, so that they are no large group, and the results stay whole."""
+    rng = random.Random(4)
+    texts = {}
+    for i, period in enumerate([1, 1, 2, 3, 5, 8, 13, 13, 20]):
+        words = [f"w{period}x{k}" for k in range(period)] * (400 // period)
+        texts[i] = " ".join([f"own{i}", *words[rng.randrange(period):], f"end{i}"])
+        texts[100 + i] = "\n".join(" ".join(words[k:k + 40]) for k in range(0, 200, 40))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows = linededup.stretches(df).collect()
+    short = [r for r in rows if r["id"] % 100 < 8 and 1 <= r["at"] < 300 and r["id"] < 100]
+    assert short and all(r["apart"] for r in short)
+    assert len({r["apart"] for r in short}) == len(short)
+    assert not any(r["apart"] for r in rows if r["id"] % 100 == 8)
+    got = {r["doc_id"]: r["text"].split() for r in linededup.without_repeated_lines(df).collect()}
+    assert got == brute(texts)
