@@ -16,6 +16,8 @@ Words, stretches and windows are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,17 @@ def _doc(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
+def _rare(text: Column) -> Column:
+    """Whether a text has white space that is neither a space nor a line break. The pattern is for texts with a letter that begins like one."""
+    letters = [F.contains(text.cast("binary"), F.lit(x)) for x in sorted({c.encode()[:2] for c in SPACES if c not in " \n"})]
+    return functools.reduce(lambda a, b: a | b, letters) & text.rlike(RARE)
+
+
 def _words(text: str | Column) -> Column:
     """The words of a text. Texts with no white space but spaces and line breaks are split without a pattern."""
     text = F.col(text) if isinstance(text, str) else text
     plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
-    return F.array_remove(F.when(text.rlike(RARE), F.split(text, WHITE)).otherwise(plain), "")
+    return F.array_remove(F.when(_rare(text), F.split(text, WHITE)).otherwise(plain), "")
 
 
 def stretches(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
@@ -51,19 +59,23 @@ def stretches(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
     """
     wide = run - gram + 1
     rows = _doc(documents).select(*DOC, F.transform(_words("text"), lambda w: F.xxhash64(w)).alias("h"))
-    rows = rows.select(*DOC, "h", F.transform("h", lambda x: x < ANCHORS).alias("a"))
-    last = F.size("h") - run        # the last window
+    anchors = F.array_remove(F.transform("h", lambda x, i: F.when(x < ANCHORS, i).otherwise(-1)), -1)
+    rows = rows.select(*DOC, "h", F.concat(F.array(F.lit(-1)), anchors, F.array(F.size("h"))).alias("a"))
     # Outer, as otherwise the optimizer derives a filter that splits and hashes each text once more.
-    rows = rows.select(*DOC, "h", "a", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
-    begins = (F.col("at") == 0) | F.get("a", F.col("at") - 1) | ~F.array_contains(F.slice("a", F.col("at") + 1, wide - 1), True)
-    first = F.array_position(F.slice("a", F.col("at") + 1, wide), True).cast("int")
-    rows = rows.where(F.col("at").isNotNull() & begins)
-    n = F.when(first == 0, 1).otherwise(F.least(first, last - F.col("at") + 1))
-    gram_at = F.col("at") + F.when(first == 0, wide).otherwise(first)
+    rows = rows.select(*DOC, "h", "a", F.posexplode_outer("a").alias("i", "before"))
+    after, last = F.coalesce(F.get("a", F.col("i") + 1), F.lit(-1)), F.size("h") - run        # the next anchor, the last window
+    rows = rows.select(*DOC, "h", after.alias("after"), last.alias("last"), (F.col("before") + 1).alias("at"))
+    # A stretch begins behind each anchor; where none follows in reach, each window is one.
+    each = F.sequence(F.col("at"), F.least(F.col("last"), F.greatest(F.col("at"), F.col("after") - (wide - 1))))
+    rows = rows.select(*DOC, "h", "after", "last", F.explode_outer(F.when((F.col("at") <= F.col("last")) & (F.col("after") >= 0), each)).alias("at"))
+    rows = rows.where(F.col("at").isNotNull())
+    near = F.col("after") - F.col("at") < wide
+    n = F.when(near, F.least(F.col("after"), F.col("last")) - F.col("at") + 1).otherwise(1)
+    gram_at = F.when(near, F.col("after") + 1).otherwise(F.col("at") + wide)
     rows = rows.select(*DOC, "h", "at", n.alias("n"), gram_at.alias("gram_at"))
     apart = F.lit(True)
     for k in range(4):
-        apart = apart & F.array_contains(F.slice("h", F.col("gram_at") + (k + 1), gram // 2), F.get("h", F.col("gram_at") + (k - 1)))
+        apart = apart & F.array_contains(F.slice("h", F.col("gram_at") + (k + 1), max(0, min(gram // 2, gram - 4))), F.get("h", F.col("gram_at") + (k - 1)))
     return rows.select(*DOC, "at", "n", F.xxhash64(F.slice("h", "gram_at", gram)).alias("g"),
                        F.xxhash64(F.slice("h", F.col("at") + 1, F.col("n") + (run - 1))).alias("z"),
                        F.when(apart, F.xxhash64(*DOC, "at")).otherwise(0).alias("apart"))
@@ -85,17 +97,29 @@ def _windows(documents: DataFrame, marks: DataFrame, run: int) -> DataFrame:
 def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """id, th, runs: for documents that repeat something, the first word and the end of every run to delete, in order."""
     # Places, first places and runs grow with the documents: no broadcast, and the same plan at every size.
-    # One pass over the texts and one shuffle tell which fingerprints are repeated. Places apart are kept all, and dealt one by one.
-    group = F.count("*").over(Window.partitionBy("g", "apart"))
-    places = stretches(documents, run, gram).withColumn("places", group).where("places > 1 OR apart != 0")
-    places = stored(places.select(*DOC, "at", "n", "g", "z"), "places")
-    # The first place of each stretch: a partial aggregation, so that a stretch of very many documents is one row a task.
+    # One pass over the texts and one shuffle tell which fingerprints are repeated, whether their stretches differ, and the first place
+    # of each stretch. Places apart are kept all, and dealt one by one: ``g`` is the fingerprint, changed by the place for these only.
+    group = Window.partitionBy("g")
+    stretch = Window.partitionBy("g", "z").orderBy(*DOC, "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    places = stretches(documents, run, gram).withColumn("g", F.col("g").bitwiseXOR(F.col("apart")))
+    places = places.select("*", F.count("*").over(group).alias("places"), (F.min("z").over(group) != F.max("z").over(group)).alias("unlike"))
+    places = places.where("places > 1 OR apart != 0").select("*", *(F.first(c).over(stretch).alias(f"f_{c}") for c in (*DOC, "at")))
+    own = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))
+    far = F.col("apart") != 0
+    places = places.select(*DOC, "at", "n", F.when(far, F.col("g").bitwiseXOR(F.col("apart"))).alias("g"), F.when(far, F.col("z")).alias("z"), far.alias("apart"),
+                           "unlike", own.alias("own"), F.col("f_at").alias("first"))
+    places = stored(places, "places")
+    head = F.col("own") & (F.col("at") == F.col("first"))
+    near = places.where("NOT apart")
+    places = places.where("apart").select(*DOC, "at", "n", "g", "z")
+    # Apart, the first place of each stretch is a partial aggregation, so that a stretch of very many documents is one row a task.
     first = stored(places.groupBy("z", "g").agg(F.min(F.struct(*DOC, "at", "n")).alias("f")), "first-places")
     own = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th"))
     later = places.join(first.select("z", "f").hint("merge"), "z").where(~F.struct(*DOC, "at").eqNullSafe(F.struct("f.id", "f.th", "f.at")))
     later = stored(later.select(*DOC, "at", "n", own.alias("own"), F.col("f.at").alias("first")), "later-places")
+    later = later.unionByName(near.where(~head).select(*DOC, "at", "n", "own", "first"))
     unlike = first.groupBy("g").agg(F.count("*").alias("stretches")).where("stretches > 1").select("g")
-    marks = first.join(unlike.hint("merge"), "g").select("f.*")
+    marks = first.join(unlike.hint("merge"), "g").select("f.*").unionByName(near.where(F.col("unlike") & head).select(*DOC, "at", "n"))
     selves = later.where("own")
     marks = marks.unionByName(selves.select(*DOC, "at", "n")).unionByName(selves.select(*DOC, F.col("first").alias("at"), "n"))
     windows = stored(_windows(documents, marks, run), "windows")
@@ -104,7 +128,7 @@ def repeated_runs(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> Dat
     others = windows.join(heads.hint("merge"), "w").where(~same_line).select(*DOC, "at", F.lit(1).alias("n"))
     found = later.where("NOT own").select(*DOC, "at", "n").unionByName(others)
     # Runs of windows: the end of what was found before, in the order of the places, tells where a run begins.
-    found = found.groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))).alias("s"))
+    found = found.groupBy(*DOC).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))).alias("s"))
     begins = F.filter("s", lambda x, i: (i == 0) | (x > F.get("s", i - 1) + run))
     ends = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get("s", i + 1) > x + run))
     return found.select(*DOC, F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), (b + run).alias("end"))).alias("runs"))

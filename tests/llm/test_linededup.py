@@ -122,3 +122,38 @@ def test_a_few_words_on_and_on(spark):
     assert not any(r["apart"] for r in rows if r["id"] % 100 == 8)
     got = {r["doc_id"]: r["text"].split() for r in linededup.without_repeated_lines(df).collect()}
     assert got == brute(texts)
+
+
+def test_first_places_come_with_the_fingerprints(spark, monkeypatch):
+    """The shuffle that tells repeated fingerprints gives first places and differing stretches too; only places apart are grouped again."""
+    rows, real = {}, linededup.stored
+
+    def counted(df, purpose):
+        out = real(df, purpose)
+        rows[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "stored", counted)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    texts = {0: " ".join(words), 1: " ".join(["a", *words, "b"]), 2: "\n".join([" ".join(words[:100]), "c", " ".join(words[:100])]), 3: " ".join(words[:170] + ["d"] + words[171:])}
+    texts[4] = " ".join(rng.choice(words) for _ in range(200))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"].split() for r in linededup.without_repeated_lines(df).collect()}
+    assert got == brute(texts)
+    assert rows["places"] > 0 and rows["first-places"] == rows["later-places"] == 0
+    again = spark.createDataFrame([(0, "on and " * 100), (1, "x " + "on and " * 100)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(again).collect()}[1] == "x"
+    assert rows["first-places"] > 0
+
+
+def test_runs_of_overlapping_places(spark):
+    """A window found inside a longer stretch neither ends a run nor begins one."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = {0: " ".join(base), 1: " ".join(["x", *base[:60], *base[5:58], *base[40:], "y", *base[10:90]]), 2: " ".join(base[:55] + ["z"] * 3 + base[50:]),
+             3: " ".join([*base[:70], *(["q"] * 49), *base[20:75], *(["r"] * 50), *base[60:]]), 4: " ".join(base[30:110] * 3)}
+    df = spark.createDataFrame([*texts.items(), (1, texts[1]), (None, texts[0])], "doc_id long, text string").repartition(4)
+    got = [(r["doc_id"], tuple(r["text"].split())) for r in linededup.without_repeated_lines(df).collect()]
+    want = brute({-1: texts[0], **texts})
+    assert set(got) == {(None if i == -1 else i, tuple(w)) for i, w in want.items()} and len(got) == 7
